@@ -3,6 +3,7 @@ compares with a second table."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from driftline.functions.media import media_type
 from driftline.functions.messages import SILENT_RECEIVED, SILENT_SENT
-from driftline.functions.paths import extension, slashed
-from driftline.operators.rules import RuleBook, custom_dirs, in_config_scope, matches
+from driftline.functions.paths import extension
+from driftline.operators.rules import RuleBook, custom_dirs, in_config_scope, is_config_excluded, matches
 
 # Size limits in bytes and the layout of a config folder.
 NOTE_LIMIT = 20 * 1024 * 1024
@@ -23,30 +24,35 @@ THEME_EXTS = [".css", ".json"]
 CONFLICT_CODE = 530
 
 
-def _ends_with_any(text: Column, ends: Iterable[str]) -> Column:
-    hit = F.lit(False)
-    for e in ends:
-        hit = hit | text.endswith(e)
-    return hit
+def _layout(config_dir: str, folder: str) -> str:
+    """Files of a config folder by place and ending, as one pattern. ``folder`` matches the name of a
+    plugin or theme folder."""
+
+    def ends(exts: list[str]) -> str:
+        return "[^/]*(?:" + "|".join(re.escape(e) for e in exts) + ")"
+
+    places = [
+        "[^/]*\\.json",
+        f"plugins/{folder}/{ends(PLUGIN_EXTS)}",
+        f"themes/{folder}/{ends(THEME_EXTS)}",
+        "snippets/[^/]*\\.css",
+    ]
+    return rf"\A{re.escape(config_dir)}/(?:{'|'.join(places)}"
+
+
+def _skipped_root(path: Column, config_dir: str) -> Column:
+    return path.isin([f"{config_dir}/{name}" for name in ROOT_CONFIG_SKIPPED])
 
 
 def is_config_file(path: Column, config_dir: str, custom: Iterable[str], book: RuleBook) -> Column:
     """Files a config scan lists: by depth, folder and extension inside the config folder; all
     files of custom folders. A whitelist hit saves a skipped root file."""
-    inside = F.substring(path, len(config_dir) + 2, 1 << 30)
-    parts = F.split(inside, "/")
-    depth, top, name = F.size(parts), F.element_at(parts, 1), F.element_at(parts, -1)
-    kept = matches(path, book.whitelist)
-    allowed = kept | ~(matches(path, book.internal) | matches(path, book.folders))
-
-    root = (depth == 1) & name.endswith(".json") & (kept | ~name.isin(ROOT_CONFIG_SKIPPED))
-    plugin = (depth == 3) & (top == "plugins") & _ends_with_any(name, PLUGIN_EXTS)
-    theme = (depth == 3) & (top == "themes") & _ends_with_any(name, THEME_EXTS)
-    snippet = (depth == 2) & (top == "snippets") & name.endswith(".css")
-    hit = path.startswith(config_dir + "/") & (root | plugin | theme | snippet)
+    hit = path.rlike(_layout(config_dir, "[^/]+") + r")\z") & ~(
+        _skipped_root(path, config_dir) & ~matches(path, book.whitelist)
+    )
     for d in custom:
         hit = hit | path.startswith(d + "/")
-    return hit & allowed
+    return hit & ~is_config_excluded(path, book)
 
 
 def config_scan(listing: DataFrame, config_dir: str, custom: str = "", book: RuleBook = RuleBook()) -> DataFrame:
@@ -62,23 +68,10 @@ def watched_config_events(
     else layout decides, where plugin and theme folders themselves (no dot in the name) pass too.
     """
     p = F.col(path)
-    inside = F.substring(p, len(config_dir) + 2, 1 << 30)
-    parts = F.split(inside, "/")
-    depth, top = F.size(parts), F.element_at(parts, 1)
-    last = F.element_at(F.split(slashed(p), "/"), -1)
-    name = F.when(last.contains("."), last).otherwise("")
-    second = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
-    folder = F.when(second.contains("."), "").otherwise(second)
-
-    root = (depth == 1) & name.endswith(".json") & ~name.isin(ROOT_CONFIG_SKIPPED)
-    named = top.isin("plugins", "themes") & (folder != "")
-    as_folder = named & (depth == 2) & (name == "")
-    as_file = named & (depth == 3) & (
-        ((top == "plugins") & _ends_with_any(name, PLUGIN_EXTS)) | ((top == "themes") & _ends_with_any(name, THEME_EXTS))
+    by_layout = p.rlike(_layout(config_dir, "[^/.]+") + r"|(?:plugins|themes)/[^/.]+)\z")
+    passes = (
+        ~p.startswith(config_dir + "/") | matches(p, book.whitelist) | (by_layout & ~_skipped_root(p, config_dir))
     )
-    snippet = (top == "snippets") & (depth == 2) & name.endswith(".css")
-    by_layout = root | as_folder | as_file | snippet
-    passes = ~p.startswith(config_dir + "/") | matches(p, book.whitelist) | by_layout
     noise = p.contains("/.git") | p.contains("/.DS_Store")
     return df.filter(~noise & in_config_scope(p, config_dir, custom_dirs(custom)) & passes)
 

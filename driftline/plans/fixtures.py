@@ -18,7 +18,7 @@ TABLES = (
 ).split()
 
 _SPARK = [
-    (re.compile(r"epoch_ms\((\w+)\)"), r"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', \1)"),
+    (re.compile(r"epoch_us\((\w+)\)"), r"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', \1)"),
 ]
 
 #: name -> SQL, in dependency order
@@ -105,14 +105,14 @@ SELECT concat('vault', CAST(doc_id % 3 AS STRING)) AS vault, 'dev0' AS device,
 FROM documents"""
 
 FIXTURES["fx_events"] = """
-SELECT event_id, epoch_ms(ts) AS ts_ms, concat('vault', CAST(user_id % 3 AS STRING)) AS vault, 'dev0' AS device,
+SELECT event_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ts_ms, concat('vault', CAST(user_id % 3 AS STRING)) AS vault, 'dev0' AS device,
        CASE event_type WHEN 'purchase' THEN 'rename' WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'create'
             ELSE 'modify' END AS op,
        CASE WHEN event_type = 'purchase' THEN concat('r/', CAST(user_id AS STRING), '.md')
             ELSE concat('u/', CAST(user_id AS STRING), '.md') END AS path,
        CASE WHEN event_type = 'purchase' THEN concat('u/', CAST(user_id AS STRING), '.md') END AS old_path,
        CASE WHEN event_type = 'error' THEN NULL ELSE md5(concat(props, CAST(event_id AS STRING))) END AS content_hash,
-       epoch_ms(ts) AS mtime, CAST(floor(value * 100) AS BIGINT) AS size
+       CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS mtime, CAST(floor(value * 100) AS BIGINT) AS size
 FROM events"""
 
 FIXTURES["fx_state"] = """
@@ -133,7 +133,7 @@ UNION ALL
 SELECT vault, device, path, ts_ms - 500 AS ts_ms, op FROM fx_events WHERE event_id % 20 = 2"""
 
 FIXTURES["fx_log"] = """
-SELECT event_id AS seq, concat('s', CAST(floor(event_id / 4) AS STRING)) AS id, epoch_ms(ts) AS ts,
+SELECT event_id AS seq, concat('s', CAST(CAST(floor(event_id / 4) AS BIGINT) AS STRING)) AS id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ts,
        CASE event_id % 3 WHEN 0 THEN 'send' WHEN 1 THEN 'receive' ELSE 'info' END AS type,
        CASE event_type WHEN 'click' THEN 'NoteModify' WHEN 'view' THEN 'FileUpload' WHEN 'purchase' THEN 'SettingSync'
             WHEN 'error' THEN 'FolderSync' ELSE 'SyncSummary' END AS action,
@@ -142,11 +142,11 @@ SELECT event_id AS seq, concat('s', CAST(floor(event_id / 4) AS STRING)) AS id,
             WHEN 4 THEN 'pending' ELSE NULL END AS status,
        CASE WHEN event_id % 5 = 4 THEN NULL ELSE CAST(event_id % 101 AS INT) END AS progress,
        CASE WHEN event_id % 8 = 3 THEN NULL ELSE props END AS message,
-       CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('vault', CAST(floor(event_id / 4) % 3 AS STRING)) END AS vault
+       CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('vault', CAST(CAST(floor(event_id / 4) AS BIGINT) % 3 AS STRING)) END AS vault
 FROM events"""
 
 FIXTURES["fx_messages"] = """
-SELECT event_id AS seq, epoch_ms(ts) AS ts, CASE WHEN event_id % 2 = 0 THEN 'receive' ELSE 'send' END AS direction,
+SELECT event_id AS seq, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ts, CASE WHEN event_id % 2 = 0 THEN 'receive' ELSE 'send' END AS direction,
        concat(
          CASE event_id % 12 WHEN 0 THEN 'NoteModify' WHEN 1 THEN 'NoteSync' WHEN 2 THEN 'FileUpload'
               WHEN 3 THEN 'FileChunkDownload' WHEN 4 THEN 'SettingSyncEnd' WHEN 5 THEN 'Ping' WHEN 6 THEN 'Pong'

@@ -40,23 +40,22 @@ def prj2(spark, sf):
     return paths.sanitize_paths(fx(spark, sf, "fx_odd"))
 
 
-_HASH = """list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split({0}, ''), lambda c: CAST(unicode(c) AS BIGINT))),
+PATH_HASH = """list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split({0}, ''), lambda c: CAST(unicode(c) AS BIGINT))),
                    lambda a, x: (a * 31 + x) % 4294967296)"""
-_SIGNED = "CAST(CASE WHEN h > 2147483647 THEN h - 4294967296 ELSE h END AS VARCHAR)"
+SIGNED = "CAST(CASE WHEN h > 2147483647 THEN h - 4294967296 ELSE h END AS VARCHAR)"
 
 
 @query(
     "prj3_fingerprint_paths",
-    f"""WITH hashed AS (SELECT vault, path, {_HASH.format("path")} AS h FROM fx_paths)
-SELECT vault, path, {_SIGNED} AS path_hash FROM hashed""",
+    f"""WITH hashed AS (SELECT vault, path, {PATH_HASH.format("path")} AS h FROM fx_paths)
+SELECT vault, path, {SIGNED} AS path_hash FROM hashed""",
 )
 def prj3(spark, sf):
     return fingerprint.fingerprint_paths(fx(spark, sf, "SELECT vault, path FROM fx_paths"))
 
 
-@query(
-    "prj4_fingerprint_text",
-    """WITH RECURSIVE step(i, w) AS (
+#: powers of 31 and the hash of every document text, as a sum of units times powers
+TEXT_HASH = """step(i, w) AS (
   SELECT 0, CAST(1 AS BIGINT) UNION ALL SELECT i + 1, (w * 31) % 4294967296 FROM step WHERE i < 511),
 leap(j, v) AS (
   SELECT 0, CAST(1 AS BIGINT)
@@ -66,10 +65,12 @@ units AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscript
                  length(text) AS n FROM documents WHERE length(text) > 0),
 parts AS (SELECT doc_id, (CAST(w AS HUGEINT) * v) % 4294967296 * unicode(c) AS term
           FROM units JOIN step ON i = (n - pos) % 512 JOIN leap ON j = (n - pos) // 512),
-hashed AS (SELECT doc_id, CAST(sum(term) % 4294967296 AS BIGINT) AS h FROM parts GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN h IS NULL THEN '0' ELSE CAST(CASE WHEN h > 2147483647 THEN h - 4294967296 ELSE h END AS VARCHAR) END AS content_hash
-FROM documents d LEFT JOIN hashed ON d.doc_id = hashed.doc_id""",
-)
+sums AS (SELECT doc_id, CAST(sum(term) % 4294967296 AS BIGINT) AS h FROM parts GROUP BY doc_id),
+text_hash AS (SELECT d.doc_id, CASE WHEN h IS NULL THEN '0' ELSE CAST(CASE WHEN h > 2147483647 THEN h - 4294967296 ELSE h END AS VARCHAR) END AS content_hash
+FROM documents d LEFT JOIN sums ON d.doc_id = sums.doc_id)"""
+
+
+@query("prj4_fingerprint_text", f"WITH RECURSIVE {TEXT_HASH} SELECT doc_id, content_hash FROM text_hash")
 def prj4(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     return fingerprint.fingerprint_text(docs).drop("text")
@@ -150,14 +151,14 @@ FROM fx_paths WHERE path NOT LIKE '%.md'"""
 @query(
     "prj9_resolve_urls",
     f"""WITH f AS ({_FILES}),
-k AS (SELECT *, {_HASH.format("path")} AS h, lower(regexp_extract(path, '\\.[^.]*$')) AS ext FROM f)
+k AS (SELECT *, {PATH_HASH.format("path")} AS h, lower(regexp_extract(path, '\\.[^.]*$')) AS ext FROM f)
 SELECT vault, path, subpath, CASE
   WHEN starts_with(path, 'src1/') AND ext IN ('.pdf', '.png')
     THEN concat('https://cdn/', vault, '/', path, coalesce(subpath, ''), '?t=', CASE ext WHEN '.pdf' THEN 'pdf' ELSE 'image' END)
   WHEN ext = '.json' THEN concat('https://j/', path)
   WHEN starts_with(path, 'src2') AND ext = '.pdf' THEN concat('https://two/', path)
   ELSE concat('https://api.example.org/api/file?vault=', {_ENC.format("vault")}, '&path=', {_ENC.format("path")},
-              '&token=t+1&pathHash=', {_SIGNED}, '&client=desk') END AS url
+              '&token=t+1&pathHash=', {SIGNED}, '&client=desk') END AS url
 FROM k""",
 )
 def prj9(spark, sf):
@@ -183,7 +184,7 @@ def prj10(spark, sf):
     return got.select("seq", "action", "category", "log_action")
 
 
-_FIELDS = f"""m AS ({_SPLIT}),
+FIELDS = f"""m AS ({_SPLIT}),
 j AS (SELECT * FROM m WHERE json_valid(body)),
 x AS (SELECT seq, direction, action,
   nullif(body ->> '$.Path', '') AS tp, nullif(body ->> '$.path', '') AS tq, nullif(body ->> '$.data.Path', '') AS dp, nullif(body ->> '$.data.path', '') AS dq,
@@ -201,7 +202,7 @@ def decoded(spark, sf):
     return messages.message_fields(good)
 
 
-@query("prj19_message_fields", f"WITH {_FIELDS} SELECT * FROM fields")
+@query("prj19_message_fields", f"WITH {FIELDS} SELECT * FROM fields")
 def prj19(spark, sf):
     return decoded(spark, sf).select(
         "seq", "direction", "action", "msg_vault", "code", "context", "message", "path", "session_id"
@@ -210,7 +211,7 @@ def prj19(spark, sf):
 
 @query(
     "prj11_message_status",
-    f"""WITH {_FIELDS}
+    f"""WITH {FIELDS}
 SELECT seq, action, CASE
   WHEN direction = 'send' THEN CASE WHEN action IN ('FileUpload', 'FileDownload', 'ConfigUpload') THEN 'pending' ELSE 'success' END
   WHEN code = 0 OR code > 200 THEN 'error'

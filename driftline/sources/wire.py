@@ -37,7 +37,7 @@ def decode_chunks(frames: DataFrame, frame: str = "frame") -> DataFrame:
     """Session, index and payload of frames; frames shorter than the header are dropped."""
     f = F.col(frame)
     return frames.filter(F.octet_length(f) >= HEADER_BYTES).select(
-        *[c for c in frames.columns if c != frame],
+        *[c for c in frames.columns if c not in (frame, "session_id", "chunk_index", "payload")],
         F.decode(F.substring(f, 1, SESSION_BYTES), "UTF-8").alias("session_id"),
         F.conv(F.hex(F.substring(f, SESSION_BYTES + 1, INDEX_BYTES)), 16, 10).cast("long").alias("chunk_index"),
         F.substring(f, HEADER_BYTES + 1, (1 << 31) - 1).alias("payload"),
