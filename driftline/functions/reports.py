@@ -64,10 +64,16 @@ def client_platform(df: DataFrame, name: str = "client_name", out: str = "platfo
     )
 
 
+def numeric_parts(version: Column) -> Column:
+    """Dotted parts as numbers; what is not a number counts as 0."""
+    zero = F.lit(0.0)
+    parts = F.split(version, r"\.")
+    return F.transform(parts, lambda p: F.coalesce(F.nanvl(p.try_cast("double"), zero), zero))
+
+
 def version_parts(version: Column) -> Column:
-    """Numeric parts before the first ``-``; what is not a number counts as 0."""
-    parts = F.split(F.substring_index(version, "-", 1), r"\.")
-    return F.transform(parts, lambda p: F.coalesce(F.nanvl(p.try_cast("double"), F.lit(0.0)), F.lit(0.0)))
+    """Numeric parts before the first ``-``."""
+    return numeric_parts(F.substring_index(version, "-", 1))
 
 
 def is_newer(current: Column, latest: Column) -> Column:

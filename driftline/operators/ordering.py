@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.paths import depth_of
-from driftline.functions.reports import version_parts
+from driftline.functions.reports import numeric_parts
 from driftline.operators.timeline import page_of
 
 SUMMARY_LEAD_MS = 2000
@@ -30,11 +30,9 @@ def top_paths(found: DataFrame, k: int = 50) -> DataFrame:
 
 def version_key(version: Column) -> Column:
     """Numeric parts of a version, comparable as an array; zeros at the end do not count."""
-    clean = F.trim(F.regexp_replace(version, r"(?i)\Av", ""))
-    parts = version_parts(F.replace(clean, F.lit("-"), F.lit("x-")))
-    texts = F.transform(parts, lambda p: p.cast("string"))
-    joined = F.regexp_replace(F.array_join(texts, "|"), r"(?:\|?0\.0)+\z", "")
-    return F.transform(F.filter(F.split(joined, r"\|"), lambda t: t != ""), lambda t: t.cast("double"))
+    parts = numeric_parts(F.trim(F.regexp_replace(version, r"(?i)\Av", "")))
+    used = F.array_max(F.transform(parts, lambda p, i: F.when(p != 0, i + 1).otherwise(0)))
+    return F.slice(parts, F.lit(1), used)
 
 
 def order_versions(versions: DataFrame, latest: str, version: str = "version") -> DataFrame:
