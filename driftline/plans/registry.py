@@ -12,6 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: SQL as registered, without the fixtures in front
+RAW: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -22,6 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
+            RAW[name] = sql
             ORACLES[name] = with_fixtures(sql)
         return fn
 
