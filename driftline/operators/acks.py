@@ -95,10 +95,17 @@ def echo_window(local: DataFrame, remote: DataFrame, window_ms: int = ECHO_MS) -
     spans = remote.withColumn("_b", time_bucket(F.col("ts_ms"), window_ms)).groupBy(*key).agg(
         F.min("ts_ms").alias("_min"), F.max("ts_ms").alias("_max")
     )
-    near = spans.select(*key, F.col("_min").alias("_lo"), F.lit(None).cast("long").alias("_hi")).unionByName(
-        spans.withColumn("_b", F.col("_b") + 1).select(*key, F.lit(None).cast("long").alias("_lo"), F.col("_max").alias("_hi"))
+    none = F.lit(None).cast("long")
+    reach = F.array(
+        F.struct(F.col("_b").alias("b"), F.col("_min").alias("lo"), none.alias("hi")),
+        F.struct((F.col("_b") + 1).alias("b"), none.alias("lo"), F.col("_max").alias("hi")),
+    )
+    near = (
+        spans.withColumn("_r", F.explode(reach))
+        .withColumn("_b", F.col("_r.b"))
+        .groupBy(*key)
+        .agg(F.min("_r.lo").alias("_lo"), F.max("_r.hi").alias("_hi"))
     )
-    near = near.groupBy(*key).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     echo = (F.col("_lo") <= F.col("ts_ms")) | (F.col("_hi") >= F.col("ts_ms") - window_ms)
     return (
         local.withColumn("_b", time_bucket(F.col("ts_ms"), window_ms))

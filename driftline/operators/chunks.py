@@ -13,15 +13,20 @@ def latest_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("session_id", "chunk_index").agg(F.max_by("payload", "seq").alias("payload"))
 
 
+def latest_lengths(chunks: DataFrame) -> DataFrame:
+    """Payload length per (session, index); the payload itself is not shuffled."""
+    sized = chunks.select("session_id", "chunk_index", "seq", F.octet_length("payload").cast("long").alias("_len"))
+    return sized.groupBy("session_id", "chunk_index").agg(F.max_by("_len", "seq").alias("n_bytes"))
+
+
 def assemble_files(chunks: DataFrame, sessions: DataFrame, limit: int = BINARY_LIMIT) -> DataFrame:
     """Content of each session, or an ``error``.
 
     Sessions are judged on counts and lengths first. Only those that are complete, have the stated
     size and stay within ``limit`` are gathered, so the bytes in one group are bounded by ``limit``.
     """
-    one = latest_chunks(chunks)
-    facts = one.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("chunk_index").alias("_top"), F.sum(F.octet_length("payload")).alias("_bytes")
+    facts = latest_lengths(chunks).groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("chunk_index").alias("_top"), F.sum("n_bytes").alias("_bytes")
     )
     checked = sessions.join(facts, "session_id", "left")
     n, total = F.coalesce(F.col("_n"), F.lit(0)), F.col("total_chunks")
@@ -35,7 +40,8 @@ def assemble_files(chunks: DataFrame, sessions: DataFrame, limit: int = BINARY_L
     judged = checked.select(*sessions.columns, error.alias("error"))
     good = judged.filter(F.col("error").isNull()).select("session_id")
     whole = (
-        one.join(good, "session_id", "left_semi")
+        latest_chunks(chunks)
+        .join(good, "session_id", "left_semi")
         .groupBy("session_id")
         .agg(F.array_sort(F.collect_list(F.struct("chunk_index", "payload"))).alias("_parts"))
         .select("session_id", joined_bytes("_parts").alias("content"))
@@ -51,5 +57,5 @@ def joined_bytes(parts: str):
 
 def in_flight_bytes(chunks: DataFrame, open_sessions: DataFrame) -> DataFrame:
     """Bytes held per open session."""
-    mine = chunks.join(open_sessions.select("session_id"), "session_id", "left_semi")
-    return latest_chunks(mine).groupBy("session_id").agg(F.sum(F.octet_length("payload")).cast("long").alias("held_bytes"))
+    held = latest_lengths(chunks).groupBy("session_id").agg(F.sum("n_bytes").alias("held_bytes"))
+    return held.join(open_sessions.select("session_id"), "session_id", "left_semi")

@@ -65,15 +65,18 @@ def version_steps(history: DataFrame) -> DataFrame:
 
     Versions of a note are walked in buckets, so a note with very many versions is split.
     """
-    counts = history.groupBy("note_id").agg(F.count(F.lit(1)).alias("_total"))
-    bucket = F.floor(F.col("version") / VERSION_BUCKET).cast("long")
-    ranked = running(history, ["note_id"], bucket, ["version"], {"_rank": ("sum", F.lit(1).cast("long"))})
-    prev = running(
-        ranked, ["note_id"], bucket, ["version"], {"_prev": ("last", F.struct("version", "content"))}, inclusive=False
+    one = F.lit(1).cast("long")
+    walked = running(
+        history,
+        ["note_id"],
+        F.floor(F.col("version") / VERSION_BUCKET).cast("long"),
+        ["version"],
+        {"_older": ("sum", one), "_total": ("total", one), "_prev": ("last", F.struct("version", "content"))},
+        inclusive=False,
     )
-    return prev.join(counts, "note_id").select(
+    return walked.select(
         *VERSION,
-        (F.col("_total") - F.col("_rank") + 1).alias("newest_rank"),
+        (F.col("_total") - F.col("_older")).alias("newest_rank"),
         F.col("_prev.version").alias("prev_version"),
         F.col("_prev.content").alias("text_before"),
     )
@@ -96,15 +99,25 @@ def line_changes(history: DataFrame) -> DataFrame:
 
     Lines are counted per version before versions are compared; text order plays no part.
     """
-    steps = version_steps(history.select("note_id", "version", F.lit("").alias("content")))
-    pairs = steps.filter(F.col("prev_version").isNotNull()).select(*VERSION, "prev_version")
-    counts = (
-        history.select(*VERSION, F.explode(F.split("content", "\n")).alias("line"))
-        .groupBy(*VERSION, "line")
-        .agg(F.count(F.lit(1)).alias("n"))
+    steps = version_steps(history.select(*VERSION, F.lit("").alias("content")))
+    links = steps.filter(F.col("prev_version").isNotNull()).select(*VERSION, "prev_version")
+    following = links.select("note_id", F.col("prev_version").alias("version"), F.col("version").alias("_next"))
+    linked = history.select(*VERSION, "content").join(following, VERSION, "left")
+    linked = linked.join(links.select(*VERSION, F.lit(True).alias("_has_prev")), VERSION, "left")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    # a line counts as "after" for its own version and as "before" for the next one
+    roles = F.filter(
+        F.array(
+            F.struct(F.when(F.col("_has_prev"), F.col("version")).alias("version"), one.alias("after"), zero.alias("before")),
+            F.struct(F.col("_next").alias("version"), zero.alias("after"), one.alias("before")),
+        ),
+        lambda r: r["version"].isNotNull(),
+    )
+    lines = linked.withColumn("line", F.explode(F.split("content", "\n"))).select(
+        "note_id", "line", F.explode(roles).alias("_r")
+    )
+    return (
+        lines.groupBy("note_id", F.col("_r.version").alias("version"), "line")
+        .agg(F.sum("_r.after").alias("n_after"), F.sum("_r.before").alias("n_before"))
+        .filter(F.col("n_after") != F.col("n_before"))
     )
-    after = counts.join(pairs.select(*VERSION), VERSION).select(*VERSION, "line", F.col("n").alias("n_after"))
-    before = counts.withColumnRenamed("version", "prev_version").join(pairs, ["note_id", "prev_version"])
-    before = before.select(*VERSION, "line", F.col("n").alias("n_before"))
-    both = after.join(before, [*VERSION, "line"], "full_outer").fillna(0, ["n_after", "n_before"])
-    return both.filter(F.col("n_after") != F.col("n_before"))

@@ -39,19 +39,22 @@ def reconcile(
     """One row per (vault, device, path) of client or server, with ``outcome`` and ``is_conflict``.
 
     ``server`` has a ``device`` column (see :func:`per_device`). ``deleted`` lists the keys that
-    the client reports as deleted. ``cover`` lets the server win for config files.
+    the client reports as deleted. ``cover`` lets the server win for config files. ``base_hash`` is
+    filled where there is a client row.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
     c = client.select(*STATE_KEY, F.struct("kind", "content_hash", "mtime").alias("c"))
     s = server.select(*STATE_KEY, F.struct("kind", "content_hash", "mtime", "is_deleted").alias("s"))
     b = base.select(*STATE_KEY, F.col("hash").alias("base_hash"))
-    rows = c.join(s, STATE_KEY, "full_outer").join(b, STATE_KEY, "left")
+    # The base matters only beside a client row, the delete list only beside a server row. Joining each to
+    # its own side first keeps all inputs on one partitioning: every table is shuffled once.
+    c = c.join(b, STATE_KEY, "left")
     if deleted is not None:
-        marks = deleted.select(*STATE_KEY).distinct().withColumn("_gone", F.lit(True))
-        rows = rows.join(marks, STATE_KEY, "left")
+        s = s.join(deleted.select(*STATE_KEY).distinct().withColumn("_gone", F.lit(True)), STATE_KEY, "left")
     else:
-        rows = rows.withColumn("_gone", F.lit(None).cast("boolean"))
+        s = s.withColumn("_gone", F.lit(None).cast("boolean"))
+    rows = c.join(s, STATE_KEY, "full_outer")
 
     ch, sh, bh = F.col("c.content_hash"), F.col("s.content_hash"), F.col("base_hash")
     cm, sm = F.col("c.mtime"), F.col("s.mtime")

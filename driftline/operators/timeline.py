@@ -25,7 +25,7 @@ def time_bucket(ts: Column, width: int) -> Column:
 
 
 def _summary(kind: str, value: Column, order: Column) -> Column:
-    if kind == "sum":
+    if kind in ("sum", "total"):
         return F.sum(value)
     if kind == "min":
         return F.min(value)
@@ -55,8 +55,9 @@ def running(
     """Add running values in key order.
 
     ``specs`` maps an output name to ``(kind, value)`` with kind ``sum``, ``min``, ``max``
-    or ``last`` (last non-null). ``order`` must be total inside a key and must agree with
-    the order of ``bucket``. Without ``inclusive`` the row itself does not count.
+    or ``last`` (last non-null), or ``total`` for the sum over the whole key. ``order`` must
+    be total inside a key and must agree with the order of ``bucket``. Without ``inclusive``
+    the row itself does not count.
     """
     keys = list(keys)
     part = [*keys, "_bucket"]
@@ -69,17 +70,26 @@ def running(
         *[_summary(kind, F.col(f"_v_{name}"), order_key).alias(f"_s_{name}") for name, (kind, _) in specs.items()]
     )
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     carried = sums.select(
-        *part, *[_over(kind, F.col(f"_s_{name}"), before).alias(f"_c_{name}") for name, (kind, _) in specs.items()]
+        *part,
+        *[
+            (F.sum(f"_s_{name}").over(whole) if kind == "total" else _over(kind, F.col(f"_s_{name}"), before)).alias(f"_c_{name}")
+            for name, (kind, _) in specs.items()
+        ],
     )
 
     end = 0 if inclusive else -1
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     out = rows
     for name, (kind, _) in specs.items():
-        out = out.withColumn(f"_i_{name}", _over(kind, F.col(f"_v_{name}"), inside))
+        if kind != "total":
+            out = out.withColumn(f"_i_{name}", _over(kind, F.col(f"_v_{name}"), inside))
     out = out.join(carried, part, "left")
     for name, (kind, _) in specs.items():
+        if kind == "total":
+            out = out.withColumn(name, F.col(f"_c_{name}"))
+            continue
         own, old = F.col(f"_i_{name}"), F.col(f"_c_{name}")
         if kind == "sum":
             value = F.coalesce(own, F.lit(0)) + F.coalesce(old, F.lit(0))

@@ -22,6 +22,13 @@ def latest_per_path(events: DataFrame) -> DataFrame:
     return last.select(*STATE_KEY, *[f"_l.{c}" for c in rest]).select(*events.columns)
 
 
+def debounce_points() -> Column:
+    """The paths whose timer an event starts: its own (``real`` 1) and, for a rename, the old one (0)."""
+    own = F.struct(F.col("path").alias("key"), F.lit(1).alias("real"))
+    old = F.struct(F.col("old_path").alias("key"), F.lit(0).alias("real"))
+    return F.when(F.col("op") == "rename", F.array(own, old)).otherwise(F.array(own))
+
+
 def debounce(events: DataFrame, delay_ms: int, is_raw: Column | None = None) -> DataFrame:
     """Events that are acted on: none follows on the same path before the delay runs out.
 
@@ -33,9 +40,12 @@ def debounce(events: DataFrame, delay_ms: int, is_raw: Column | None = None) ->
     width = max(delay_ms + (RAW_EXTRA_MS if is_raw is not None else 0), 1)
     if delay_ms <= 0 and is_raw is None:
         return events
-    real = events.withColumn("_key", F.col("path")).withColumn("_real", F.lit(1)).withColumn("_gap", gap.cast("long"))
-    cancels = real.filter(F.col("op") == "rename").withColumn("_key", F.col("old_path")).withColumn("_real", F.lit(0))
-    points = real.unionByName(cancels).withColumn("_b", time_bucket(F.col("ts_ms"), width))
+    points = (
+        events.withColumn("_p", F.explode(debounce_points()))
+        .withColumns({"_key": F.col("_p.key"), "_real": F.col("_p.real"), "_gap": gap.cast("long")})
+        .withColumn("_b", time_bucket(F.col("ts_ms"), width))
+        .drop("_p")
+    )
 
     key = ["vault", "device", "_key", "_b"]
     order = Window.partitionBy(*key).orderBy("ts_ms", "event_id", "_real")

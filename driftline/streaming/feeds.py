@@ -12,7 +12,7 @@ from driftline.functions.messages import log_category
 from driftline.operators.acks import ECHO_MS
 from driftline.operators.aggregates import merge_log_columns
 from driftline.operators.state import state_changes
-from driftline.operators.windows import RAW_EXTRA_MS
+from driftline.operators.windows import RAW_EXTRA_MS, debounce_points
 from driftline.schema import STATE_KEY
 
 
@@ -27,14 +27,10 @@ def debounce_stream(events: DataFrame, delay_ms: int, late: str, is_raw: Column
         return events
     plain = f"{delay_ms} milliseconds"
     gap = F.lit(plain) if is_raw is None else F.when(is_raw, f"{delay_ms + RAW_EXTRA_MS} milliseconds").otherwise(plain)
-    points = F.when(
-        F.col("op") == "rename",
-        F.array(F.struct(F.col("path").alias("k"), F.lit(1).alias("r")), F.struct(F.col("old_path").alias("k"), F.lit(0).alias("r"))),
-    ).otherwise(F.array(F.struct(F.col("path").alias("k"), F.lit(1).alias("r"))))
-    flat = events.withWatermark("ts", late).withColumn("_gap", gap).withColumn("_p", F.explode(points))
+    flat = events.withWatermark("ts", late).withColumn("_gap", gap).withColumn("_p", F.explode(debounce_points()))
     rest = [c for c in events.columns if c not in ("vault", "device")]
-    sessions = flat.groupBy("vault", "device", F.col("_p.k").alias("_key"), F.session_window("ts", F.col("_gap"))).agg(
-        F.max_by(F.struct(*rest, F.col("_p.r").alias("_real")), F.struct("ts", "event_id", F.col("_p.r").alias("r"))).alias("_l")
+    sessions = flat.groupBy("vault", "device", F.col("_p.key").alias("_key"), F.session_window("ts", F.col("_gap"))).agg(
+        F.max_by(F.struct(*rest, F.col("_p.real").alias("_real")), F.struct("ts", "event_id", F.col("_p.real").alias("r"))).alias("_l")
     )
     return sessions.filter("_l._real = 1").select("vault", "device", *[f"_l.{c}" for c in rest]).select(*events.columns)
 
