@@ -9,7 +9,7 @@ from driftline.operators.acks import echo_window
 from driftline.operators.rules import RuleBook, is_excluded
 from driftline.operators.state import classify_renames
 from driftline.operators.windows import debounce
-from driftline.streaming.feeds import debounce_stream, echo_stream
+from driftline.streaming.feeds import debounce_stream
 
 
 def _sendable(events: DataFrame, book: RuleBook) -> DataFrame:
@@ -22,6 +22,11 @@ def run(events: DataFrame, remote: DataFrame, book: RuleBook, delay_ms: int) ->
     return _sendable(echo_window(debounce(events, delay_ms), remote), book)
 
 
-def stream(events: DataFrame, remote: DataFrame, book: RuleBook, delay_ms: int, late: str) -> DataFrame:
-    """The same for a feed; echoes are dropped before the wait, as their window is shorter."""
-    return _sendable(debounce_stream(echo_stream(events, remote, late), delay_ms, late), book)
+def settle(events: DataFrame, book: RuleBook, delay_ms: int, late: str) -> DataFrame:
+    """The same for a feed whose echoes are gone.
+
+    Dropping echoes (``streaming.feeds.echo_stream``) waits on event time of its own, so it is a query
+    before this one: it writes the feed that is read here. That query holds deletes and renames back,
+    so ``late`` must be longer than its own.
+    """
+    return _sendable(debounce_stream(events, delay_ms, late), book)

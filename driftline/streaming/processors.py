@@ -91,7 +91,7 @@ def ack_stream(sent: DataFrame, acks: DataFrame, late: str, timeout_ms: int) ->
     columns = ["vault", "device", "path", "event_id", "ts_ms", "ts", "op"]
     s = sent.select(*columns, "hash", F.lit(0).alias("role"))
     a = acks.select(*columns, F.lit(None).cast("string").alias("hash"), F.lit(1).alias("role"))
-    rows = s.unionByName(a).withWatermark("ts", late)
+    rows = s.withWatermark("ts", late).unionByName(a.withWatermark("ts", late))  # the slower feed counts
     return rows.groupBy("vault", "device", "path").transformWithStateInPandas(
         AckProcessor(timeout_ms), ACK_SCHEMA, "Append", "EventTime"
     )
@@ -218,7 +218,7 @@ def chunk_stream(opened: DataFrame, frames: DataFrame, late: str, ttl_ms: int =
     none = F.lit(None).cast("long")
     a = opened.select("session_id", "ts_ms", "ts", "total_chunks", F.lit(-1).cast("long").alias("chunk_index"), F.lit(0).alias("role"))
     b = frames.select("session_id", "ts_ms", "ts", none.alias("total_chunks"), "chunk_index", F.lit(1).alias("role"))
-    rows = a.unionByName(b).withWatermark("ts", late)
+    rows = a.withWatermark("ts", late).unionByName(b.withWatermark("ts", late))  # the slower feed counts
     return rows.groupBy("session_id").transformWithStateInPandas(
         ChunkProcessor(ttl_ms), CHUNK_SCHEMA, "Append", "EventTime"
     )
