@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.timeline import running, time_bucket
@@ -62,21 +62,36 @@ def match_rename_acks(renames: DataFrame, acks: DataFrame, bucket_ms: int = BUCK
     r = renames.select(*key, "event_id", "ts_ms", "old_path", "path", F.lit(0).alias("role"))
     a = acks.select(*key, "event_id", "ts_ms", F.lit(None).cast("string").alias("old_path"),
                     F.lit(None).cast("string").alias("path"), F.lit(1).alias("role"))
-    bucket, order = time_bucket(F.col("ts_ms"), bucket_ms), ["ts_ms", "role", "event_id"]
-    one = F.lit(1).cast("long")
     is_ack = F.col("role") == 1
-    line = running(
-        r.unionByName(a), key, bucket, order,
-        {
-            "n_acks": ("sum", F.when(is_ack, one).otherwise(0)),
-            "n_renames": ("sum", F.when(~is_ack, one).otherwise(0)),
-        },
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    part = [*key, "_b"]
+    inside = Window.partitionBy(*part).orderBy("ts_ms", "role", "event_id")
+    here, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    line = (
+        r.unionByName(a)
+        .withColumn("_b", time_bucket(F.col("ts_ms"), bucket_ms))
+        .withColumn("_r", F.sum(F.when(is_ack, zero).otherwise(one)).over(inside.rowsBetween(*here)))
+        .withColumn("_a", F.sum(F.when(is_ack, one).otherwise(zero)).over(inside.rowsBetween(*here)))
+        .withColumn("_low", F.min(F.col("_r") - F.col("_a")).over(inside.rowsBetween(*before)))
+    )
+    # what a bucket adds, and its lowest point; then the same over the buckets before
+    along = Window.partitionBy(*key).orderBy("_b").rowsBetween(*before)
+    carried = (
+        line.groupBy(*part)
+        .agg(F.max("_r").alias("_dr"), F.max("_a").alias("_da"), F.min(F.col("_r") - F.col("_a")).alias("_dlow"))
+        .withColumn("_cr", F.coalesce(F.sum("_dr").over(along), zero))
+        .withColumn("_ca", F.coalesce(F.sum("_da").over(along), zero))
+        .withColumn("_clow", F.min(F.col("_cr") - F.col("_ca") + F.col("_dlow")).over(along))
+        .select(*part, "_cr", "_ca", "_clow")
+    )
+    line = line.join(carried, part)
+    lowest = F.least(zero, F.col("_clow"), F.col("_cr") - F.col("_ca") + F.col("_low"))  # nulls are skipped
+    line = line.select(
+        *key, "event_id", "ts_ms", "old_path", "path", "role", lowest.alias("_lowest"),
+        (F.col("_cr") + F.col("_r")).alias("n_renames"), (F.col("_ca") + F.col("_a")).alias("n_acks"),
     )
-    line = line.withColumn("_open", F.col("n_renames") - F.col("n_acks"))
-    line = running(line, key, bucket, order, {"_low": ("min", F.col("_open"))}, inclusive=False)
-    lowest = F.least(F.lit(0), F.col("_low"))  # before this row; nulls are skipped
-    hit = is_ack & (F.col("_open") >= lowest)
-    taken = line.filter(hit).select(*key, (F.col("n_acks") + lowest).alias("nth"), F.col("ts_ms").alias("acked_at"))
+    hit = is_ack & (F.col("n_renames") - F.col("n_acks") >= F.col("_lowest"))
+    taken = line.filter(hit).select(*key, (F.col("n_acks") + F.col("_lowest")).alias("nth"), F.col("ts_ms").alias("acked_at"))
     waiting = line.filter(~is_ack).select(
         *key, "event_id", "ts_ms", "old_path", "path", F.col("n_renames").alias("nth")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.messages import log_category
+from driftline.operators.skew import join_facts
 
 KINDS = ["note", "file", "config", "folder"]
 # Outcome of a decision -> counter of the round.
@@ -117,7 +118,7 @@ def advance_watermarks(events: DataFrame, ends: DataFrame, watermarks: DataFrame
     last = counted.groupBy(*key).agg(
         F.max_by("last_time", F.struct("ts_ms", "seq")).alias("_end"), F.max(F.struct("ts_ms", "seq")).alias("_at")
     )
-    later = events.join(last.select(*key, "_at"), key, "left").filter(
+    later = join_facts(events, last.select(*key, "_at"), key, ["ts_ms", "seq"]).filter(
         F.col("_at").isNull() | (F.struct("ts_ms", "seq") > F.col("_at"))
     )
     seen = later.groupBy(*key).agg(F.max("last_time").alias("_seen"))

@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 from driftline.functions.fingerprint import string_fingerprint
 from driftline.functions.paths import ancestors, kind_of
 from driftline.operators.rules import RuleBook, is_config_excluded, is_excluded
+from driftline.operators.skew import join_facts
 from driftline.schema import ITEM_KEY, STATE_KEY
 
-#: ways a hot ancestor folder is split in joins on ancestors
-ANCESTOR_SALTS = 16
-
 
 def reuse_hashes(listing: DataFrame, state: DataFrame) -> DataFrame:
     """Add ``cached_hash`` (valid only when mtime and size are both the kept ones) and ``needs_hash``."""
@@ -155,12 +153,10 @@ def below(paths: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
     Each path meets the roots by its ancestors, as an equi join. A root that holds a large part of
     all paths is split by a salt of the path; the roots are repeated once per salt.
     """
-    salt = F.pmod(F.xxhash64("path"), F.lit(ANCESTOR_SALTS))
     chain = F.array_append(ancestors(F.col("path")), F.col("path"))
-    climbs = paths.select(*keys, "path", salt.alias("_salt"), F.explode(chain).alias("_root"))
-    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ANCESTOR_SALTS - 1).cast("long")))
-    tops = roots.select(*keys, F.col("path").alias("_root")).distinct().withColumn("_salt", spread)
-    hits = climbs.join(tops, [*keys, "_root", "_salt"], "left_semi")
+    climbs = paths.select(*keys, "path", F.explode(chain).alias("_root"))
+    tops = roots.select(*keys, F.col("path").alias("_root")).distinct()
+    hits = join_facts(climbs, tops, [*keys, "_root"], ["path"], "left_semi")
     return hits.select(*keys, "path").distinct()
 
 

@@ -13,6 +13,7 @@ from driftline.functions.media import media_type
 from driftline.functions.messages import SILENT_RECEIVED, SILENT_SENT
 from driftline.functions.paths import extension
 from driftline.operators.rules import RuleBook, custom_dirs, in_config_scope, is_config_excluded, matches
+from driftline.operators.skew import join_facts
 
 # Size limits in bytes and the layout of a config folder.
 NOTE_LIMIT = 20 * 1024 * 1024
@@ -98,17 +99,17 @@ def incremental_since(df: DataFrame, base: DataFrame, pending: DataFrame, waterm
 
     A note or file is skipped when it is older than the watermark of its kind, is known in
     the base and is not pending. Config rows and folders are skipped by age alone.
-    ``watermarks`` has one row per (vault, device, kind).
+    ``base`` has one row per path, ``watermarks`` one per (vault, device, kind).
     """
     key = ["vault", "device", "path"]
-    known = base.select(*key).distinct().withColumn("_known", F.lit(True))
+    known = base.select(*key, F.lit(True).alias("_known"))
     waiting = pending.select(*key).distinct().withColumn("_waiting", F.lit(True))
     marks = watermarks.select("vault", "device", "kind", F.col("last_time").alias("_mark"))
     old = F.col("mtime") < F.coalesce(F.col("_mark"), F.lit(0))
     settled = F.col("_known").isNotNull() & F.col("_waiting").isNull()
     skipped = F.when(F.col("kind").isin("note", "file"), old & settled).otherwise(old)
     return (
-        df.join(marks, ["vault", "device", "kind"], "left")
+        join_facts(df, marks, ["vault", "device", "kind"], ["path"])
         .join(known, key, "left")
         .join(waiting, key, "left")
         .filter(~skipped)

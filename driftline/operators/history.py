@@ -101,9 +101,16 @@ def line_changes(history: DataFrame) -> DataFrame:
     """
     steps = version_steps(history.select(*VERSION, F.lit("").alias("content")))
     links = steps.filter(F.col("prev_version").isNotNull()).select(*VERSION, "prev_version")
-    following = links.select("note_id", F.col("prev_version").alias("version"), F.col("version").alias("_next"))
-    linked = history.select(*VERSION, "content").join(following, VERSION, "left")
-    linked = linked.join(links.select(*VERSION, F.lit(True).alias("_has_prev")), VERSION, "left")
+    ends = F.array(
+        F.struct(F.col("prev_version").alias("version"), F.col("version").alias("next"), F.lit(False).alias("has_prev")),
+        F.struct(F.col("version"), F.lit(None).cast("long").alias("next"), F.lit(True).alias("has_prev")),
+    )
+    around = (
+        links.select("note_id", F.explode(ends).alias("_e"))
+        .groupBy("note_id", F.col("_e.version").alias("version"))
+        .agg(F.max("_e.next").alias("_next"), F.bool_or("_e.has_prev").alias("_has_prev"))
+    )
+    linked = history.select(*VERSION, "content").join(around, VERSION)
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     # a line counts as "after" for its own version and as "before" for the next one
     roles = F.filter(

@@ -9,23 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.skew import join_facts
 from driftline.schema import STATE_KEY
 
 #: conflict strategies: newest mtime wins, merge when the client is newest, always merge
 STRATEGIES = ("", "newTimeMerge", "ignoreTimeMerge")
-#: ways the rows of one vault are split while they are spread over its devices
-DEVICE_SALTS = 16
 
 
 def per_device(server: DataFrame, devices: DataFrame) -> DataFrame:
-    """Server rows once per device of their vault.
-
-    Both sides carry a salt, so a vault with a large part of all rows is not one join key.
-    """
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEVICE_SALTS - 1).cast("long")))
-    spread = devices.select("vault", "device").distinct().withColumn("_salt", salts)
-    salted = server.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(DEVICE_SALTS)))
-    return salted.join(spread, ["vault", "_salt"]).drop("_salt")
+    """Server rows once per device of their vault."""
+    return join_facts(server, devices.select("vault", "device").distinct(), ["vault"], ["path"], "inner")
 
 
 def reconcile(

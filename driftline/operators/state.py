@@ -45,17 +45,21 @@ def apply_events(state: DataFrame, events: DataFrame) -> DataFrame:
     hash keeps the last one of the path. The last event per path is found by a map-side aggregation.
     """
     changes = state_changes(events)
-    old = state.select("vault", "device", F.col("path").alias("moved_from"), F.col("hash").alias("_moved"))
-    changes = changes.join(old, ["vault", "device", "moved_from"], "left").withColumn(
-        "hash", F.coalesce("hash", F.when(F.col("is_put"), F.col("_moved")))
-    )
-    defining = ~F.col("is_put") | F.col("hash").isNotNull()
+    defining = ~F.col("is_put") | F.col("hash").isNotNull() | F.col("moved_from").isNotNull()
     last = changes.groupBy(*STATE_KEY).agg(
         F.max_by(F.struct("is_put", "mtime", "size"), "order_key").alias("_l"),
-        F.max_by(F.struct("is_put", "hash"), F.when(defining, F.col("order_key"))).alias("_d"),
+        F.max_by(F.struct("is_put", "hash", "moved_from"), F.when(defining, F.col("order_key"))).alias("_d"),
     )
+    # Only renames without a hash look at their old path. The other rows get a key of their own that
+    # meets nothing: one null key would bring all of them to one task.
+    asks = F.col("_d.hash").isNull() & F.col("_d.moved_from").isNotNull()
+    last = last.withColumn("_from", F.when(asks, F.col("_d.moved_from")).otherwise(F.concat(F.char(F.lit(0)), F.col("path"))))
+    old = state.select("vault", "device", F.col("path").alias("_from"), F.col("hash").alias("_moved"))
+    last = last.join(old, ["vault", "device", "_from"], "left").drop("_from")
+
     current = state.select(*STATE_KEY, F.struct(*FIELDS).alias("_s"))
-    own_hash = F.when(F.col("_d").isNull(), F.col("_s.hash")).when(F.col("_d.is_put"), F.col("_d.hash"))
+    put_hash = F.coalesce(F.col("_d.hash"), F.col("_moved"))
+    own_hash = F.when(F.col("_d").isNull(), F.col("_s.hash")).when(F.col("_d.is_put"), put_hash)
     changed = F.col("_l").isNotNull()
     return (
         current.join(last, STATE_KEY, "full_outer")

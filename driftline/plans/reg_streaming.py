@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.paths import parent_of
 from driftline.plans.fixtures import fx
 from driftline.plans.reg_joins import _PATH_ACKS, _RENAME_ACKS, _RENAMES, _SENT, APPLY_SQL, ECHO_SQL
 from driftline.plans.reg_views import _MARK_EVENTS, DEBOUNCE_SQL, DELAY_MS, MERGED, arrived
 from driftline.plans.registry import RAW, query
 from driftline.session import scratch_path
 from driftline.sources.changes import read_changes
+from driftline.sources.listing import vault_scan
 from driftline.streaming import feeds, processors, sinks
 
 LATE = "60 days"
@@ -58,6 +60,20 @@ def upserted(spark, stream: DataFrame, label: str, keys: list[str]) -> DataFrame
 END = {"vault": "end", "device": "end", "path": "end", "op": "modify", "event_id": -1}
 
 
+@query(
+    "src1_vault_scan",
+    """SELECT 'file' AS kind, concat('source=', source, '/lang=', lang) AS folder, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY source, lang
+UNION ALL SELECT 'folder', folder, NULL FROM (SELECT DISTINCT concat('source=', source) AS folder FROM documents UNION SELECT DISTINCT concat('source=', source, '/lang=', lang) FROM documents) f""",
+)
+def src1(spark, sf):
+    root = scratch_path(spark, "vault")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("source", "lang", "text")
+    docs.write.partitionBy("source", "lang").text(root)
+    scan = vault_scan(spark, root, "v", "d")
+    folder = F.when(F.col("kind") == "folder", F.col("path")).otherwise(parent_of(F.col("path")))
+    return scan.groupBy("kind", folder.alias("folder")).agg(F.sum("size").alias("n_bytes"))
+
+
 @query("src6_read_changes", "SELECT event_id, vault, path, op, old_path, content_hash, ts_ms FROM fx_events")
 def src6(spark, sf):
     stream = staged(spark, fx(spark, sf, "fx_events"), "changes", files_per_batch=2)

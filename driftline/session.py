@@ -34,14 +34,13 @@ def _is_local(spark: SparkSession) -> bool:
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session. A machine-local folder is used only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not _is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    made = tempfile.mkdtemp(prefix="driftline-")
-    spark.conf.set("spark.driftline.local.dir", made)
-    return made
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

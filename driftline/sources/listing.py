@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,17 +14,20 @@ from driftline.operators.rules import VIRTUAL_PREFIX
 from driftline.operators.timeline import page_of
 
 
-def vault_scan(spark: SparkSession, root: str, vault: str, device: str) -> DataFrame:
+def vault_scan(
+    spark: SparkSession, root: str, vault: str, device: str, hidden: Sequence[str] = ()
+) -> DataFrame:
     """Files and folders below ``root``: path, kind, size, mtime. The root itself is no row.
 
-    Only file metadata is read: the content column is pruned from the scan. A folder shows
-    when a file lies under it.
+    Only file metadata is read: the content column is pruned from the scan. A folder shows when a file
+    lies under it. Spark's reader passes over names that begin with a dot or an underscore; name such
+    folders (a config folder) in ``hidden`` to have them scanned too.
     """
     base = root.rstrip("/")
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .load(base)
+        .load([base, *[f"{base}/{h}" for h in hidden]])
         .select(
             F.regexp_replace(F.col("path"), r"(?s)\A.*?" + _quoted(base) + "/", "").alias("path"),
             F.unix_millis("modificationTime").alias("mtime"),
@@ -45,8 +51,6 @@ def vault_scan(spark: SparkSession, root: str, vault: str, device: str) -> DataF
 
 
 def _quoted(text: str) -> str:
-    import re
-
     scheme_free = re.sub(r"\A\w+://", "", text) or text
     return re.escape(scheme_free)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.operators.skew import join_facts
+
 #: entries put in one JSON map on export
 ENTRIES_PER_MAP = 50_000
 
@@ -37,7 +39,7 @@ def state_maps(state: DataFrame, per_map: int = ENTRIES_PER_MAP) -> DataFrame:
     map grows without bound; :func:`load_state` reads any number of them."""
     key = ["vault", "device"]
     shards = state.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(per_map)).cast("long").alias("_n"))
-    cut = state.join(shards, key).withColumn("shard", F.pmod(F.xxhash64("path"), F.col("_n")))
+    cut = join_facts(state, shards, key, ["path"], "inner").withColumn("shard", F.pmod(F.xxhash64("path"), F.col("_n")))
     entry = F.struct(F.col("path").alias("key"), F.struct("hash", "mtime", "size").alias("value"))
     return cut.groupBy(*key, "shard").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("json"))
 

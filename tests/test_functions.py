@@ -222,6 +222,10 @@ def test_vault_scan(spark, tmp_path):
     scan = listing.vault_scan(spark, str(tmp_path), "v", "d")
     rows = {r.path: (r.kind, r.size) for r in scan.collect()}
     assert rows == {"a/b/n.md": ("note", 2), "p.png": ("file", 3), "a": ("folder", None), "a/b": ("folder", None)}
+    (tmp_path / ".conf").mkdir()
+    (tmp_path / ".conf" / "app.json").write_text("{}")
+    both = {r.path for r in listing.vault_scan(spark, str(tmp_path), "v", "d", hidden=[".conf"]).collect()}
+    assert both == set(rows) | {".conf", ".conf/app.json"}
     assert "content" not in scan._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
 
 
