@@ -40,15 +40,15 @@ def test_binary_hash(spark, size):
 
     data = np.random.default_rng(size).integers(0, 256, size, dtype="uint8")
     seen = data if size <= 10 * 1024 * 1024 else np.concatenate([data[: 5 * 1024 * 1024], data[-5 * 1024 * 1024 :]])
+    mask = 0xFFFFFFFF
+    powers = np.ones(65536, dtype=np.uint64)
+    for j in range(65534, -1, -1):
+        powers[j] = int(powers[j + 1]) * 31 & mask
     h = 0
     for i in range(0, len(seen), 65536):  # block form of the recurrence
         block = seen[i : i + 65536].astype(np.uint64)
-        powers = np.empty(len(block), dtype=np.uint64)
-        powers[-1] = 1
-        for j in range(len(block) - 2, -1, -1):
-            powers[j] = powers[j + 1] * np.uint64(31) & np.uint64(0xFFFFFFFF)
-        first = int(powers[0]) * 31 & 0xFFFFFFFF
-        h = (h * first + int((block * powers & np.uint64(0xFFFFFFFF)).sum())) & 0xFFFFFFFF
+        tail = powers[-len(block) :]
+        h = (h * (int(tail[0]) * 31 & mask) + int((block * tail & np.uint64(mask)).sum())) & mask
     want = str(h - (1 << 32) if h >= 1 << 31 else h)
     got = one(spark, fingerprint.fingerprint_binary, "content binary", (bytearray(data.tobytes()),))
     assert got[0].content_hash == want
