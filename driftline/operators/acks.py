@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from driftline.schema import STATE_KEY
 
 #: width of the time buckets that split the timeline of one key, in ms
 BUCKET_MS = 3_600_000
+# Fixed value: how long after a remote apply a local event is its echo.
 ECHO_MS = 500
 
 
@@ -98,16 +101,17 @@ def match_rename_acks(renames: DataFrame, acks: DataFrame, bucket_ms: int = BUCK
     return waiting.join(taken, [*key, "nth"], "left")
 
 
-def echo_window(local: DataFrame, remote: DataFrame, window_ms: int = ECHO_MS) -> DataFrame:
-    """Local events without the deletes and renames that follow a remote apply of the same kind on
-    the path within ``window_ms``.
+def drop_following(
+    events: DataFrame, marks: DataFrame, window_ms: int, ops: Sequence[str], keys: Sequence[str]
+) -> DataFrame:
+    """Events without those of ``ops`` that come at most ``window_ms`` after a mark with equal ``keys``.
 
-    Time is cut in buckets as wide as the window. An apply in the bucket before counts when the latest
+    Time is cut in buckets as wide as the window. A mark in the bucket before counts when the latest
     is near enough, one in the same bucket when the earliest is not after the event; so two values
-    per bucket decide, however many applies there are.
+    per bucket decide, however many marks there are.
     """
-    key = [*STATE_KEY, "op", "_b"]
-    spans = remote.withColumn("_b", time_bucket(F.col("ts_ms"), window_ms)).groupBy(*key).agg(
+    key = [*keys, "_b"]
+    spans = marks.withColumn("_b", time_bucket(F.col("ts_ms"), window_ms)).groupBy(*key).agg(
         F.min("ts_ms").alias("_min"), F.max("ts_ms").alias("_max")
     )
     none = F.lit(None).cast("long")
@@ -123,8 +127,26 @@ def echo_window(local: DataFrame, remote: DataFrame, window_ms: int = ECHO_MS) -
     )
     echo = (F.col("_lo") <= F.col("ts_ms")) | (F.col("_hi") >= F.col("ts_ms") - window_ms)
     return (
-        local.withColumn("_b", time_bucket(F.col("ts_ms"), window_ms))
+        events.withColumn("_b", time_bucket(F.col("ts_ms"), window_ms))
         .join(near, key, "left")
-        .filter(~(F.col("op").isin("delete", "rename") & F.coalesce(echo, F.lit(False))))
-        .select(*local.columns)
+        .filter(~(F.col("op").isin(list(ops)) & F.coalesce(echo, F.lit(False))))
+        .select(*events.columns)
     )
+
+
+def echo_window(local: DataFrame, remote: DataFrame, window_ms: int = ECHO_MS) -> DataFrame:
+    """Local events without the deletes and renames that follow a remote apply of the same kind on
+    the path within ``window_ms``."""
+    return drop_following(local, remote, window_ms, ["delete", "rename"], [*STATE_KEY, "op"])
+
+
+def drop_shadowed(events: DataFrame, delay_ms: int) -> DataFrame:
+    """Events without the writes that come while a rename to their path still waits.
+
+    A rename also shows as a write of the new path; the rename alone is sent. Apply this before
+    debouncing, or the write takes the place of the rename.
+    """
+    if delay_ms <= 0:
+        return events
+    renames = events.filter(F.col("op") == "rename").select(*STATE_KEY, "ts_ms")
+    return drop_following(events, renames, delay_ms, ["modify", "create"], STATE_KEY)

@@ -9,6 +9,7 @@ from driftline.functions.paths import depth_of
 from driftline.functions.reports import numeric_parts
 from driftline.operators.timeline import page_of
 
+# Fixed value: how far a summary is moved up.
 SUMMARY_LEAD_MS = 2000
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from driftline.functions.paths import extension, slashed
 
 RULES_SCHEMA = "scope string, ord int, pattern string, case_sensitive boolean"
-#: prefix of paths that stand for key-value items
+# Fixed value: prefix of paths that stand for key-value items.
 VIRTUAL_PREFIX = "_localStorage/"
 
 

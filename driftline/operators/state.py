@@ -9,6 +9,7 @@ from driftline.functions.paths import ancestors
 from driftline.operators.rules import RuleBook, is_excluded
 from driftline.schema import STATE_KEY
 
+# Fixed value: how long an upload can be resumed.
 CHECKPOINT_MS = 20 * 60 * 1000
 FIELDS = ["hash", "mtime", "size"]
 

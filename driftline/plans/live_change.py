@@ -1,11 +1,11 @@
-"""A live feed of changes: wait out bursts, drop echoes, turn renames into messages."""
+"""A live feed of changes: drop echoes, wait out bursts, turn renames into messages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.acks import echo_window
+from driftline.operators.acks import drop_shadowed, echo_window
 from driftline.operators.rules import RuleBook, is_excluded
 from driftline.operators.state import classify_renames
 from driftline.operators.windows import debounce
@@ -19,14 +19,15 @@ def _sendable(events: DataFrame, book: RuleBook) -> DataFrame:
 
 def run(events: DataFrame, remote: DataFrame, book: RuleBook, delay_ms: int) -> DataFrame:
     """Messages to send for a table of events."""
-    return _sendable(echo_window(debounce(events, delay_ms), remote), book)
+    own = drop_shadowed(echo_window(events, remote), delay_ms)
+    return _sendable(debounce(own, delay_ms), book)
 
 
 def settle(events: DataFrame, book: RuleBook, delay_ms: int, late: str) -> DataFrame:
-    """The same for a feed whose echoes are gone.
+    """The last stage of the same for a feed.
 
-    Dropping echoes (``streaming.feeds.echo_stream``) waits on event time of its own, so it is a query
-    before this one: it writes the feed that is read here. That query holds deletes and renames back,
-    so ``late`` must be longer than its own.
+    Dropping echoes and shadowed writes (``feeds.echo_stream``, ``feeds.shadow_stream``) waits on event
+    time of its own, so these are queries before this one; the feed they write is read here. They
+    hold rows back, so ``late`` must be longer than theirs.
     """
     return _sendable(debounce_stream(events, delay_ms, late), book)

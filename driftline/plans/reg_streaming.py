@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftline.functions.paths import parent_of
 from driftline.plans.fixtures import fx
 from driftline.plans.reg_joins import _PATH_ACKS, _RENAME_ACKS, _RENAMES, _SENT, APPLY_SQL, ECHO_SQL
-from driftline.plans.reg_views import _MARK_EVENTS, DEBOUNCE_SQL, DELAY_MS, MERGED, arrived
+from driftline.plans.reg_views import _MARK_EVENTS, DEBOUNCE_SQL, DELAY_MS, FEED, MERGED, SHADOW_SQL, arrived
 from driftline.plans.registry import RAW, query
 from driftline.session import scratch_path
 from driftline.sources.changes import read_changes
@@ -23,21 +23,17 @@ LATE = "60 days"
 FAR_MS = 10 * 365 * 86_400_000
 
 
-def staged(spark, df: DataFrame, label: str, end: dict | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """Stream over ``df``. ``end`` names values of a last row that closes the feed."""
+def staged(spark, df: DataFrame, label: str, *ends: dict, files_per_batch: int | None = None) -> DataFrame:
+    """Stream over ``df``. ``ends`` name values of last rows that close the feed."""
     path = scratch_path(spark, label)
     if "ts_ms" in df.columns:
         df = df.withColumn("ts", F.timestamp_millis("ts_ms"))
     order = "ts_ms" if "ts_ms" in df.columns else df.columns[0]
     df.repartitionByRange(6, order).sortWithinPartitions(order).write.parquet(path)
-    if end is not None:
-        last = df.agg(F.max("ts_ms").alias("m"))
-        row = [
-            (F.lit(end[c]) if c in end else F.col("m") + FAR_MS if c == "ts_ms" else F.timestamp_millis(F.col("m") + FAR_MS) if c == "ts" else F.lit(None))
-            .cast(t)
-            .alias(c)
-            for c, t in df.dtypes
-        ]
+    last = df.agg(F.max("ts_ms").alias("m")) if ends else None
+    for end in ends:
+        far = {"ts_ms": F.col("m") + FAR_MS, "ts": F.timestamp_millis(F.col("m") + FAR_MS)}
+        row = [(F.lit(end[c]) if c in end else far.get(c, F.lit(None))).cast(t).alias(c) for c, t in df.dtypes]
         last.select(*row).coalesce(1).write.mode("append").parquet(path)
     schema = ", ".join(f"{c} {t}" for c, t in df.dtypes)
     return read_changes(spark, path, schema=schema, max_files=files_per_batch)
@@ -82,11 +78,19 @@ def src6(spark, sf):
 
 @query("st1_debounce_stream", f"WITH {DEBOUNCE_SQL} SELECT * FROM settled")
 def st1(spark, sf):
-    events = staged(spark, fx(spark, sf, "fx_events"), "debounce", END, 2)
+    events = staged(spark, fx(spark, sf, "fx_events"), "debounce", END, files_per_batch=2)
     rows = finished(spark, feeds.debounce_stream(events, DELAY_MS, LATE), "debounced")
     return rows.filter("vault <> 'end'").select("event_id", "vault", "path", "op", "ts_ms")
 
 
+@query("st1_shadow_stream", SHADOW_SQL)
+def st1_shadow(spark, sf):
+    ends = [{**END, "op": op} for op in ("rename", "modify")]
+    events = staged(spark, fx(spark, sf, FEED), "shadow", *ends, files_per_batch=2)
+    rows = finished(spark, feeds.shadow_stream(events, LATE, DELAY_MS), "unshadowed")
+    return rows.filter("vault <> 'end'").select("event_id", "path", "op", "ts_ms")
+
+
 @query("st2_ack_stream", RAW["jn14_match_acks"].replace("SELECT vault, path, event_id, ts_ms, last_time, CASE", "SELECT vault, path, event_id, ts_ms, CASE"))
 def st2(spark, sf):
     sinks.use_rocksdb(spark)
@@ -107,8 +111,8 @@ def st2_renames(spark, sf):
 
 @query("st3_echo_stream", ECHO_SQL)
 def st3(spark, sf):
-    local = staged(spark, fx(spark, sf, "fx_events"), "local", {**END, "op": "delete"}, 2)
-    remote = staged(spark, fx(spark, sf, "fx_remote"), "remote", {**END, "op": "delete"}, 2)
+    local = staged(spark, fx(spark, sf, "fx_events"), "local", {**END, "op": "delete"}, files_per_batch=2)
+    remote = staged(spark, fx(spark, sf, "fx_remote"), "remote", {**END, "op": "delete"}, files_per_batch=2)
     rows = finished(spark, feeds.echo_stream(local, remote, LATE), "echo")
     return rows.filter("vault <> 'end'").select("event_id", "path", "op", "ts_ms")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftline.functions.messages import log_category
-from driftline.operators import aggregates, chunks, compare, filters, history, ordering, windows
+from driftline.operators import acks, aggregates, chunks, compare, filters, history, ordering, windows
 from driftline.plans.fixtures import fx
 from driftline.plans.reg_filters import LOG_CATEGORY, session_files
 from driftline.plans.reg_joins import KEY, _reconcile_sql, decisions
@@ -190,6 +190,19 @@ def w2(spark, sf):
     return windows.debounce(fx(spark, sf, "fx_events"), DELAY_MS).select("event_id", "vault", "path", "op", "ts_ms")
 
 
+#: the feed with writes to the new path of a rename, some within the delay
+FEED = """SELECT event_id, ts_ms, vault, device, op, path, old_path, content_hash, mtime, size FROM fx_events
+UNION ALL SELECT event_id + 1000000, ts_ms + event_id % 4 * 3600000, vault, device, 'modify', path, NULL, content_hash, mtime, size FROM fx_events WHERE op = 'rename'"""
+SHADOW_SQL = f"""WITH feed AS ({FEED})
+SELECT e.event_id, e.path, e.op, e.ts_ms FROM feed e WHERE NOT (e.op IN ('modify', 'create') AND EXISTS
+  (SELECT 1 FROM feed r WHERE r.op = 'rename' AND r.vault = e.vault AND r.device = e.device AND r.path = e.path AND r.ts_ms BETWEEN e.ts_ms - {DELAY_MS} AND e.ts_ms))"""
+
+
+@query("w2_drop_shadowed", SHADOW_SQL)
+def w2_shadow(spark, sf):
+    return acks.drop_shadowed(fx(spark, sf, FEED), DELAY_MS).select("event_id", "path", "op", "ts_ms")
+
+
 @query(
     "w3_cap_per_kind",
     f"""WITH a AS ({_ALL}), r AS (SELECT *, row_number() OVER (PARTITION BY vault, device, kind ORDER BY path) AS rn FROM a)

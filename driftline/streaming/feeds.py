@@ -5,6 +5,8 @@ Event time is the timestamp column ``ts``; ``late`` is how far behind it rows ma
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,26 +37,36 @@ def debounce_stream(events: DataFrame, delay_ms: int, late: str, is_raw: Column
     return sessions.filter("_l._real = 1").select("vault", "device", *[f"_l.{c}" for c in rest]).select(*events.columns)
 
 
-def echo_stream(local: DataFrame, remote: DataFrame, late: str, window_ms: int = ECHO_MS) -> DataFrame:
-    """Local events that are no echo of a remote apply just before.
+def drop_following_stream(
+    events: DataFrame, marks: DataFrame, late: str, window_ms: int, ops: Sequence[str], keys: Sequence[str]
+) -> DataFrame:
+    """The batch ``drop_following`` on feeds.
 
-    Deletes and renames wait in an outer interval join until no apply can come any more; other
-    events pass at once.
+    Events of ``ops`` wait in an outer interval join until no mark can come any more; other events pass
+    at once.
     """
     window = F.expr(f"INTERVAL {window_ms} MILLISECONDS")
-    watched = F.col("op").isin("delete", "rename")
-    mine = local.filter(watched).withWatermark("ts", late).alias("l")
-    applied = (
-        remote.filter(watched)
-        .withWatermark("ts", late)
-        .select(*[F.col(c).alias(f"r_{c}") for c in (*STATE_KEY, "op", "ts")])
-        .alias("r")
-    )
+    watched = F.col("op").isin(list(ops))
+    mine = events.filter(watched).withWatermark("ts", late)
+    near = marks.withWatermark("ts", late).select(*[F.col(c).alias(f"r_{c}") for c in (*keys, "ts")])
     same = F.col("r_ts").between(F.col("ts") - window, F.col("ts"))
-    for c in (*STATE_KEY, "op"):
+    for c in keys:
         same = same & (F.col(c) == F.col(f"r_{c}"))
-    kept = mine.join(applied, same, "left_outer").filter(F.col("r_ts").isNull()).select(*local.columns)
-    return kept.unionByName(local.filter(~watched))
+    kept = mine.join(near, same, "left_outer").filter(F.col("r_ts").isNull()).select(*events.columns)
+    return kept.unionByName(events.filter(~watched))
+
+
+def echo_stream(local: DataFrame, remote: DataFrame, late: str, window_ms: int = ECHO_MS) -> DataFrame:
+    """Local events that are no echo of a remote apply just before."""
+    ops = ["delete", "rename"]
+    applied = remote.filter(F.col("op").isin(ops))
+    return drop_following_stream(local, applied, late, window_ms, ops, [*STATE_KEY, "op"])
+
+
+def shadow_stream(events: DataFrame, late: str, delay_ms: int) -> DataFrame:
+    """Events without the writes that come while a rename to their path still waits."""
+    renames = events.filter(F.col("op") == "rename")
+    return drop_following_stream(events, renames, late, delay_ms, ["modify", "create"], STATE_KEY)
 
 
 def log_stream(log_events: DataFrame) -> DataFrame:
@@ -70,7 +82,10 @@ def watermark_stream(messages: DataFrame) -> DataFrame:
 
 def latest_changes(events: DataFrame) -> DataFrame:
     """The last put or remove of each path among events. Doubled events change nothing."""
-    changes = state_changes(events)
+    return last_changes(state_changes(events))
+
+
+def last_changes(changes: DataFrame) -> DataFrame:
     rest = ["is_put", "hash", "mtime", "size", "order_key"]
     last = changes.groupBy(*STATE_KEY).agg(F.max_by(F.struct(*rest), "order_key").alias("_l"))
     return last.select(*STATE_KEY, *[f"_l.{c}" for c in rest])
@@ -79,8 +94,7 @@ def latest_changes(events: DataFrame) -> DataFrame:
 def state_after(base: DataFrame, changes: DataFrame) -> DataFrame:
     """State from a base and the folded changes of all batches. The latest change of a path counts,
     whatever batch it came in, so rows that came late lose."""
-    rest = ["is_put", "hash", "mtime", "size"]
-    last = changes.groupBy(*STATE_KEY).agg(F.max_by(F.struct(*rest), "order_key").alias("_l"))
+    last = last_changes(changes).select(*STATE_KEY, F.struct("is_put", "hash", "mtime", "size").alias("_l"))
     old = base.select(*STATE_KEY, F.struct("hash", "mtime", "size").alias("_s"))
     row = F.when(F.col("_l").isNull(), F.col("_s")).otherwise(
         F.struct(F.col("_l.hash").alias("hash"), F.col("_l.mtime").alias("mtime"), F.col("_l.size").alias("size"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# Life of a transfer session, limit of a round, kinds of a round.
 SESSION_TTL_MS = 20 * 60 * 1000
 ROUND_LIMIT_MS = 30_000
 ROUND_KINDS = 4

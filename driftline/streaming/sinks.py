@@ -40,6 +40,16 @@ def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_l")).select(*keys, *[f"_l.{c}" for c in rest])
 
 
+def fold_state_changes(spark: SparkSession, path: str, out: str) -> None:
+    """Fold the changes of all batches so far to the last per path, in a new folder.
+
+    Readers move to ``out`` and drop the folded batches, so the log of changes does not grow for ever.
+    """
+    from driftline.streaming.feeds import last_changes
+
+    last_changes(spark.read.parquet(path).drop("batch")).write.mode("overwrite").parquet(out)
+
+
 def write_state_changes(events: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Puts and removes of each batch, folded to the last per path (see ``streaming.feeds.state_stream``)."""
     from driftline.streaming.feeds import latest_changes

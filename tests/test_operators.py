@@ -231,6 +231,24 @@ def test_echo_window_like_a_scan(spark):
     assert {x.event_id for x in acks.echo_window(l, r).collect()} == want
 
 
+def test_shadowed_writes_like_a_scan(spark):
+    events = random_events(random.Random(12), 250, 4)
+    renames = [(e[1], e[5]) for e in events if e[4] == "rename"]
+    for delay in (0, 5, 80):
+        want = {e[0] for e in events if delay == 0 or e[4] not in ("modify", "create") or not any(p == e[5] and e[1] - delay <= t <= e[1] for t, p in renames)}
+        got = acks.drop_shadowed(spark.createDataFrame(events, EVENTS), delay)
+        assert {r.event_id for r in got.collect()} == want
+
+
+def test_a_rename_survives_the_write_it_causes(spark):
+    from driftline.plans import live_change
+
+    rows = [(1, 1000, "v", "d", "rename", "b.md", "a.md", "h", 1, 1), (2, 1001, "v", "d", "modify", "b.md", None, "h", 1, 1)]
+    none = spark.createDataFrame([], "vault string, device string, path string, ts_ms long, op string")
+    out = live_change.run(spark.createDataFrame(rows, EVENTS), none, RuleBook(), 500).collect()
+    assert [(r.event_id, r.op, r.path, r.old_path) for r in out] == [(1, "rename", "b.md", "a.md")]
+
+
 def test_log_order_equals_comparator(spark):
     from functools import cmp_to_key
 

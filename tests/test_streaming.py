@@ -136,6 +136,10 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
     # a second run from the start writes the same batches again
     sinks.write_state_changes(feed.stream(), out, out + "-check2").awaitTermination()
     assert sorted(map(tuple, feeds.state_after(base, spark.read.parquet(out)).collect())) == first and first
+    sinks.fold_state_changes(spark, out, str(tmp_path / "folded"))
+    folded = spark.read.parquet(str(tmp_path / "folded"))
+    assert sorted(map(tuple, feeds.state_after(base, folded).collect())) == first
+    assert folded.count() == folded.select("path").distinct().count()
 
 
 def test_live_change_stream(spark, tmp_path):
