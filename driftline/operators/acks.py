@@ -94,11 +94,15 @@ def match_rename_acks(renames: DataFrame, acks: DataFrame, bucket_ms: int = BUCK
         (F.col("_cr") + F.col("_r")).alias("n_renames"), (F.col("_ca") + F.col("_a")).alias("n_acks"),
     )
     hit = is_ack & (F.col("n_renames") - F.col("n_acks") >= F.col("_lowest"))
-    taken = line.filter(hit).select(*key, (F.col("n_acks") + F.col("_lowest")).alias("nth"), F.col("ts_ms").alias("acked_at"))
-    waiting = line.filter(~is_ack).select(
-        *key, "event_id", "ts_ms", "old_path", "path", F.col("n_renames").alias("nth")
+    # the nth rename and the nth ack that found one meet under their number
+    nth = F.when(is_ack, F.col("n_acks") + F.col("_lowest")).otherwise(F.col("n_renames"))
+    rename = F.struct("event_id", "ts_ms", "old_path", "path")
+    pairs = (
+        line.filter(~is_ack | hit)
+        .groupBy(*key, nth.alias("nth"))
+        .agg(F.max(F.when(~is_ack, rename)).alias("_r"), F.max(F.when(is_ack, F.col("ts_ms"))).alias("acked_at"))
     )
-    return waiting.join(taken, [*key, "nth"], "left")
+    return pairs.filter(F.col("_r").isNotNull()).select(*key, "nth", "_r.*", "acked_at")
 
 
 def drop_following(
