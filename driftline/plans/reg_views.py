@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.functions.messages import log_category
 from driftline.operators import acks, aggregates, chunks, compare, filters, history, ordering, windows
 from driftline.plans.fixtures import fx
 from driftline.plans.reg_filters import LOG_CATEGORY, session_files

@@ -250,8 +250,6 @@ def test_a_rename_survives_the_write_it_causes(spark):
 
 
 def test_log_order_equals_comparator(spark):
-    from functools import cmp_to_key
-
     rng = random.Random(13)
     rows = [(i, rng.randrange(0, 9000), rng.choice(["summary", "note", "file"])) for i in range(200)]
 
