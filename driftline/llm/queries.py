@@ -42,3 +42,10 @@ def op3(spark, sf_dir):
     from driftline.llm.bpe import round_trip
 
     return round_trip(documents(spark, sf_dir), tokenizer_path())
+
+
+@query("op7_simhash_groups")
+def op7(spark, sf_dir):
+    from driftline.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
