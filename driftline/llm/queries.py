@@ -49,3 +49,17 @@ def op7(spark, sf_dir):
     from driftline.llm.simhash import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir))
+
+
+@query(
+    "op6_exact_groups",
+    r"""
+    WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
+         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)
+    """,
+)
+def op6(spark, sf_dir):
+    from driftline.llm.exact import exact_groups
+
+    return exact_groups(documents(spark, sf_dir))
