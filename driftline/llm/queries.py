@@ -63,3 +63,10 @@ def op6(spark, sf_dir):
     from driftline.llm.exact import exact_groups
 
     return exact_groups(documents(spark, sf_dir))
+
+
+@query("op1_quality_rules")
+def op1(spark, sf_dir):
+    from driftline.llm.quality import rated
+
+    return rated(documents(spark, sf_dir))
