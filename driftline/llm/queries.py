@@ -70,3 +70,38 @@ def op1(spark, sf_dir):
     from driftline.llm.quality import rated
 
     return rated(documents(spark, sf_dir))
+
+
+@query(
+    "op9_source_mix",
+    r"""
+    WITH d AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+               md5(concat('mix-0:', coalesce(doc_id::VARCHAR, 'null'))) AS place
+        FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+    w AS (SELECT *, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+    r AS (SELECT *, row_number() OVER (ORDER BY 2::DOUBLE * source_size / w, k) AS pos FROM w),
+    c AS (
+        SELECT *, total - coalesce(sum(2 * source_size) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room,
+               sum(w) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_w
+        FROM r),
+    f AS (SELECT arg_min(room, pos) AS room, arg_min(left_w, pos) AS left_w, min(pos) AS pos FROM c WHERE room * w / left_w <= 2 * source_size),
+    t AS (
+        SELECT c.source, c.source_size,
+               CASE WHEN c.pos < f.pos THEN 2::DOUBLE * c.source_size ELSE f.room * c.w / f.left_w::DOUBLE END AS target
+        FROM c, f),
+    e AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target)::BIGINT // source_size END AS whole FROM t),
+    o AS (
+        SELECT d.doc_id, d.source, d.size, e.source_size, e.target, e.whole, floor(e.target)::BIGINT - e.whole * e.source_size AS rest,
+               coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+    SELECT doc_id, size, source_size, target, source,
+           (size * (whole + CASE WHEN rest > before AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM o
+    """,
+)
+def op9(spark, sf_dir):
+    from driftline.llm.mix import mixed
+
+    return mixed(documents(spark, sf_dir))
