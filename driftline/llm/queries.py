@@ -105,3 +105,10 @@ def op9(spark, sf_dir):
     from driftline.llm.mix import mixed
 
     return mixed(documents(spark, sf_dir))
+
+
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    from driftline.llm.langid import identified
+
+    return identified(documents(spark, sf_dir))
