@@ -112,3 +112,10 @@ def op4(spark, sf_dir):
     from driftline.llm.langid import identified
 
     return identified(documents(spark, sf_dir))
+
+
+@query("op10_personal_data")
+def op10(spark, sf_dir):
+    from driftline.llm.pii import personal
+
+    return personal(documents(spark, sf_dir))
