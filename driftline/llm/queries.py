@@ -119,3 +119,39 @@ def op10(spark, sf_dir):
     from driftline.llm.pii import personal
 
     return personal(documents(spark, sf_dir))
+
+
+@query(
+    "op5_line_dedup",
+    r"""
+    WITH RECURSIVE raw AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+        FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, line_no, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw),
+    d AS (
+        SELECT line, length(line) AS n, count(*) AS copies, min({'d': doc_id, 'l': line_no}) AS first
+        FROM l WHERE length(line) >= 20 GROUP BY line),
+    c AS (
+        SELECT a.line AS a, b.line AS b FROM d a JOIN d b ON left(a.line, 10) = left(b.line, 10) AND abs(a.n - b.n) <= 1 AND a.line < b.line
+        UNION SELECT a.line, b.line FROM d a JOIN d b ON right(a.line, 10) = right(b.line, 10) AND abs(a.n - b.n) <= 1 AND a.line < b.line),
+    e AS (
+        SELECT a, b FROM c
+        WHERE len(list_filter(range(0, greatest(length(a), length(b))), lambda i:
+            left(a, i) = left(b, i)
+            AND right(a, length(a) - i - CASE WHEN length(a) >= length(b) THEN 1 ELSE 0 END)
+              = right(b, length(b) - i - CASE WHEN length(b) >= length(a) THEN 1 ELSE 0 END))) > 0),
+    s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r AS (SELECT a AS line, a AS other FROM s UNION SELECT r.line, s.b FROM r JOIN s ON r.other = s.a),
+    t AS (SELECT line, min(other) AS root FROM r GROUP BY line),
+    g AS (SELECT d.*, coalesce(t.root, d.line) AS root FROM d LEFT JOIN t USING (line)),
+    h AS (SELECT root, min(first) AS head, sum(copies)::BIGINT AS class_size FROM g GROUP BY root)
+    SELECT l.doc_id, l.line_no::BIGINT AS line_no, coalesce(h.head.d, l.doc_id) AS class_doc,
+           coalesce(h.head.l, l.line_no)::BIGINT AS class_line, coalesce(h.class_size, 1)::BIGINT AS class_size,
+           h.head IS NULL OR (h.head.d = l.doc_id AND h.head.l = l.line_no) AS kept
+    FROM l LEFT JOIN g USING (line) LEFT JOIN h USING (root)
+    """,
+)
+def op5(spark, sf_dir):
+    from driftline.llm.lines import marked
+
+    return marked(documents(spark, sf_dir))
