@@ -155,3 +155,10 @@ def op5(spark, sf_dir):
     from driftline.llm.lines import marked
 
     return marked(documents(spark, sf_dir))
+
+
+@query("op8_edited_token_counts")
+def op8(spark, sf_dir):
+    from driftline.llm.edits import counted
+
+    return counted(documents(spark, sf_dir), tokenizer_path())
