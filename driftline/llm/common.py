@@ -33,6 +33,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(docs: DataFrame, *also: str):
+    """The whole row under one name, beside the columns that an operator works with, so that no column's name can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), *also)
+
+
+def unpacked(df: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The columns of ``whole_row`` again, some of them replaced."""
+    return df.select(*((new[c] if c in new else F.col(f"__row.`{c}`")).alias(c) for c in columns))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import SPACES, stored
+from driftline.llm.common import NOT_SPACES, SPACES, stored, unpacked, whole_row
 from driftline.llm.components import components
 
 #: lines of fewer characters are left alone: so short, they are alike by chance
@@ -243,9 +243,10 @@ def without_repeats(docs: DataFrame, edits: int = 1, crowd: int = CROWD) -> Data
     """
     gone = marked(docs, edits, crowd).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
     gone = gone.withColumnRenamed("doc_id", "__id")
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    rows = whole_row(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     text = F.expr(
         "IF(__gone IS NULL, text, array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(__gone, CAST(i AS BIGINT))), '\\n'))"
     )
-    left = rows.withColumn("text", text).where(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.select(*docs.columns)
+    left = rows.withColumn("__text", text).where(F.col("__gone").isNull() | F.col("__text").rlike(NOT_SPACES))
+    return unpacked(left, docs.columns, text=F.col("__text"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import slices, stored, text_bytes
+from driftline.llm.common import slices, stored, text_bytes, unpacked, whole_row
 from driftline.llm.components import components
 
 SEED = 42
@@ -151,11 +151,11 @@ def keep_first(docs: DataFrame, distance: int = 2, shingle: int = 3, blocks: int
     """
     found = near_duplicates(docs, distance, shingle, blocks)
     heads = found.where("component_id = doc_id").select(F.col("doc_id").alias("__head")).distinct()
-    named = docs.join(heads, docs.doc_id == heads["__head"], "left_semi").dropDuplicates(["doc_id"])
+    rows = whole_row(docs, F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
+    named = rows.join(heads, F.col("doc_id") == F.col("__head"), "left_semi").dropDuplicates(["doc_id"])
     nameless = found.where("component_id IS NULL").select("fingerprint").distinct()
-    lost = docs.where("doc_id IS NULL")
-    rest = _with_fingerprint(lost, shingle).join(nameless, "fingerprint", "left_semi").select(*docs.columns)
-    return named.unionByName(rest)
+    lost = _with_fingerprint(rows.where("doc_id IS NULL"), shingle).join(nameless, "fingerprint", "left_semi")
+    return unpacked(named.select("__row").unionByName(lost.select("__row")), docs.columns)
 
 
 def _with_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
@@ -163,4 +163,4 @@ def _with_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([np.uint64(fingerprint(t, shingle)).astype(np.int64) for t in texts], dtype="int64")
 
-    return docs.withColumn("fingerprint", F.lower(F.lpad(F.hex(fp(text_bytes())), 16, "0")))
+    return docs.withColumn("fingerprint", F.lower(F.lpad(F.hex(fp("text")), 16, "0")))
