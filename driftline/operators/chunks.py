@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.filters import BINARY_LIMIT
-
-
-def latest_chunks(chunks: DataFrame) -> DataFrame:
-    """One payload per (session, index): the last that came (``seq``). Copies are folded map-side."""
-    return chunks.groupBy("session_id", "chunk_index").agg(F.max_by("payload", "seq").alias("payload"))
-
 
 def latest_lengths(chunks: DataFrame) -> DataFrame:
     """Payload length per (session, index); the payload itself is not shuffled."""
@@ -19,31 +12,66 @@ def latest_lengths(chunks: DataFrame) -> DataFrame:
     return sized.groupBy("session_id", "chunk_index").agg(F.max_by("_len", "seq").alias("n_bytes"))
 
 
-def assemble_files(chunks: DataFrame, sessions: DataFrame, limit: int = BINARY_LIMIT) -> DataFrame:
-    """Content of each session, or an ``error``.
-
-    Sessions are judged on counts and lengths first. Only those that are complete, have the stated
-    size and stay within ``limit`` are gathered, so the bytes in one group are bounded by ``limit``.
-    """
+def judged_sessions(chunks: DataFrame, sessions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sessions with an ``error`` or null, judged on counts and lengths; no payload moves. Without ``limit`` any size will do."""
     facts = latest_lengths(chunks).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("_n"), F.max("chunk_index").alias("_top"), F.sum("n_bytes").alias("_bytes")
     )
     checked = sessions.join(facts, "session_id", "left")
     n, total = F.coalesce(F.col("_n"), F.lit(0)), F.col("total_chunks")
     got = F.coalesce(F.col("_bytes"), F.lit(0))
+    too_large = F.col("size") > limit if limit is not None else F.lit(False)
     error = (
-        F.when(F.col("size") > limit, "too large")
+        F.when(too_large, "too large")
         .when(F.col("_top") >= total, "invalid chunk index")
         .when(n < total, "missing chunk")
         .when(got != F.col("size"), "size mismatch")
     )
-    judged = checked.select(*sessions.columns, error.alias("error"))
+    return checked.select(*sessions.columns, error.alias("error"))
+
+
+def _winners(chunks: DataFrame) -> DataFrame:
+    """The last copy of each chunk, by ``seq`` and length."""
+    copy = F.struct("seq", F.octet_length("payload").cast("long").alias("n"))
+    return chunks.groupBy("session_id", "chunk_index").agg(F.max(copy).alias("_last"))
+
+
+def ordered_pieces(chunks: DataFrame, sessions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Content of the sessions without error as rows: ``session_id, chunk_index, offset, payload``.
+
+    For sessions of any size: no cell holds more than one chunk.
+    """
+    good = judged_sessions(chunks, sessions, limit).filter(F.col("error").isNull()).select("session_id")
+    before = Window.partitionBy("session_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    places = (
+        _winners(chunks)
+        .join(good, "session_id", "left_semi")
+        .select("session_id", "chunk_index", F.col("_last.seq").alias("seq"), F.coalesce(F.sum("_last.n").over(before), F.lit(0)).alias("offset"))
+    )
+    pieces = chunks.join(places, ["session_id", "chunk_index", "seq"])
+    return pieces.select("session_id", "chunk_index", "offset", "payload").dropDuplicates(["session_id", "chunk_index"])
+
+
+def assemble_files(chunks: DataFrame, sessions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Content of each session, or an ``error``.
+
+    Sessions are judged on counts and lengths first, and the copy of each chunk that counts is found without its
+    payload. The payloads then move once, by session. Each content is one cell; sessions too
+    large for that are read by :func:`ordered_pieces`.
+    """
+    judged = judged_sessions(chunks, sessions, limit)
     good = judged.filter(F.col("error").isNull()).select("session_id")
-    whole = (
-        latest_chunks(chunks)
+    places = (
+        _winners(chunks)
         .join(good, "session_id", "left_semi")
         .groupBy("session_id")
-        .agg(F.array_sort(F.collect_list(F.struct("chunk_index", "payload"))).alias("_parts"))
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("chunk_index").alias("key"), F.col("_last.seq").alias("value")))).alias("_seqs"))
+    )
+    whole = (
+        chunks.join(places, "session_id")
+        .filter(F.col("seq") == F.element_at("_seqs", F.col("chunk_index")))
+        .groupBy("session_id")
+        .agg(F.array_sort(F.collect_set(F.struct("chunk_index", "payload"))).alias("_parts"))
         .select("session_id", joined_bytes("_parts").alias("content"))
     )
     return judged.join(whole, "session_id", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.paths import depth_of
 from driftline.functions.reports import numeric_parts
-from driftline.operators.timeline import page_of
+from driftline.operators.timeline import global_rank, page_of
 
 # Fixed value: how far a summary is moved up.
 SUMMARY_LEAD_MS = 2000
@@ -24,8 +24,8 @@ def order_log(log: DataFrame) -> DataFrame:
     return log.orderBy(*log_order())
 
 
-def top_paths(found: DataFrame, k: int = 50) -> DataFrame:
-    """The shortest matches."""
+def top_paths(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` shortest matches."""
     return found.orderBy(F.length("shown"), "shown", "vault").limit(k)
 
 
@@ -37,10 +37,11 @@ def version_key(version: Column) -> Column:
 
 
 def order_versions(versions: DataFrame, latest: str, version: str = "version") -> DataFrame:
-    """Versions other than the latest, newest first."""
+    """Versions other than the latest with their ``position``, newest first."""
     clean = F.trim(F.regexp_replace(F.col(version), r"(?i)\Av", ""))
     target = latest[1:] if latest[:1] in ("v", "V") else latest
-    return versions.filter(clean != target.strip()).orderBy(version_key(F.col(version)).desc(), F.col(version))
+    others = versions.filter(clean != target.strip()).withColumn("_key", version_key(F.col(version)))
+    return global_rank(others, [F.col("_key").desc(), F.col(version).asc()], "position").drop("_key").orderBy("position")
 
 
 def top_records(

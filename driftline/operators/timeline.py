@@ -13,11 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.operators.skew import join_facts
 from driftline.session import materialise
 
-#: Largest number of rows that may be kept by a top-k on its way to one page.
-TOP_K_BOUND = 100_000
-
 
 def time_bucket(ts: Column, width: int) -> Column:
     """Number of the bucket of ``width`` that holds ``ts`` (both long)."""
@@ -157,13 +155,15 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     )
 
 
-def page_of(df: DataFrame, order: Sequence[Column], page: int, page_size: int) -> DataFrame:
-    """Rows of one page of an ordered table.
+def grouped_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, spread: Sequence[str]) -> DataFrame:
+    """1-based position of each row in its group: its global position less that of the group's first row."""
+    placed = global_rank(df, [*(F.col(k).asc() for k in keys), *order], name)
+    starts = placed.groupBy(*keys).agg((F.min(name) - 1).alias("_start"))
+    return join_facts(placed, starts, keys, spread, "inner").withColumn(name, F.col(name) - F.col("_start")).drop("_start")
 
-    Pages near the front are a bounded top-k. Deeper pages use distributed positions.
-    """
+
+def page_of(df: DataFrame, order: Sequence[Column], page: int, page_size: int) -> DataFrame:
+    """Rows of one page of an ordered table, found by their positions whatever the depth."""
     end = page * page_size
-    if end <= TOP_K_BOUND:
-        return df.orderBy(*order).offset(end - page_size).limit(page_size)
     ranked = global_rank(df, order, "_pos")
     return ranked.filter((F.col("_pos") > end - page_size) & (F.col("_pos") <= end)).drop("_pos")

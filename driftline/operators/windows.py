@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.timeline import global_rank, page_of, time_bucket, top_n_per_group
+from driftline.operators.timeline import global_rank, grouped_rank, page_of, time_bucket
 from driftline.schema import STATE_KEY
 
-# Caps of the reference's rounds and views.
-ROUND_CAP = 2000
-HASH_BUDGET = 5000
-LOG_CAP = 5000
+# Fixed value: how much longer raw config events wait.
 RAW_EXTRA_MS = 300
 
 
@@ -57,17 +54,28 @@ def debounce(events: DataFrame, delay_ms: int, is_raw: Column | None = None) ->
     return seen.filter(kept).select(*events.columns)
 
 
-def cap_per_kind(df: DataFrame, n: int = ROUND_CAP) -> DataFrame:
-    """At most ``n`` notes, files and folders per device, by path; other kinds are not capped."""
-    capped = F.col("kind").isin("note", "file", "folder")
-    first = top_n_per_group(df.filter(capped), ["vault", "device", "kind"], [F.col("path").asc()], n, ["path"])
-    return first.unionByName(df.filter(~capped))
+def _numbered(df: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
+    ranked = grouped_rank(df, keys, [F.col("path").asc()], "_rank", ["path"])
+    return ranked.withColumn(name, F.floor((F.col("_rank") - 1) / n).cast("long")).drop("_rank")
 
 
-def hash_budget(df: DataFrame, n: int = HASH_BUDGET) -> DataFrame:
-    """Rows of this round when at most ``n`` per device may be hashed; the others wait."""
-    first = top_n_per_group(df.filter("needs_hash"), ["vault", "device"], [F.col("path").asc()], n, ["path"])
-    return first.unionByName(df.filter("NOT needs_hash"))
+def cap_per_kind(df: DataFrame, n: int) -> DataFrame:
+    """All rows, with the ``request`` that each belongs to: ``n`` notes, files and folders per device go in one, by path.
+
+    Other kinds are not capped and go in the first, number 0.
+    """
+    capped = F.coalesce(F.col("kind").isin("note", "file", "folder"), F.lit(False))
+    first = _numbered(df.filter(capped), ["vault", "device", "kind"], n, "request")
+    return first.unionByName(df.filter(~capped).withColumn("request", F.lit(0).cast("long")))
+
+
+def hash_budget(df: DataFrame, n: int) -> DataFrame:
+    """All rows, with the ``round`` in which each is hashed when ``n`` per device are hashed in one, by path.
+
+    Rows that need no hash are in the first, number 0.
+    """
+    first = _numbered(df.filter("needs_hash"), ["vault", "device"], n, "round")
+    return first.unionByName(df.filter("NOT needs_hash").withColumn("round", F.lit(0).cast("long")))
 
 
 def paginate(df: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
@@ -80,6 +88,7 @@ def batches(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return ranked.withColumn("batch", F.floor((F.col("_rank") - 1) / n).cast("long")).drop("_rank")
 
 
-def log_ring(log: DataFrame, n: int = LOG_CAP) -> DataFrame:
-    """The newest ``n`` log rows by insertion."""
-    return log.orderBy(F.col("first_seq").desc()).limit(n)
+def log_ring(log: DataFrame, n: int) -> DataFrame:
+    """All log rows, with the ``ring`` that each is in: the newest ``n`` by insertion are ring 0, the ``n`` before them ring 1."""
+    ranked = global_rank(log, [F.col("first_seq").desc()], "_rank")
+    return ranked.withColumn("ring", F.floor((F.col("_rank") - 1) / n).cast("long")).drop("_rank")

@@ -205,21 +205,21 @@ def w2_shadow(spark, sf):
 @query(
     "w3_cap_per_kind",
     f"""WITH a AS ({_ALL}), r AS (SELECT *, row_number() OVER (PARTITION BY vault, device, kind ORDER BY path) AS rn FROM a)
-SELECT vault, kind, path FROM r WHERE kind = 'config' OR rn <= 40""",
+SELECT vault, kind, path, CASE WHEN kind = 'config' THEN 0 ELSE (rn - 1) // 40 END AS request FROM r""",
 )
 def w3(spark, sf):
-    return windows.cap_per_kind(fx(spark, sf, _ALL), 40).select("vault", "kind", "path")
+    return windows.cap_per_kind(fx(spark, sf, _ALL), 40).select("vault", "kind", "path", "request")
 
 
 @query(
     "w4_hash_budget",
     f"""WITH j AS (SELECT a.vault, a.device, a.path, b.hash IS NULL AS needs_hash FROM fx_local a LEFT JOIN fx_base b ON {KEY} AND a.mtime = b.mtime AND a.size = b.size),
 r AS (SELECT *, row_number() OVER (PARTITION BY vault, device ORDER BY path) AS rn FROM j WHERE needs_hash)
-SELECT vault, path, needs_hash FROM r WHERE rn <= 30 UNION ALL SELECT vault, path, needs_hash FROM j WHERE NOT needs_hash""",
+SELECT vault, path, needs_hash, (rn - 1) // 30 AS round FROM r UNION ALL SELECT vault, path, needs_hash, 0 FROM j WHERE NOT needs_hash""",
 )
 def w4(spark, sf):
     rows = compare.reuse_hashes(fx(spark, sf, "fx_local"), fx(spark, sf, "fx_base"))
-    return windows.hash_budget(rows, 30).select("vault", "path", "needs_hash")
+    return windows.hash_budget(rows, 30).select("vault", "path", "needs_hash", "round")
 
 
 @query("w5_paginate", "SELECT vault, path, size FROM fx_local ORDER BY vault, path LIMIT 25 OFFSET 50")
@@ -316,9 +316,9 @@ def hi5(spark, sf):
     return history.line_changes(fx(spark, sf, "fx_history"))
 
 
-@query("w9_log_ring", f"WITH {MERGED} SELECT id, first_seq, status FROM log ORDER BY first_seq DESC LIMIT 500")
+@query("w9_log_ring", f"WITH {MERGED} SELECT id, first_seq, status, (row_number() OVER (ORDER BY first_seq DESC) - 1) // 500 AS ring FROM log")
 def w9(spark, sf):
-    return windows.log_ring(merged_log(spark, sf), 500).select("id", "first_seq", "status")
+    return windows.log_ring(merged_log(spark, sf), 500).select("id", "first_seq", "status", "ring")
 
 
 @query(
@@ -336,7 +336,7 @@ def so1(spark, sf):
   WHERE shown ILIKE 'src1%') q ORDER BY length(shown), shown, vault LIMIT 50""",
 )
 def so2(spark, sf):
-    return ordering.top_paths(filters.path_search(fx(spark, sf, "fx_local"), fx(spark, sf, "fx_folders"), "src1"))
+    return ordering.top_paths(filters.path_search(fx(spark, sf, "fx_local"), fx(spark, sf, "fx_folders"), "src1"), 50)
 
 
 _VERSIONS = """SELECT DISTINCT concat(CASE WHEN o_custkey % 7 = 0 THEN 'v' ELSE '' END, CAST(o_custkey % 5 AS STRING), '.', CAST(o_orderkey % 23 AS STRING), '.', CAST(o_custkey % 13 AS STRING)) AS version FROM orders"""
@@ -345,10 +345,10 @@ _VERSIONS = """SELECT DISTINCT concat(CASE WHEN o_custkey % 7 = 0 THEN 'v' ELSE
 @query(
     "so3_order_versions",
     f"""WITH v AS ({_VERSIONS}), p AS (SELECT version, list_transform(string_split(ltrim(version, 'v'), '.'), lambda x: CAST(x AS INT)) AS k FROM v WHERE ltrim(version, 'v') <> '4.22.12')
-SELECT version FROM p ORDER BY k DESC, version LIMIT 100""",
+SELECT version, row_number() OVER (ORDER BY k DESC, version) AS position FROM p""",
 )
 def so3(spark, sf):
-    return ordering.order_versions(fx(spark, sf, _VERSIONS), "v4.22.12").limit(100)
+    return ordering.order_versions(fx(spark, sf, _VERSIONS), "v4.22.12")
 
 
 _AMOUNTS = """SELECT c_name AS name, o_orderdate AS paid_at, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey"""

@@ -24,6 +24,8 @@ class Round:
     decisions: DataFrame
     counts: DataFrame
     state: DataFrame
+    #: rows too large to be synced, with a ``reason``
+    oversized: DataFrame
 
 
 def hash_listing(listing: DataFrame, content: DataFrame, base: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def run(
     offline_delete: bool = False,
 ) -> Round:
     """Tables of one round for all devices of a listing. Nothing runs until one of them is used."""
-    kept, _ = size_guard(exclude_paths(listing, book))
+    kept, large = size_guard(exclude_paths(listing, book))
     hashed = hash_listing(kept, content, base)
     manifest = attach_base(hashed.withColumn("path_hash", string_fingerprint(F.col("path"))), base)
     deleted = detect_deleted(base, listing, book, offline_delete)
@@ -57,4 +59,5 @@ def run(
     scanned = hashed.filter("needs_hash").select(*STATE_KEY, F.col("content_hash").alias("hash"), "mtime", "size")
     nothing = scanned.limit(0)
     state = commit_round(base, nothing, scanned, deleted)
-    return Round(manifest, deleted, decisions, task_counts(decisions), state)
+    oversized = large.withColumn("reason", F.concat("kind", F.lit(" too large")))
+    return Round(manifest, deleted, decisions, task_counts(decisions), state, oversized)

@@ -45,8 +45,9 @@ def state_maps(state: DataFrame, per_map: int = ENTRIES_PER_MAP) -> DataFrame:
 
 
 def store_state(state: DataFrame, path: str) -> None:
-    """State as Parquet by vault, sorted by path so that path ranges prune row groups."""
-    state.sortWithinPartitions("vault", "device", "path").write.mode("overwrite").partitionBy("vault").parquet(path)
+    """State as Parquet by vault. Each file holds one range of devices and paths, so that path ranges prune files and row groups."""
+    key = ["vault", "device", "path"]
+    state.repartitionByRange(*key).sortWithinPartitions(*key).write.mode("overwrite").partitionBy("vault").parquet(path)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:

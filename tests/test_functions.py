@@ -39,19 +39,30 @@ def test_binary_hash(spark, size):
     import numpy as np
 
     data = np.random.default_rng(size).integers(0, 256, size, dtype="uint8")
-    seen = data if size <= 10 * 1024 * 1024 else np.concatenate([data[: 5 * 1024 * 1024], data[-5 * 1024 * 1024 :]])
     mask = 0xFFFFFFFF
     powers = np.ones(65536, dtype=np.uint64)
     for j in range(65534, -1, -1):
         powers[j] = int(powers[j + 1]) * 31 & mask
-    h = 0
-    for i in range(0, len(seen), 65536):  # block form of the recurrence
-        block = seen[i : i + 65536].astype(np.uint64)
-        tail = powers[-len(block) :]
-        h = (h * (int(tail[0]) * 31 & mask) + int((block * tail & np.uint64(mask)).sum())) & mask
-    want = str(h - (1 << 32) if h >= 1 << 31 else h)
-    got = one(spark, fingerprint.fingerprint_binary, "content binary", (bytearray(data.tobytes()),))
-    assert got[0].content_hash == want
+
+    def plain(seen):
+        h = 0
+        for i in range(0, len(seen), 65536):  # block form of the recurrence
+            block = seen[i : i + 65536].astype(np.uint64)
+            tail = powers[-len(block) :]
+            h = (h * (int(tail[0]) * 31 & mask) + int((block * tail & np.uint64(mask)).sum())) & mask
+        return str(h - (1 << 32) if h >= 1 << 31 else h)
+
+    sampled = data if size <= 10 * 1024 * 1024 else np.concatenate([data[: 5 * 1024 * 1024], data[-5 * 1024 * 1024 :]])
+    row = spark.createDataFrame([(bytearray(data.tobytes()),)], "content binary")
+    got = fingerprint.fingerprint_binary(row).select("content_hash", fingerprint.wire_fingerprint(F.col("content")).alias("wire")).first()
+    assert got.content_hash == plain(data) and got.wire == plain(sampled)
+
+
+def test_an_edit_in_the_middle_of_a_large_file_shows(spark):
+    size = 12 * 1024 * 1024
+    rows = [(bytearray(size),), (bytearray(size // 2) + b"x" + bytearray(size - size // 2 - 1),)]
+    got = fingerprint.fingerprint_binary(spark.createDataFrame(rows, "content binary")).select("content_hash").collect()
+    assert got[0] != got[1]
 
 
 @pytest.mark.parametrize(
@@ -196,6 +207,8 @@ def test_chunk_round_trip(spark):
     assert {k: bytes(r.content) for k, r in back.items()} == bodies and all(r.error is None for r in back.values())
     tiny = chunks.assemble_files(got, sessions, limit=10).filter("session_id like 'f%'").collect()[0]
     assert tiny.error == "too large" and tiny.content is None
+    pieces = sorted(chunks.ordered_pieces(got, sessions).filter("session_id like 'f%'").collect(), key=lambda r: r.offset)
+    assert b"".join(bytes(r.payload) for r in pieces) == bodies["f" * 36] and [r.offset for r in pieces] == [100 * i for i in range(13)]
     assert wire.decode_chunks(spark.createDataFrame([(bytearray(39),), (bytearray(40),)], "frame binary")).count() == 1
 
 

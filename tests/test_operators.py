@@ -320,7 +320,7 @@ def test_empty_inputs(spark):
     outs = [
         compare.reuse_hashes(listing, base), compare.detect_deleted(base, listing, RuleBook()), reconcile.reconcile(listing, base, server),
         state.apply_events(base, events), state.commit_round(base, base, base, none), windows.debounce(events, 5), windows.latest_per_path(events),
-        compare.cascade_delete(base, none), compare.commit_scanned(base, base), sets.set_delta(none, none), windows.cap_per_kind(listing),
+        compare.cascade_delete(base, none), compare.commit_scanned(base, base), sets.set_delta(none, none), windows.cap_per_kind(listing, 5),
         timeline.global_rank(none, [F.col("path")]),
     ]
     assert [o.count() for o in outs] == [0] * len(outs)
