@@ -39,18 +39,30 @@ def state_changes(events: DataFrame) -> DataFrame:
     )
 
 
-def apply_events(state: DataFrame, events: DataFrame) -> DataFrame:
-    """The state after events. The last event of a path decides.
+def fold_changes(changes: DataFrame) -> DataFrame:
+    """One row per path: its last change (``last``) and the last one that says what its hash is (``defining``), each with its place in time.
 
-    A rename without a hash takes the one its old path had in ``state``; an ``mtime`` event without a
-    hash keeps the last one of the path. The last event per path is found by a map-side aggregation.
+    A map-side aggregation. Folded rows fold again (:func:`fold_again`), so changes of many batches can be folded batch by batch.
     """
-    changes = state_changes(events)
     defining = ~F.col("is_put") | F.col("hash").isNotNull() | F.col("moved_from").isNotNull()
-    last = changes.groupBy(*STATE_KEY).agg(
-        F.max_by(F.struct("is_put", "mtime", "size"), "order_key").alias("_l"),
-        F.max_by(F.struct("is_put", "hash", "moved_from"), F.when(defining, F.col("order_key"))).alias("_d"),
-    )
+    return fold_again(
+        changes.select(
+            *STATE_KEY, F.struct("is_put", "mtime", "size").alias("last"), F.col("order_key").alias("last_key"),
+            F.struct("is_put", "hash", "moved_from").alias("defining"), F.when(defining, F.col("order_key")).alias("defining_key"),
+        )
+    )
+
+
+def fold_again(folded: DataFrame) -> DataFrame:
+    return folded.groupBy(*STATE_KEY).agg(
+        F.max_by("last", "last_key").alias("last"), F.max("last_key").alias("last_key"),
+        F.max_by("defining", "defining_key").alias("defining"), F.max("defining_key").alias("defining_key"),
+    )
+
+
+def apply_folded(state: DataFrame, folded: DataFrame) -> DataFrame:
+    """The state after changes that are folded to one row per path (see :func:`apply_events`)."""
+    last = folded.select(*STATE_KEY, F.col("last").alias("_l"), F.when(F.col("defining_key").isNotNull(), F.col("defining")).alias("_d"))
     # Only renames without a hash look at their old path. The other rows get a key of their own that
     # meets nothing: one null key would bring all of them to one task.
     asks = F.col("_d.hash").isNull() & F.col("_d.moved_from").isNotNull()
@@ -75,6 +87,15 @@ def apply_events(state: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def apply_events(state: DataFrame, events: DataFrame) -> DataFrame:
+    """The state after events. The last event of a path decides.
+
+    A rename without a hash takes the one its old path had in ``state``; an ``mtime`` event without a
+    hash keeps the last one of the path. The last event per path is found by a map-side aggregation.
+    """
+    return apply_folded(state, fold_changes(state_changes(events)))
+
+
 def _type_suffix(path: Column) -> Column:
     return F.regexp_extract(path, r"\.([^.]+)\z", 1)
 

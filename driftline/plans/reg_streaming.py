@@ -168,7 +168,7 @@ def st7(spark, sf):
     events = staged(spark, fx(spark, sf, "fx_events"), "state-events", files_per_batch=2)
     out, check = scratch_path(spark, "state"), scratch_path(spark, "state-progress")
     sinks.write_state_changes(events, out, check).awaitTermination()
-    return feeds.state_after(fx(spark, sf, "fx_state"), spark.read.parquet(out))
+    return feeds.state_after(fx(spark, sf, "fx_state"), sinks.read_state_changes(spark, out))
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from driftline.functions.messages import log_category
 from driftline.operators.acks import ECHO_MS
 from driftline.operators.aggregates import merge_log_columns
-from driftline.operators.state import state_changes
+from driftline.operators.state import apply_folded, fold_again, fold_changes, state_changes
 from driftline.operators.windows import RAW_EXTRA_MS, debounce_points
 from driftline.schema import STATE_KEY
 
@@ -81,27 +81,14 @@ def watermark_stream(messages: DataFrame) -> DataFrame:
 
 
 def latest_changes(events: DataFrame) -> DataFrame:
-    """The last put or remove of each path among events. Doubled events change nothing."""
-    return last_changes(state_changes(events))
-
-
-def last_changes(changes: DataFrame) -> DataFrame:
-    rest = ["is_put", "hash", "mtime", "size", "order_key"]
-    last = changes.groupBy(*STATE_KEY).agg(F.max_by(F.struct(*rest), "order_key").alias("_l"))
-    return last.select(*STATE_KEY, *[f"_l.{c}" for c in rest])
+    """What events change, folded to one row per path. Doubled events change nothing."""
+    return fold_changes(state_changes(events))
 
 
 def state_after(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """State from a base and the folded changes of all batches. The latest change of a path counts,
-    whatever batch it came in, so rows that came late lose."""
-    last = last_changes(changes).select(*STATE_KEY, F.struct("is_put", "hash", "mtime", "size").alias("_l"))
-    old = base.select(*STATE_KEY, F.struct("hash", "mtime", "size").alias("_s"))
-    row = F.when(F.col("_l").isNull(), F.col("_s")).otherwise(
-        F.struct(F.col("_l.hash").alias("hash"), F.col("_l.mtime").alias("mtime"), F.col("_l.size").alias("size"))
-    )
-    return (
-        old.join(last, STATE_KEY, "full_outer")
-        .filter(F.col("_l").isNull() | F.col("_l.is_put"))
-        .withColumn("_row", row)
-        .select(*STATE_KEY, "_row.hash", "_row.mtime", "_row.size")
-    )
+    """State from a base and the folded changes of all batches: what ``apply_events`` gives for all their events.
+
+    The latest change of a path counts, whatever batch it came in, so rows that came late lose; a
+    rename or ``mtime`` event without a hash finds it as there.
+    """
+    return apply_folded(base, fold_again(changes))

@@ -40,14 +40,42 @@ def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_l")).select(*keys, *[f"_l.{c}" for c in rest])
 
 
-def fold_state_changes(spark: SparkSession, path: str, out: str) -> None:
-    """Fold the changes of all batches so far to the last per path, in a new folder.
+def _folders(spark: SparkSession, path: str, name: str) -> dict[int, str]:
+    """Folders ``name=number`` below a path of any file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return {}
+    found = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith(f"{name}=")]
+    return {int(p.getName().split("=")[1]): p.toString() for p in found}
 
-    Readers move to ``out`` and drop the folded batches, so the log of changes does not grow for ever.
-    """
-    from driftline.streaming.feeds import last_changes
 
-    last_changes(spark.read.parquet(path).drop("batch")).write.mode("overwrite").parquet(out)
+def fold_state_changes(spark: SparkSession, path: str, upto: int) -> None:
+    """Fold the changes of all batches up to ``upto`` (and an earlier fold) to the last per path, then drop those batches.
+
+    Batches after ``upto`` may be written meanwhile. Until the fold is whole, readers take the batches; then
+    they take the fold, whether or not the folded batches are gone already.
+    """
+    read_state_changes(spark, path, upto).write.mode("overwrite").parquet(f"{path}-folds/upto={upto}")
+    fs_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    old = [p for n, p in _folders(spark, f"{path}-folds", "upto").items() if n < upto]
+    for p in [*old, *(p for n, p in _folders(spark, path, "batch").items() if n <= upto)]:
+        fs_of(p).getFileSystem(conf).delete(fs_of(p), True)
+
+
+def read_state_changes(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The last whole fold and the batches after it, up to ``upto`` or all."""
+    from driftline.operators.state import fold_again
+
+    def whole(p: str) -> bool:
+        mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
+        return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+    folds = {n: p for n, p in _folders(spark, f"{path}-folds", "upto").items() if (upto is None or n <= upto) and whole(p)}
+    last = max(folds, default=-1)
+    paths = [p for n, p in _folders(spark, path, "batch").items() if n > last and (upto is None or n <= upto)]
+    return fold_again(spark.read.parquet(*([folds[last]] if folds else []), *paths))
 
 
 def write_state_changes(events: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
