@@ -20,6 +20,8 @@ from driftline.sources.listing import vault_scan
 from driftline.streaming import feeds, processors, sinks
 
 LATE = "60 days"
+#: of the streams whose state follows event time: rows come in order, file by file
+SHORT = "10 minutes"
 FAR_MS = 10 * 365 * 86_400_000
 
 
@@ -30,6 +32,7 @@ def staged(spark, df: DataFrame, label: str, *ends: dict, files_per_batch: int |
         df = df.withColumn("ts", F.timestamp_millis("ts_ms"))
     order = "ts_ms" if "ts_ms" in df.columns else df.columns[0]
     df.repartitionByRange(6, order).sortWithinPartitions(order).write.parquet(path)
+    _in_order(spark, path)
     last = df.agg(F.max("ts_ms").alias("m")) if ends else None
     for end in ends:
         far = {"ts_ms": F.col("m") + FAR_MS, "ts": F.timestamp_millis(F.col("m") + FAR_MS)}
@@ -39,6 +42,16 @@ def staged(spark, df: DataFrame, label: str, *ends: dict, files_per_batch: int |
     return read_changes(spark, path, schema=schema, max_files=files_per_batch)
 
 
+def _in_order(spark, path: str) -> None:
+    """Give the files of a feed times in the order of their names, as a stream reads the oldest first."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().getName(), f) for f in fs.listStatus(where) if f.getPath().getName().startswith("part-"))
+    for i, (_, f) in enumerate(files):
+        fs.setTimes(f.getPath(), f.getModificationTime() - 1000 * (len(files) - i), -1)
+
+
 def finished(spark, stream: DataFrame, label: str) -> DataFrame:
     """Rows of a stream that has run to its end."""
     out, check = scratch_path(spark, label), scratch_path(spark, label + "-progress")
@@ -94,19 +107,19 @@ def st1_shadow(spark, sf):
 @query("st2_ack_stream", RAW["jn14_match_acks"].replace("SELECT vault, path, event_id, ts_ms, last_time, CASE", "SELECT vault, path, event_id, ts_ms, CASE"))
 def st2(spark, sf):
     sinks.use_rocksdb(spark)
-    sent = staged(spark, fx(spark, sf, _SENT), "sent", END)
-    acks = staged(spark, fx(spark, sf, _PATH_ACKS), "acks", {**END, "path": "other"})
-    rows = finished(spark, processors.ack_stream(sent, acks, LATE, 86_400_000), "acked")
+    sent = staged(spark, fx(spark, sf, _SENT), "sent", END, files_per_batch=2)
+    acks = staged(spark, fx(spark, sf, _PATH_ACKS), "acks", {**END, "path": "other"}, files_per_batch=3)
+    rows = finished(spark, processors.ack_stream(sent, acks, SHORT, FAR_MS // 2), "acked")
     return rows.filter("vault <> 'end' AND effect <> 'timeout'").select("vault", "path", "event_id", "ts_ms", "effect", "hash")
 
 
 @query("st2_rename_ack_stream", f"SELECT vault, event_id, ts_ms, old_path, path, acked_at FROM ({RAW['jn15_match_rename_acks']}) j WHERE acked_at IS NOT NULL")
 def st2_renames(spark, sf):
     sinks.use_rocksdb(spark)
-    renames = staged(spark, fx(spark, sf, _RENAMES), "renames")
-    acks = staged(spark, fx(spark, sf, _RENAME_ACKS), "rename-acks")
-    rows = finished(spark, processors.rename_ack_stream(renames, acks), "renamed")
-    return rows.select("vault", "event_id", "ts_ms", "old_path", "path", "acked_at")
+    renames = staged(spark, fx(spark, sf, _RENAMES), "renames", END, files_per_batch=2)
+    acks = staged(spark, fx(spark, sf, _RENAME_ACKS), "rename-acks", {**END, "device": "other"}, files_per_batch=3)
+    rows = finished(spark, processors.rename_ack_stream(renames, acks, SHORT), "renamed")
+    return rows.filter("vault <> 'end'").select("vault", "event_id", "ts_ms", "old_path", "path", "acked_at")
 
 
 @query("st3_echo_stream", ECHO_SQL)
@@ -129,15 +142,16 @@ def st4(spark, sf):
     unknown = F.substring("session_id", -1, 1) == "5"
     sessions = fx(spark, sf, "SELECT session_id, total_chunks FROM fx_sessions").withColumn("ts_ms", start)
     frames = arrived(spark, sf).select("session_id", "chunk_index", (start + F.col("chunk_index")).alias("ts_ms"))
-    opened = staged(spark, sessions.filter(~unknown), "opened", {"session_id": "end", "total_chunks": 2})
-    chunks = staged(spark, frames, "frames", {"session_id": "end", "chunk_index": 0})
-    rows = finished(spark, processors.chunk_stream(opened, chunks, LATE), "transfers")
+    opened = staged(spark, sessions.filter(~unknown), "opened", {"session_id": "end", "total_chunks": 2}, files_per_batch=2)
+    chunks = staged(spark, frames, "frames", {"session_id": "end", "chunk_index": 0}, files_per_batch=3)
+    rows = finished(spark, processors.chunk_stream(opened, chunks, SHORT), "transfers")
     return rows.filter("session_id <> 'end' AND status <> 'pending'")
 
 
 _ROUND_FEED = """SELECT event_id AS seq, concat('vault', CAST(r % 3 AS STRING)) AS vault, concat('c', CAST(r AS STRING)) AS context,
   1704067200000 + r * 3600000 + i * CASE WHEN r % 4 = 0 THEN 3000 ELSE 1000 END AS ts_ms,
   CASE WHEN i = 0 THEN 'start' WHEN i <= 4 THEN 'end' ELSE 'done' END AS what,
+  CASE WHEN i > 0 THEN CASE i % 4 WHEN 1 THEN 'note' WHEN 2 THEN 'file' WHEN 3 THEN 'config' ELSE 'folder' END END AS kind,
   CASE i WHEN 1 THEN r % 5 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 0 END AS n_tasks
 FROM (SELECT event_id, CAST(floor(event_id / 20) AS BIGINT) AS r, event_id % 20 AS i FROM events) e"""
 
@@ -145,16 +159,21 @@ FROM (SELECT event_id, CAST(floor(event_id / 20) AS BIGINT) AS r, event_id % 20
 @query(
     "st5_round_stream",
     f"""WITH f AS ({_ROUND_FEED}), b AS (SELECT *, min(ts_ms) OVER (PARTITION BY context) AS started_ms FROM f),
-w AS (SELECT *, count(*) FILTER (what = 'end') OVER p AS ended, coalesce(sum(n_tasks) OVER p, 0) AS total, count(*) FILTER (what = 'done') OVER p AS completed
-  FROM b WHERE ts_ms - started_ms <= 30000 WINDOW p AS (PARTITION BY context ORDER BY ts_ms, seq)),
-d AS (SELECT vault, context, started_ms, min(ts_ms) FILTER (ended = 4 AND completed >= total) AS at_ms, max(total) AS total, max(completed) AS completed FROM w GROUP BY ALL)
-SELECT vault, context, CASE WHEN at_ms IS NULL THEN 'forced' ELSE 'done' END AS outcome, CAST(total AS BIGINT) AS total,
-  CAST(CASE WHEN at_ms IS NULL THEN completed ELSE total END AS BIGINT) AS completed, started_ms, coalesce(at_ms, started_ms + 30000) AS finished_ms FROM d""",
+k AS (SELECT *, max(n_tasks) FILTER (what = 'end') OVER p AS t, count(*) FILTER (what = 'done') OVER p AS d
+  FROM b WHERE what <> 'start' AND ts_ms - started_ms <= 30000 WINDOW p AS (PARTITION BY context, kind ORDER BY ts_ms, seq)),
+x AS (SELECT b.vault, b.context, b.started_ms, b.ts_ms, b.seq, g.kind, arg_max(k.t, k.seq) AS t, coalesce(arg_max(k.d, k.seq), 0) AS d
+  FROM b CROSS JOIN (VALUES ('note'), ('file'), ('config'), ('folder')) g(kind)
+  LEFT JOIN k ON k.context = b.context AND k.kind = g.kind AND (k.ts_ms, k.seq) <= (b.ts_ms, b.seq) WHERE b.ts_ms - b.started_ms <= 30000 GROUP BY ALL),
+w AS (SELECT vault, context, started_ms, ts_ms, seq, bool_and(t IS NOT NULL AND d >= t) AS ok, sum(coalesce(t, 0)) AS total, sum(least(d, coalesce(t, d))) AS completed FROM x GROUP BY ALL),
+d AS (SELECT vault, context, started_ms, min(ts_ms) FILTER (ok) AS at_ms, arg_min(total, (ts_ms, seq)) FILTER (ok) AS done_total, arg_max(total, (ts_ms, seq)) AS total, arg_max(completed, (ts_ms, seq)) AS completed FROM w GROUP BY ALL)
+SELECT vault, context, CASE WHEN at_ms IS NULL THEN 'forced' ELSE 'done' END AS outcome, CAST(coalesce(done_total, total) AS BIGINT) AS total,
+  CAST(coalesce(done_total, completed) AS BIGINT) AS completed, started_ms, coalesce(at_ms, started_ms + 30000) AS finished_ms FROM d""",
 )
 def st5(spark, sf):
     sinks.use_rocksdb(spark)
-    feed = staged(spark, fx(spark, sf, _ROUND_FEED), "rounds", {"vault": "end", "context": "end", "what": "start", "seq": -1})
-    return finished(spark, processors.round_stream(feed, LATE), "finished").filter("vault <> 'end'")
+    end = {"vault": "end", "context": "end", "what": "start", "seq": -1}
+    feed = staged(spark, fx(spark, sf, _ROUND_FEED), "rounds", end, files_per_batch=2)
+    return finished(spark, processors.round_stream(feed, SHORT), "finished").filter("vault <> 'end'")
 
 
 @query("st6_log_stream", f"WITH {MERGED} SELECT * FROM log")
@@ -192,4 +211,5 @@ SELECT vault, device, key, hash, seq, ts_ms FROM l WHERE origin = 'local' AND ha
 )
 def st9(spark, sf):
     sinks.use_rocksdb(spark)
-    return finished(spark, processors.kv_change_stream(staged(spark, fx(spark, sf, _KV_FEED), "kv")), "kv-changes")
+    feed = staged(spark, fx(spark, sf, _KV_FEED), "kv", {"vault": "end", "device": "end", "key": "end", "hash": "", "origin": "remote", "seq": -1}, files_per_batch=2)
+    return finished(spark, processors.kv_change_stream(feed, SHORT), "kv-changes")

@@ -1,11 +1,14 @@
 """Streams with state of their own: acknowledgements, transfers, rounds, key-value changes.
 
-Each processor keeps only small facts per key (a hash, a counter, chunk numbers). Rows of one batch
-are handled in event order. The state lives in RocksDB (see ``sinks.use_rocksdb``).
+Each processor keeps small facts per key (a hash, a counter, chunk numbers), and the rows that have arrived but that event
+time has not passed yet. Rows are acted on when the watermark has passed them, in event order, so the
+result does not depend on how they fall into batches; what waits per key is bounded by the lateness. The state
+lives in RocksDB (see ``sinks.use_rocksdb``).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,84 +19,150 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 # Life of a transfer session, limit of a round, kinds of a round.
 SESSION_TTL_MS = 20 * 60 * 1000
 ROUND_LIMIT_MS = 30_000
-ROUND_KINDS = 4
+ROUND_KINDS = ("note", "file", "config", "folder")
+#: rows handed on in one frame
+FRAME_ROWS = 10_000
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> list[dict]:
-    """Rows of one key and one batch in order."""
-    frames = list(rows)
-    return pd.concat(frames, ignore_index=True).sort_values(by).to_dict("records") if frames else []
+class OrderedProcessor(StatefulProcessor):
+    """Takes the rows of a key in event order, once no earlier one can come.
 
+    ``ROW`` is the schema of what is kept of a row; its first ``ORDER`` columns, the first of them ``ts_ms``, are a total order.
+    ``OUT`` names the columns of the result.
+    """
+
+    ROW = ""
+    ORDER = 3
+    OUT: list[str] = []
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.columns = [c.split()[0] for c in self.ROW.split(", ")]
+        self.whole = [c.endswith(" long") for c in self.ROW.split(", ")]
+        self.arrived = handle.getListState("arrived", self.ROW)
+        self.timer = handle.getValueState("timer", "at long")
+        self.start(handle)
 
-def _frame(out: list[dict], columns: list[str]) -> Iterator[pd.DataFrame]:
-    if out:
-        yield pd.DataFrame(out, columns=columns)
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        """Declare the state of the operator."""
 
+    def step(self, key: tuple, row: dict, out: list[tuple]) -> None:
+        """Act on the next row in event order."""
 
-def _text(value):
-    return None if value is None or value != value else value
+    def elapse(self, key: tuple, now: int, out: list[tuple]) -> None:
+        """Act on what has run out by ``now`` (the watermark)."""
+
+    def deadline(self) -> int | None:
+        """When something runs out next."""
+        return None
+
+    def _wake(self, at: int) -> None:
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old is not None and old <= at:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def _value(self, v, whole: bool):
+        return None if v is None or v != v else int(v) if whole else v
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            kept = zip(*(frame[c].tolist() for c in self.columns))
+            self.arrived.appendList([tuple(self._value(v, w) for v, w in zip(r, self.whole)) for r in kept])
+            low = int(frame["ts_ms"].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        ready, later = [], []
+        for r in self.arrived.get() if self.arrived.exists() else ():
+            (ready if r[0] <= now else later).append(tuple(r))
+        if later:
+            self.arrived.put(later)
+        else:
+            self.arrived.clear()
+        ready.sort(key=lambda r: r[: self.ORDER])
+        out: list[tuple] = []
+        for r in ready:
+            self.step(key, dict(zip(self.columns, r)), out)
+            if len(out) >= FRAME_ROWS:
+                yield pd.DataFrame(out, columns=self.OUT)
+                out = []
+        self.elapse(key, now, out)
+        if out:
+            yield pd.DataFrame(out, columns=self.OUT)
+        ends = [r[0] for r in later]
+        if (end := self.deadline()) is not None:
+            ends.append(end)
+        if ends:
+            self._wake(min(ends))
+
+    def close(self) -> None:
+        pass
 
 
 ACK_SCHEMA = "vault string, device string, path string, event_id long, ts_ms long, op string, effect string, hash string"
-_ACK_COLUMNS = ["vault", "device", "path", "event_id", "ts_ms", "op", "effect", "hash"]
 
 
-class AckProcessor(StatefulProcessor):
+class AckProcessor(OrderedProcessor):
     """Waiting hash and waiting delete of one path."""
 
+    ROW = "ts_ms long, role long, event_id long, op string, hash string"
+    OUT = ["vault", "device", "path", "event_id", "ts_ms", "op", "effect", "hash"]
+
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def start(self, handle) -> None:
         self.waiting = handle.getValueState("waiting", "op string, hash string, event_id long, ts_ms long")
 
-    def _forget_timer(self) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+    def deadline(self) -> int | None:
+        return self.waiting.get()[3] + self.timeout_ms if self.waiting.exists() else None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def elapse(self, key, now, out) -> None:
+        end = self.deadline()
+        if end is not None and end <= now:
+            op, _, event_id, ts_ms = self.waiting.get()
+            self.waiting.clear()
+            out.append((*key, event_id, ts_ms, op, "timeout", None))
+
+    def step(self, key, row, out) -> None:
+        self.elapse(key, row["ts_ms"] - 1, out)
+        op = "delete" if row["op"] == "delete" else "modify"
+        if row["role"] == 0:
+            self.waiting.update((op, row["hash"], row["event_id"], row["ts_ms"]))
+            return
         kept = self.waiting.get() if self.waiting.exists() else None
-        out = []
-        for r in _ordered(rows, ["ts_ms", "role", "event_id"]):
-            op = "delete" if r["op"] == "delete" else "modify"
-            if r["role"] == 0:
-                kept = (op, _text(r["hash"]), int(r["event_id"]), int(r["ts_ms"]))
-                continue
-            hit = kept is not None and kept[0] == op
-            effect = ("put" if op == "modify" else "remove") if hit else "none"
-            out.append((*key, int(r["event_id"]), int(r["ts_ms"]), op, effect, kept[1] if effect == "put" else None))
-            if hit:
-                kept = None
-        self._forget_timer()
-        if kept is None:
+        hit = kept is not None and kept[0] == op
+        effect = ("put" if op == "modify" else "remove") if hit else "none"
+        out.append((*key, row["event_id"], row["ts_ms"], op, effect, kept[1] if effect == "put" else None))
+        if hit:
             self.waiting.clear()
-        else:
-            self.waiting.update(tuple(kept))
-            self.handle.registerTimer(kept[3] + self.timeout_ms)
-        yield from _frame(out, _ACK_COLUMNS)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.waiting.exists():
-            op, _, event_id, ts_ms = self.waiting.get()
-            self.waiting.clear()
-            yield pd.DataFrame([(*key, event_id, ts_ms, op, "timeout", None)], columns=_ACK_COLUMNS)
 
-    def close(self) -> None:
-        pass
+def _two_feeds(first: DataFrame, second: DataFrame, late: str) -> DataFrame:
+    """Both feeds with a watermark each, so the slower one counts."""
+    return first.withWatermark("ts", late).unionByName(second.withWatermark("ts", late))
 
 
 def ack_stream(sent: DataFrame, acks: DataFrame, late: str, timeout_ms: int) -> DataFrame:
-    """Effect of each path acknowledgement; what is never acknowledged comes out as ``timeout``.
+    """Effect of each path acknowledgement; what is not acknowledged within ``timeout_ms`` comes out as ``timeout``.
 
     A path waits for one thing at a time: a newer send replaces the older one, as content cancels a
     waiting delete and a delete drops waiting content.
     """
     columns = ["vault", "device", "path", "event_id", "ts_ms", "ts", "op"]
-    s = sent.select(*columns, "hash", F.lit(0).alias("role"))
-    a = acks.select(*columns, F.lit(None).cast("string").alias("hash"), F.lit(1).alias("role"))
-    rows = s.withWatermark("ts", late).unionByName(a.withWatermark("ts", late))  # the slower feed counts
-    return rows.groupBy("vault", "device", "path").transformWithStateInPandas(
+    s = sent.select(*columns, "hash", F.lit(0).cast("long").alias("role"))
+    a = acks.select(*columns, F.lit(None).cast("string").alias("hash"), F.lit(1).cast("long").alias("role"))
+    return _two_feeds(s, a, late).groupBy("vault", "device", "path").transformWithStateInPandas(
         AckProcessor(timeout_ms), ACK_SCHEMA, "Append", "EventTime"
     )
 
@@ -101,221 +170,234 @@ def ack_stream(sent: DataFrame, acks: DataFrame, late: str, timeout_ms: int) ->
 RENAME_SCHEMA = (
     "vault string, device string, event_id long, ts_ms long, old_path string, path string, acked_at long"
 )
-_RENAME_COLUMNS = ["vault", "device", "event_id", "ts_ms", "old_path", "path", "acked_at"]
 
 
-class RenameProcessor(StatefulProcessor):
+class RenameProcessor(OrderedProcessor):
     """Renames of one device that wait, first in first out.
 
     The queue is a map from place to rename with the places of its two ends, so a step touches one
-    entry and not the whole queue.
+    entry and not the whole queue. A rename that waits for longer than its life leaves it.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    ROW = "ts_ms long, role long, event_id long, old_path string, path string"
+    OUT = ["vault", "device", "event_id", "ts_ms", "old_path", "path", "acked_at"]
+
+    def __init__(self, life_ms: int | None):
+        self.life_ms = life_ms
+
+    def start(self, handle) -> None:
         self.queue = handle.getMapState("queue", "place long", "event_id long, ts_ms long, old_path string, path string")
         self.ends = handle.getValueState("ends", "head long, tail long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _first(self) -> tuple | None:
         head, tail = self.ends.get() if self.ends.exists() else (0, 0)
-        fresh: dict[int, tuple] = {}
-        out = []
-        for r in _ordered(rows, ["ts_ms", "role", "event_id"]):
-            if r["role"] == 0:
-                fresh[tail] = (int(r["event_id"]), int(r["ts_ms"]), r["old_path"], r["path"])
-                tail += 1
-            elif head < tail:
-                if head in fresh:
-                    first = fresh.pop(head)
-                else:
-                    first = tuple(self.queue.getValue((head,)))
-                    self.queue.removeKey((head,))
-                out.append((*key, *first, int(r["ts_ms"])))
-                head += 1
-        for place, value in fresh.items():
-            self.queue.updateValue((place,), value)
-        self.ends.update((head, tail))
-        yield from _frame(out, _RENAME_COLUMNS)
+        return tuple(self.queue.getValue((head,))) if head < tail else None
+
+    def _take(self) -> tuple:
+        head, tail = self.ends.get()
+        first = tuple(self.queue.getValue((head,)))
+        self.queue.removeKey((head,))
+        if head + 1 == tail:
+            self.ends.clear()
+        else:
+            self.ends.update((head + 1, tail))
+        return first
 
-    def close(self) -> None:
-        pass
+    def deadline(self) -> int | None:
+        first = self._first() if self.life_ms is not None else None
+        return first[1] + self.life_ms if first else None
+
+    def elapse(self, key, now, out) -> None:
+        while (end := self.deadline()) is not None and end <= now:
+            out.append((*key, *self._take(), None))
+
+    def step(self, key, row, out) -> None:
+        self.elapse(key, row["ts_ms"] - 1, out)
+        if row["role"] == 0:
+            head, tail = self.ends.get() if self.ends.exists() else (0, 0)
+            self.queue.updateValue((tail,), (row["event_id"], row["ts_ms"], row["old_path"], row["path"]))
+            self.ends.update((head, tail + 1))
+        elif self._first() is not None:
+            out.append((*key, *self._take(), row["ts_ms"]))
 
 
-def rename_ack_stream(renames: DataFrame, acks: DataFrame) -> DataFrame:
-    """Acknowledged renames; an ack takes the oldest waiting rename of its device."""
-    key = ["vault", "device", "event_id", "ts_ms"]
-    r = renames.select(*key, "old_path", "path", F.lit(0).alias("role"))
+def rename_ack_stream(renames: DataFrame, acks: DataFrame, late: str, life_ms: int | None = None) -> DataFrame:
+    """Acknowledged renames; an ack takes the oldest waiting rename of its device.
+
+    With ``life_ms``, a rename that waits for longer comes out with a null ``acked_at``, so the queue does not grow for ever.
+    """
+    key = ["vault", "device", "event_id", "ts_ms", "ts"]
+    r = renames.select(*key, "old_path", "path", F.lit(0).cast("long").alias("role"))
     none = F.lit(None).cast("string")
-    a = acks.select(*key, none.alias("old_path"), none.alias("path"), F.lit(1).alias("role"))
-    return r.unionByName(a).groupBy("vault", "device").transformWithStateInPandas(
-        RenameProcessor(), RENAME_SCHEMA, "Append", "None"
+    a = acks.select(*key, none.alias("old_path"), none.alias("path"), F.lit(1).cast("long").alias("role"))
+    return _two_feeds(r, a, late).groupBy("vault", "device").transformWithStateInPandas(
+        RenameProcessor(life_ms), RENAME_SCHEMA, "Append", "EventTime"
     )
 
 
 CHUNK_SCHEMA = "session_id string, received long, total_chunks long, percent long, status string"
-_CHUNK_COLUMNS = ["session_id", "received", "total_chunks", "percent", "status"]
 
 
-class ChunkProcessor(StatefulProcessor):
+class ChunkProcessor(OrderedProcessor):
     """Chunk numbers of one session. Payloads are not kept here; they go to the sink as they come."""
 
+    ROW = "ts_ms long, role long, chunk_index long, total_chunks long"
+    OUT = ["session_id", "received", "total_chunks", "percent", "status"]
+
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.facts = handle.getValueState("facts", "total_chunks long, received long, last_ms long")
+    def start(self, handle) -> None:
+        self.facts = handle.getValueState("facts", "total_chunks long, received long, last_ms long, ended boolean")
         self.seen = handle.getMapState("seen", "chunk_index long", "at_ms long")
 
-    def _clear(self) -> None:
-        self.facts.clear()
-        self.seen.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+    def deadline(self) -> int | None:
+        return self.facts.get()[2] + self.ttl_ms if self.facts.exists() else None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        total, received, last = self.facts.get() if self.facts.exists() else (None, 0, 0)
-        status = None
-        for r in _ordered(rows, ["role", "chunk_index"]):
-            last = max(last, int(r["ts_ms"]))
-            if r["role"] == 0:
-                total, status = int(r["total_chunks"]), "pending"
-                continue
-            if total is None or int(r["chunk_index"]) >= total:
-                status = "error"
-                break
-            at = (int(r["chunk_index"]),)
-            if not self.seen.containsKey(at):
-                self.seen.updateValue(at, (last,))
-                received += 1
-            status = "success" if received == total else "pending"
+    def _emit(self, key, total, received, at, status, out) -> None:
+        """An ended session is remembered for its life, so that copies of chunks that come after the end open nothing."""
         percent = 0 if total is None else 100 if total == 0 else received * 100 // total
-        if status in ("success", "error"):
-            self._clear()
-        else:
-            self.facts.update((total, received, last))
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(last + self.ttl_ms)
-        yield pd.DataFrame([(*key, received, total, percent, status)], columns=_CHUNK_COLUMNS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.facts.exists():
-            total, received, _ = self.facts.get()
-            self._clear()
-            percent = received * 100 // total if total else 100
-            yield pd.DataFrame([(*key, received, total, percent, "expired")], columns=_CHUNK_COLUMNS)
+        out.append((*key, received, total, percent, status))
+        if status != "pending":
+            self.facts.update((total or 0, received, at, True))
+            self.seen.clear()
+
+    def elapse(self, key, now, out) -> None:
+        end = self.deadline()
+        if end is not None and end <= now:
+            total, received, at, ended = self.facts.get()
+            if not ended:
+                self._emit(key, total, received, at, "expired", out)
+            self.facts.clear()
 
-    def close(self) -> None:
-        pass
+    def step(self, key, row, out) -> None:
+        at = row["ts_ms"]
+        self.elapse(key, at - 1, out)
+        total, received, _, ended = self.facts.get() if self.facts.exists() else (None, 0, 0, False)
+        if row["role"] == 0:
+            total, received = row["total_chunks"], 0 if ended else received
+            self.facts.update((total, received, at, False))
+            self._emit(key, total, received, at, "success" if received >= total else "pending", out)
+            return
+        if ended:
+            return
+        index = row["chunk_index"]
+        if total is None or index >= total:
+            self._emit(key, total, received, at, "error", out)
+            return
+        before = received * 10 // total
+        if not self.seen.containsKey((index,)):
+            self.seen.updateValue((index,), (at,))
+            received += 1
+        self.facts.update((total, received, at, False))
+        if received == total:
+            self._emit(key, total, received, at, "success", out)
+        elif received * 10 // total > before:
+            self._emit(key, total, received, at, "pending", out)
 
 
 def chunk_stream(opened: DataFrame, frames: DataFrame, late: str, ttl_ms: int = SESSION_TTL_MS) -> DataFrame:
-    """State of transfers: one row per session and batch that touched it, and one when it expires.
+    """State of transfers: a ``pending`` row when a session opens and whenever another tenth of it is there, and one when it ends.
 
     ``opened`` announces sessions (``session_id``, ``total_chunks``); ``frames`` carries the numbers of
-    arrived chunks. A chunk of a session that was never opened, or past its end, is an error; a chunk
+    arrived chunks. A chunk of a session that is not open by then, or past its end, is an error; a chunk
     that comes twice counts once.
     """
     none = F.lit(None).cast("long")
-    a = opened.select("session_id", "ts_ms", "ts", "total_chunks", F.lit(-1).cast("long").alias("chunk_index"), F.lit(0).alias("role"))
-    b = frames.select("session_id", "ts_ms", "ts", none.alias("total_chunks"), "chunk_index", F.lit(1).alias("role"))
-    rows = a.withWatermark("ts", late).unionByName(b.withWatermark("ts", late))  # the slower feed counts
-    return rows.groupBy("session_id").transformWithStateInPandas(
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    a = opened.select("session_id", "ts_ms", "ts", "total_chunks", F.lit(-1).cast("long").alias("chunk_index"), zero.alias("role"))
+    b = frames.select("session_id", "ts_ms", "ts", none.alias("total_chunks"), "chunk_index", one.alias("role"))
+    return _two_feeds(a, b, late).groupBy("session_id").transformWithStateInPandas(
         ChunkProcessor(ttl_ms), CHUNK_SCHEMA, "Append", "EventTime"
     )
 
 
 ROUND_SCHEMA = "vault string, context string, outcome string, total long, completed long, started_ms long, finished_ms long"
-_ROUND_COLUMNS = ["vault", "context", "outcome", "total", "completed", "started_ms", "finished_ms"]
 
 
-class RoundProcessor(StatefulProcessor):
-    """Counters of one round."""
+class RoundProcessor(OrderedProcessor):
+    """Tasks to do, tasks done and the end of each kind of one round."""
 
-    def __init__(self, limit_ms: int, kinds: int):
+    ROW = "ts_ms long, seq long, what string, kind string, n_tasks long"
+    ORDER = 2
+    OUT = ["vault", "context", "outcome", "total", "completed", "started_ms", "finished_ms"]
+
+    def __init__(self, limit_ms: int, kinds: tuple[str, ...]):
         self.limit_ms, self.kinds = limit_ms, kinds
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.facts = handle.getValueState("facts", "started_ms long, ended long, total long, completed long")
+    def start(self, handle) -> None:
+        self.facts = handle.getValueState("facts", "started_ms long, totals string, done string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        started, ended, total, completed = self.facts.get() if self.facts.exists() else (None, 0, 0, 0)
-        out = []
-        for r in _ordered(rows, ["ts_ms", "seq"]):
-            now, what = int(r["ts_ms"]), r["what"]
-            if what == "start":
-                started, ended, total, completed = now, 0, 0, 0
-            elif started is None:
-                continue
-            elif now - started > self.limit_ms:
-                out.append((*key, "forced", total, completed, started, started + self.limit_ms))
-                started = None
-                continue
-            elif what == "end":
-                ended, total = ended + 1, total + int(r["n_tasks"])
-            else:
-                completed += 1
-            if ended >= self.kinds and completed >= total:
-                out.append((*key, "done", total, completed, started, now))
-                started = None
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if started is None:
-            self.facts.clear()
-        else:
-            self.facts.update((started, ended, total, completed))
-            self.handle.registerTimer(started + self.limit_ms)
-        yield from _frame(out, _ROUND_COLUMNS)
+    def _load(self) -> tuple[int, dict, dict]:
+        started, totals, done = self.facts.get()
+        return started, json.loads(totals), json.loads(done)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.facts.exists():
-            started, _, total, completed = self.facts.get()
+    def deadline(self) -> int | None:
+        return self.facts.get()[0] + self.limit_ms if self.facts.exists() else None
+
+    def elapse(self, key, now, out) -> None:
+        end = self.deadline()
+        if end is not None and end <= now:
+            started, totals, done = self._load()
+            completed = sum(min(n, totals.get(k, n)) for k, n in done.items())
+            out.append((*key, "forced", sum(totals.values()), completed, started, end))
             self.facts.clear()
-            yield pd.DataFrame(
-                [(*key, "forced", total, completed, started, started + self.limit_ms)], columns=_ROUND_COLUMNS
-            )
 
-    def close(self) -> None:
-        pass
+    def step(self, key, row, out) -> None:
+        now, what, kind = row["ts_ms"], row["what"], row["kind"]
+        if what == "start":
+            self.facts.update((now, "{}", "{}"))
+            return
+        self.elapse(key, now - 1, out)
+        if not self.facts.exists():
+            return
+        started, totals, done = self._load()
+        if what == "end":
+            totals[kind] = row["n_tasks"] or 0  # a repeated end of a kind replaces the one before
+        else:
+            done[kind] = done.get(kind, 0) + 1
+        if all(k in totals and done.get(k, 0) >= totals[k] for k in self.kinds):
+            total = sum(totals.values())
+            out.append((*key, "done", total, total, started, now))
+            self.facts.clear()
+        else:
+            self.facts.update((started, json.dumps(totals), json.dumps(done)))
 
 
-def round_stream(messages: DataFrame, late: str, limit_ms: int = ROUND_LIMIT_MS, kinds: int = ROUND_KINDS) -> DataFrame:
-    """Rounds that are ``done`` (ends of all kinds came and as many tasks completed) or ``forced`` after
-    the limit. ``messages`` has ``what`` start, end (with ``n_tasks``) or done, per vault and context."""
-    rows = messages.select("vault", "context", "seq", "ts_ms", "ts", "what", "n_tasks").withWatermark("ts", late)
+def round_stream(
+    messages: DataFrame, late: str, limit_ms: int = ROUND_LIMIT_MS, kinds: tuple[str, ...] = ROUND_KINDS
+) -> DataFrame:
+    """Rounds that are ``done`` (the end of every kind came, and as many tasks of each were completed) or ``forced`` after
+    the limit. ``messages`` has ``what`` start, end (with ``n_tasks``) or done, and its ``kind``, per vault and context."""
+    rows = messages.select("vault", "context", "seq", "ts_ms", "ts", "what", "kind", "n_tasks").withWatermark("ts", late)
     return rows.groupBy("vault", "context").transformWithStateInPandas(
         RoundProcessor(limit_ms, kinds), ROUND_SCHEMA, "Append", "EventTime"
     )
 
 
 KV_SCHEMA = "vault string, device string, key string, hash string, seq long, ts_ms long"
-_KV_COLUMNS = ["vault", "device", "key", "hash", "seq", "ts_ms"]
 
 
-class KeyValueProcessor(StatefulProcessor):
+class KeyValueProcessor(OrderedProcessor):
     """Last hash of one item."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    ROW = "ts_ms long, seq long, hash string, origin string"
+    ORDER = 2
+    OUT = ["vault", "device", "key", "hash", "seq", "ts_ms"]
+
+    def start(self, handle) -> None:
         self.last = handle.getValueState("last", "hash string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def step(self, key, row, out) -> None:
         last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for r in _ordered(rows, ["ts_ms", "seq"]):
-            if r["origin"] == "local" and r["hash"] != last:
-                out.append((*key, r["hash"], int(r["seq"]), int(r["ts_ms"])))
-            last = r["hash"]
-        self.last.update((last,))
-        yield from _frame(out, _KV_COLUMNS)
-
-    def close(self) -> None:
-        pass
+        if row["origin"] == "local" and row["hash"] != last:
+            out.append((*key, row["hash"], row["seq"], row["ts_ms"]))
+        self.last.update((row["hash"],))
 
 
-def kv_change_stream(items: DataFrame) -> DataFrame:
+def kv_change_stream(items: DataFrame, late: str) -> DataFrame:
     """Local writes that change an item; a remote write is taken over without a row."""
-    rows = items.select("vault", "device", "key", "hash", "origin", "seq", "ts_ms")
+    rows = items.select("vault", "device", "key", "hash", "origin", "seq", "ts_ms", "ts").withWatermark("ts", late)
     return rows.groupBy("vault", "device", "key").transformWithStateInPandas(
-        KeyValueProcessor(), KV_SCHEMA, "Append", "None"
+        KeyValueProcessor(), KV_SCHEMA, "Append", "EventTime"
     )

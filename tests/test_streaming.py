@@ -84,8 +84,9 @@ def test_rename_queue_across_batches(spark, tmp_path):
     moves = [(i, i * 10, rng.random() < 0.5) for i in range(50)]
     rows = [(i, t, "v", "d", "o", f"n{i}", a) for i, t, a in moves]
     schema = "event_id long, ts_ms long, vault string, device string, old_path string, path string, ack boolean"
-    both = Feed(spark, tmp_path, "moves", rows, schema, 3).stream()
-    got = rows_of(spark, tmp_path, "out", processors.rename_ack_stream(both.filter("NOT ack"), both.filter("ack")))
+    ends = [(-1, END_MS, "end", "d", "o", "n", False), (-2, END_MS, "end", "d", "o", "n", True)]
+    both = Feed(spark, tmp_path, "moves", rows, schema, 3, ends).stream()
+    got = rows_of(spark, tmp_path, "out", processors.rename_ack_stream(both.filter("NOT ack"), both.filter("ack"), "1 second"))
     df = spark.createDataFrame(rows, schema)
     want = acks.match_rename_acks(df.filter("NOT ack"), df.filter("ack")).filter("acked_at IS NOT NULL").collect()
     assert {(r.event_id, r.acked_at) for r in got} == {(r.event_id, r.acked_at) for r in want} and len(want) > 5
@@ -104,17 +105,23 @@ def test_chunk_sessions_across_batches(spark, tmp_path):
 
 def test_rounds_finish_or_are_forced(spark, tmp_path):
     sinks.use_rocksdb(spark)
-    schema = "seq long, ts_ms long, vault string, context string, what string, n_tasks long"
+    schema = "seq long, ts_ms long, vault string, context string, what string, kind string, n_tasks long"
+    kinds = processors.ROUND_KINDS
     rows, n = [], 0
     for c, gap in (("quick", 100), ("slow", 9000), ("silent", 100)):
         steps = [("start", None)] + [("end", 1)] * 4 + [("done", None)] * (4 if c != "silent" else 2)
         for k, (what, tasks) in enumerate(steps):
-            rows.append((n, 1000 + k * gap, "v", c, what, tasks))
+            kind = None if what == "start" else kinds[(k - 1) % 4]
+            rows.append((n, 1000 + k * gap, "v", c, what, kind, tasks))
             n += 1
-    feed = Feed(spark, tmp_path, "r", rows, schema, 3, (-1, END_MS, "end", "end", "start", None))
+    # the end of one kind comes four times, then late ones of the others with tasks
+    for k, (what, kind, tasks) in enumerate([("start", None, None)] + [("end", "note", 0)] * 4 + [("end", x, 1) for x in kinds[1:]] + [("done", x, None) for x in kinds[1:]]):
+        rows.append((n, 1000 + k * 50, "v", "repeated", what, kind, tasks))
+        n += 1
+    feed = Feed(spark, tmp_path, "r", rows, schema, 3, (-1, END_MS, "end", "end", "start", None, None))
     got = {r.context: (r.outcome, r.total, r.completed, r.finished_ms) for r in rows_of(spark, tmp_path, "out", processors.round_stream(feed.stream(), "1 second"))}
     got.pop("end", None)
-    assert got == {"quick": ("done", 4, 4, 1800), "slow": ("forced", 3, 0, 31000), "silent": ("forced", 4, 2, 31000)}
+    assert got == {"quick": ("done", 4, 4, 1800), "slow": ("forced", 3, 0, 31000), "silent": ("forced", 4, 2, 31000), "repeated": ("done", 3, 3, 1500)}
 
 
 def test_kv_changes_across_batches(spark, tmp_path):
@@ -122,10 +129,59 @@ def test_kv_changes_across_batches(spark, tmp_path):
     schema = "seq long, ts_ms long, vault string, device string, key string, hash string, origin string"
     rows = [(0, 0, "v", "d", "k", "1", "local"), (1, 1, "v", "d", "k", "1", "local"), (2, 2, "v", "d", "k", "2", "remote"),
             (3, 3, "v", "d", "k", "2", "local"), (4, 4, "v", "d", "k", "3", "local"), (5, 5, "v", "d", "q", "3", "local")]
-    got = rows_of(spark, tmp_path, "out", processors.kv_change_stream(Feed(spark, tmp_path, "kv", rows, schema, 3).stream()))
+    rows = [(seq, ts_ms + 1, *rest) for seq, ts_ms, *rest in rows]  # the watermark starts at 0
+    end = (-1, END_MS, "end", "d", "k", "1", "remote")
+    got = rows_of(spark, tmp_path, "out", processors.kv_change_stream(Feed(spark, tmp_path, "kv", rows, schema, 3, end).stream(), "1 second"))
     assert {(r.key, r.seq) for r in got} == {("k", 0), ("k", 4), ("q", 5)}
 
 
+class Shuffled(Feed):
+    """Files of one row each, whose order is shuffled within the lateness."""
+
+    def __init__(self, spark, root, name, rows, schema, lateness_ms, seed, end):
+        draw = random.Random(seed)
+        at = [c.split()[0] for c in schema.split(", ")].index("ts_ms")
+        self.spark, self.path, self.schema = spark, str(root / name), schema + ", ts timestamp"
+        for row in [*sorted(rows, key=lambda r: r[at] + draw.randrange(lateness_ms)), end]:
+            df = spark.createDataFrame([row], schema).withColumn("ts", F.timestamp_millis("ts_ms"))
+            df.coalesce(1).write.mode("append").parquet(self.path)
+            time.sleep(0.01)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_order_of_arrival_does_not_matter(spark, tmp_path, seed):
+    """Two feeds, a row or two per batch, out of order inside the lateness: the result is that of the batch operators."""
+    sinks.use_rocksdb(spark)
+    draw = random.Random(seed)
+    cols = "event_id long, ts_ms long, vault string, device string, path string, op string"
+    moves = [(i, 10 + i * 10, draw.random() < 0.5, draw.choice(["modify", "delete"]), f"p{draw.randrange(2)}") for i in range(14)]
+    sent = [(i, t, "v", "d", p, op, f"h{i}") for i, t, s, op, p in moves if s]
+    back = [(i, t, "v", "d", p, op) for i, t, s, op, p in moves if not s]
+    a = Shuffled(spark, tmp_path, "sent", sent, cols + ", hash string", 60, seed, (-1, END_MS, "end", "d", "x", "modify", "h"))
+    b = Shuffled(spark, tmp_path, "back", back, cols, 60, seed, (-2, END_MS, "end", "d", "y", "modify"))
+    got = rows_of(spark, tmp_path, "out", processors.ack_stream(a.stream(2), b.stream(2), "1 minute", 10**6))
+    old = F.lit(0).cast("long").alias("last_time")
+    want = acks.match_acks(spark.createDataFrame(sent, cols + ", hash string"), spark.createDataFrame(back, cols).select("*", old)).collect()
+    assert {(r.event_id, r.effect, r.hash) for r in got if r.effect != "timeout" and r.vault != "end"} == {(r.event_id, r.effect, r.hash) for r in want}
+
+    o = Shuffled(spark, tmp_path, "o", [("a", 10, 3), ("b", 20, 2)], "session_id string, ts_ms long, total_chunks long", 60, seed, ("end", END_MS * 10, 1))
+    frames = [("a", 11, 0), ("a", 12, 0), ("b", 23, 1), ("x", 14, 0), ("a", 25, 2), ("a", 36, 1), ("b", 37, 7)]
+    f = Shuffled(spark, tmp_path, "f", frames, "session_id string, ts_ms long, chunk_index long", 60, seed, ("end", END_MS * 10, 0))
+    rows = rows_of(spark, tmp_path, "chunks", processors.chunk_stream(o.stream(), f.stream(2), "1 minute"))
+    steps = sorted((r.session_id, r.received, r.status) for r in rows if r.session_id != "end")
+    assert steps == [("a", 0, "pending"), ("a", 1, "pending"), ("a", 2, "pending"), ("a", 3, "success"), ("b", 0, "pending"), ("b", 1, "error"), ("b", 1, "pending"), ("x", 0, "error")]
+
+
+def test_waiting_renames_have_a_life(spark, tmp_path):
+    sinks.use_rocksdb(spark)
+    schema = "event_id long, ts_ms long, vault string, device string, old_path string, path string, ack boolean"
+    rows = [(1, 1, "v", "d", "a", "b", False), (2, 10, "v", "d", "c", "e", False), (3, 150, "v", "d", "", "", True), (4, 900, "v", "d", "f", "g", False)]
+    ends = [(-1, END_MS, "end", "d", "o", "n", False), (-2, END_MS, "end", "d", "o", "n", True)]
+    both = Feed(spark, tmp_path, "moves", rows, schema, 2, ends).stream()
+    got = rows_of(spark, tmp_path, "out", processors.rename_ack_stream(both.filter("NOT ack"), both.filter("ack"), "1 second", 145))
+    assert {(r.event_id, r.acked_at) for r in got if r.vault != "end"} == {(1, None), (2, 150), (4, None)}
+
+
 def test_replayed_batches_change_nothing(spark, tmp_path):
     events = random_events(random.Random(27), 80, 3)
     feed = Feed(spark, tmp_path, "ev", events, EVENTS, 3)
