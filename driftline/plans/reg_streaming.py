@@ -78,7 +78,8 @@ def src1(spark, sf):
     root = scratch_path(spark, "vault")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("source", "lang", "text")
     docs.write.partitionBy("source", "lang").text(root)
-    scan = vault_scan(spark, root, "v", "d")
+    own = F.col("path").rlike(r"(^|/)(_SUCCESS|\.[^/]*\.crc)$")  # marks of the writer, no files of the vault
+    scan = vault_scan(spark, root, "v", "d").filter(~own)
     folder = F.when(F.col("kind") == "folder", F.col("path")).otherwise(parent_of(F.col("path")))
     return scan.groupBy("kind", folder.alias("folder")).agg(F.sum("size").alias("n_bytes"))
 

@@ -2,57 +2,81 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.fingerprint import string_fingerprint
-from driftline.functions.paths import ancestors, kind_of
+from driftline.functions.paths import kind_of
 from driftline.operators.rules import VIRTUAL_PREFIX
 from driftline.operators.timeline import page_of
 
 
+LISTED = "path string, is_folder boolean, mtime long, size long"
+
+
+def _place(folder: str):
+    """File system and path of a folder. A plain path or ``file:`` is a mounted one."""
+    from pyarrow import fs
+
+    url = urlparse(folder)
+    if url.scheme in ("", "file"):
+        return fs.LocalFileSystem(), unquote(url.path)
+    return fs.FileSystem.from_uri(folder)
+
+
+def _entries(fs, folder: str, base: str, recursive: bool) -> list[tuple]:
+    from pyarrow.fs import FileSelector, FileType
+
+    found = fs.get_file_info(FileSelector(folder, recursive=recursive, allow_not_found=True))
+    return [
+        (
+            i.path[len(base) :].lstrip("/"), i.type == FileType.Directory,
+            None if i.type == FileType.Directory or i.mtime_ns is None else i.mtime_ns // 1_000_000,
+            None if i.type == FileType.Directory else i.size,
+        )
+        for i in found
+    ]
+
+
 def vault_scan(
     spark: SparkSession, root: str, vault: str, device: str, hidden: Sequence[str] = ()
 ) -> DataFrame:
     """Files and folders below ``root``: path, kind, size, mtime. The root itself is no row.
 
-    Only file metadata is read: the content column is pruned from the scan. A folder shows when a file
-    lies under it. Spark's reader passes over names that begin with a dot or an underscore; name such
-    folders (a config folder) in ``hidden`` to have them scanned too.
+    Every name counts, also those that begin with a dot or an underscore, and so do empty folders. Files below a
+    folder named in ``hidden`` are of kind ``config``. The driver lists the first level; what is below each of
+    its folders is listed by the tasks, which read metadata only.
     """
-    base = root.rstrip("/")
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load([base, *[f"{base}/{h}" for h in hidden]])
-        .select(
-            F.regexp_replace(F.col("path"), r"(?s)\A.*?" + _quoted(base) + "/", "").alias("path"),
-            F.unix_millis("modificationTime").alias("mtime"),
-            F.col("length").alias("size"),
-        )
-    )
-    files = listed.select(
-        F.lit(vault).alias("vault"), F.lit(device).alias("device"), kind_of(F.col("path")).alias("kind"),
+    base_fs, base = _place(root.rstrip("/"))
+    top = _entries(base_fs, base, base, recursive=False)
+    folders = [f for f, is_folder, _, _ in top if is_folder]
+
+    def below(batches):
+        fs, base = _place(root.rstrip("/"))
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = _entries(fs, f"{base}/{folder}", base, recursive=True)
+                for at in range(0, len(rows), 10_000):
+                    cols = zip(*rows[at : at + 10_000])
+                    types = [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["path", "is_folder", "mtime", "size"])
+
+    listed = spark.createDataFrame(top, LISTED)
+    if folders:
+        tasks = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 10_000))
+        listed = listed.unionByName(tasks.mapInArrow(below, LISTED))
+    config = F.lit(False)
+    for h in hidden:
+        config = config | F.col("path").startswith(h.rstrip("/") + "/")
+    kind = F.when(F.col("is_folder"), "folder").when(config, "config").otherwise(kind_of(F.col("path")))
+    return listed.select(
+        F.lit(vault).alias("vault"), F.lit(device).alias("device"), kind.alias("kind"),
         "path", string_fingerprint(F.col("path")).alias("path_hash"), "mtime", "size",
     )
-    folders = (
-        listed.select(F.explode(ancestors(F.col("path"))).alias("path"))
-        .distinct()
-        .select(
-            F.lit(vault).alias("vault"), F.lit(device).alias("device"), F.lit("folder").alias("kind"),
-            "path", string_fingerprint(F.col("path")).alias("path_hash"),
-            F.lit(None).cast("long").alias("mtime"), F.lit(None).cast("long").alias("size"),
-        )
-    )
-    return files.unionByName(folders)
-
-
-def _quoted(text: str) -> str:
-    scheme_free = re.sub(r"\A\w+://", "", text) or text
-    return re.escape(scheme_free)
 
 
 def utf16_length(text: Column) -> Column:

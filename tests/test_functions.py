@@ -239,7 +239,14 @@ def test_vault_scan(spark, tmp_path):
     (tmp_path / ".conf" / "app.json").write_text("{}")
     both = {r.path for r in listing.vault_scan(spark, str(tmp_path), "v", "d", hidden=[".conf"]).collect()}
     assert both == set(rows) | {".conf", ".conf/app.json"}
-    assert "content" not in scan._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+    for path in ("a/_att/p.png", "a/.h/d.md", "_x/e f%20g.md", ".conf/plugins/x/main.js"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    (tmp_path / "empty" / "inner").mkdir(parents=True)
+    want = {(str(p.relative_to(tmp_path)), p.is_dir(), None if p.is_dir() else p.stat().st_size, None if p.is_dir() else p.stat().st_mtime_ns // 10**6) for p in tmp_path.rglob("*")}
+    found = listing.vault_scan(spark, str(tmp_path), "v", "d", hidden=[".conf"]).collect()
+    assert {(r.path, r.kind == "folder", r.size, r.mtime) for r in found} == want and len(found) == len(want)
+    assert {r.path for r in found if r.kind == "config"} == {".conf/app.json", ".conf/plugins/x/main.js"}
 
 
 def test_state_maps_old_and_new_form(spark, tmp_path):
