@@ -14,11 +14,30 @@ from driftline.schema import STATE_KEY
 
 #: conflict strategies: newest mtime wins, merge when the client is newest, always merge
 STRATEGIES = ("", "newTimeMerge", "ignoreTimeMerge")
+KINDS = ("note", "file", "config", "folder")
 
 
-def per_device(server: DataFrame, devices: DataFrame) -> DataFrame:
-    """Server rows once per device of their vault."""
-    return join_facts(server, devices.select("vault", "device").distinct(), ["vault"], ["path"], "inner")
+def per_device(
+    server: DataFrame, devices: DataFrame, marks: DataFrame | None = None, present: DataFrame | None = None
+) -> DataFrame:
+    """Server rows once per device of their vault.
+
+    With ``marks`` (``vault, device, kind, last_time``), a device gets only rows that changed after its watermark, as a
+    round asks for, and rows of the paths in ``present`` (``vault, device, path``), its own and those of
+    its base. The result then grows with what is new and what is there, not with rows times devices. A device
+    without a watermark of a kind gets all rows of it.
+    """
+    every = devices.select("vault", "device").distinct()
+    if marks is None:
+        return join_facts(server, every, ["vault"], ["path"], "inner")
+    own = present.select(*STATE_KEY).distinct()
+    known = own.join(server, ["vault", "path"]).select(*server.columns, "device")
+    limit = marks.select("vault", "device", "kind", F.col("last_time").alias("_mark"))
+    kinds = F.explode(F.array(*map(F.lit, KINDS)))
+    facts = every.withColumn("kind", kinds).join(limit, ["vault", "device", "kind"], "left")
+    facts = facts.select("vault", "device", "kind", F.coalesce("_mark", F.lit(-1)).alias("_mark"))
+    fresh = join_facts(server, facts, ["vault", "kind"], ["path"], "inner").where("last_time > _mark").drop("_mark")
+    return fresh.join(own, STATE_KEY, "left_anti").select(*server.columns, "device").unionByName(known)
 
 
 def reconcile(

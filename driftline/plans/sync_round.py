@@ -48,16 +48,24 @@ def run(
     book: RuleBook,
     strategy: str = "",
     offline_delete: bool = False,
+    watermarks: DataFrame | None = None,
+    pending: DataFrame | None = None,
 ) -> Round:
-    """Tables of one round for all devices of a listing. Nothing runs until one of them is used."""
+    """Tables of one round for all devices of a listing. Nothing runs until one of them is used.
+
+    With ``watermarks`` a device sees the server's rows as its round asks for them (see ``per_device``). Server rows
+    under an exclude rule are left alone. ``pending`` (the key, ``hash, mtime, size``) is put into the state at the end.
+    """
     kept, large = size_guard(exclude_paths(listing, book))
     hashed = hash_listing(kept, content, base)
     manifest = attach_base(hashed.withColumn("path_hash", string_fingerprint(F.col("path"))), base)
     deleted = detect_deleted(base, listing, book, offline_delete)
     devices = listing.select("vault", "device").unionByName(base.select("vault", "device"))
-    decisions = reconcile(hashed, base, per_device(server, devices), strategy, deleted)
+    present = hashed.select(*STATE_KEY).unionByName(base.select(*STATE_KEY))
+    wanted = per_device(exclude_paths(server, book), devices, watermarks, present)
+    decisions = reconcile(hashed, base, wanted, strategy, deleted)
     scanned = hashed.filter("needs_hash").select(*STATE_KEY, F.col("content_hash").alias("hash"), "mtime", "size")
-    nothing = scanned.limit(0)
-    state = commit_round(base, nothing, scanned, deleted)
+    waiting = scanned.limit(0) if pending is None else pending.select(*scanned.columns)
+    state = commit_round(base, waiting, scanned, deleted)
     oversized = large.withColumn("reason", F.concat("kind", F.lit(" too large")))
     return Round(manifest, deleted, decisions, task_counts(decisions), state, oversized)

@@ -340,3 +340,24 @@ def test_whole_round(spark):
     assert {r.path: r.outcome for r in done.decisions.collect()} == {"n.md": "NeedPush", "old.md": "None", "gone.md": "ServerDelete"}
     assert {r.path: r.hash for r in done.state.collect()} == {"n.md": str(ord("n") * 961 + ord("e") * 31 + ord("w")), "old.md": "kept", "skip/y.md": "y"}
     assert done.counts.collect()[0].need_upload == 1
+
+
+def test_round_sees_what_is_new_and_what_is_there(spark):
+    """Two devices: rows after the watermark, rows of present paths, nothing under an exclude rule."""
+    from driftline.operators.rules import Rule
+
+    def of(path, last, kind="note"):
+        return ("v", kind, path, "h", 1, 1, 2, False, last)
+
+    server = spark.createDataFrame([of("new.md", 50), of("old.md", 5), of("mine.md", 5), of("skip/x.md", 60), of("f.png", 1, "file")],
+                                   "vault string, kind string, path string, content_hash string, mtime long, ctime long, size long, is_deleted boolean, last_time long")
+    devices = spark.createDataFrame([("v", "d"), ("v", "e")], "vault string, device string")
+    marks = spark.createDataFrame([("v", "d", "note", 10), ("v", "d", "file", 10), ("v", "e", "note", 55)], "vault string, device string, kind string, last_time long")
+    present = spark.createDataFrame([("v", "d", "mine.md"), ("v", "d", "new.md")], "vault string, device string, path string")
+    got = sorted((r.device, r.path) for r in reconcile.per_device(server, devices, marks, present).collect())
+    assert got == [("d", "mine.md"), ("d", "new.md"), ("d", "skip/x.md"), ("e", "f.png"), ("e", "skip/x.md")]
+    listing = spark.createDataFrame([listing_row("mine.md", "h", 1, size=2)], LISTING)
+    content = spark.createDataFrame([("v", "d", "mine.md", "x")], "vault string, device string, path string, text string")
+    base = spark.createDataFrame([("v", "d", "mine.md", "h", 1, 2)], BASE)
+    done = sync_round.run(listing, content, base, server, RuleBook(folders=(Rule("skip"),)), watermarks=marks)
+    assert {r.path: r.outcome for r in done.decisions.collect()} == {"new.md": "Modify", "mine.md": "None"}
