@@ -8,7 +8,7 @@ from driftline.functions import fingerprint, media, messages, paths, reports
 from driftline.operators import compare
 from driftline.plans.fixtures import fx
 from driftline.plans.registry import query
-from driftline.sources import wire
+from driftline.sources import rounds, wire
 
 _SLASHED = "replace(path, chr(92), '/')"
 _BASE = "list_extract(string_split(replace(path, chr(92), '/'), '/'), -1)"
@@ -343,3 +343,45 @@ def src7(spark, sf):
     return good.select("seq", "action", "body", F.lit(True).alias("readable")).unionByName(
         bad.select("seq", "action", F.lit(None).cast("string").alias("body"), F.lit(False).alias("readable"))
     )
+
+
+_REQUEST_ITEMS = """SELECT CASE vault WHEN 'vault0' THEN 0 WHEN 'vault1' THEN 1 ELSE 2 END * 2 + CASE kind WHEN 'note' THEN 0 ELSE 1 END AS seq, kind, vault, 1704067200000 AS last_time, concat('c-', vault) AS context,
+  CASE WHEN size % 5 = 0 THEN 'deleted' WHEN size % 5 = 1 THEN 'missing' ELSE 'present' END AS state, path, path_hash, content_hash, mtime, ctime, size FROM fx_local"""
+
+
+@query("src7_requests", f"SELECT * FROM ({_REQUEST_ITEMS}) q")
+def src7_requests(spark, sf):
+    sent = rounds.encode_requests(fx(spark, sf, _REQUEST_ITEMS)).select("seq", "raw")
+    good, _ = wire.decode_messages(sent)
+    return rounds.request_items(good)
+
+
+_TASKS = """SELECT CASE vault WHEN 'vault0' THEN 0 WHEN 'vault1' THEN 1 ELSE 2 END AS seq, path, content_hash, mtime,
+  CASE WHEN size % 4 = 0 THEN 'NoteSyncDelete' WHEN size % 4 = 1 THEN 'NoteSyncNeedPush' WHEN size % 4 = 2 THEN 'NoteSyncModify' ELSE 'NoteSyncMtime' END AS task FROM fx_local WHERE kind = 'note'"""
+
+
+@query(
+    "src7_ends",
+    f"""WITH t AS ({_TASKS})
+SELECT seq, CAST(row_number() OVER (PARTITION BY seq ORDER BY path) - 1 AS BIGINT) AS place, task, path, CASE WHEN task = 'NoteSyncModify' THEN content_hash END AS content_hash,
+  CASE WHEN task IN ('NoteSyncModify', 'NoteSyncMtime') THEN mtime END AS mtime, count(*) OVER (PARTITION BY seq) AS n_tasks, count(*) FILTER (task = 'NoteSyncModify') OVER (PARTITION BY seq) AS need_modify FROM t""",
+)
+def src7_ends(spark, sf):
+    task = F.struct(
+        "path", F.struct(
+            F.col("task").alias("action"),
+            F.struct(
+                "path", F.when(F.col("task") == "NoteSyncModify", F.col("content_hash")).alias("contentHash"),
+                F.when(F.col("task").isin("NoteSyncModify", "NoteSyncMtime"), F.col("mtime")).alias("mtime"),
+            ).alias("data"),
+        ).alias("m"),
+    )
+    sent = (
+        fx(spark, sf, _TASKS)
+        .groupBy("seq")
+        .agg(F.array_sort(F.collect_list(task)).alias("t"), F.count_if(F.col("task") == "NoteSyncModify").alias("n"))
+        .select("seq", F.to_json(F.struct(F.lit(1).alias("code"), F.struct(F.lit(5).alias("lastTime"), F.col("t.m").alias("messages"), F.col("n").alias("needModifyCount")).alias("data"))).alias("body"))
+    )
+    good, _ = wire.decode_messages(sent.select("seq", F.concat(F.lit("NoteSyncEnd|"), "body").alias("raw")))
+    tasks, facts = rounds.end_tasks(good), rounds.end_facts(good).select("seq", "n_tasks", "need_modify")
+    return tasks.select("seq", "place", "task", "path", "content_hash", "mtime").join(facts, "seq")
