@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from driftline.llm.common import slices
+from driftline.llm.common import KEPT, short_batches, slices
 
 #: entries of the cache of pieces; when it is full it is emptied
-CACHE_PIECES = 800_000
+CACHE_PIECES = 300_000
 #: characters of a piece that is kept in the cache
 CACHE_CHARS = 64
 #: characters of text taken in at a time
@@ -292,7 +292,7 @@ class Pieces(dict):
         if len(self) + 3 * len(texts) > CACHE_PIECES:
             self.clear()
         words = self.find("".join(texts))
-        new = list({*words} - self.keys())
+        new = [w for w in {*words} if w not in self]
         short = [w for w in new if len(w) <= 24]
         self.update(zip(short, self.table.merge_many([w.encode() for w in short])))
         self.update((w, pack(self.table.merge(w.encode()))) for w in new if len(w) > 24)
@@ -445,6 +445,9 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(MergeTable(path))
 
 
+KEPT["bpe"] = pieces_of.cache_clear
+
+
 def blocks(text: str, size: int = BLOCK):
     for at in range(0, len(text), size):
         yield text[at : at + size]
@@ -466,7 +469,7 @@ def encode_many(texts: list[str], path: str) -> list[bytes]:
         units = list(map(" ".__add__, more))
         new.update(units)
         cut.append([first, *units])
-    new = [u for u in new - pieces.keys() if len(u) <= CACHE_CHARS]
+    new = [u for u in new if u not in pieces and len(u) <= CACHE_CHARS]
     if new:
         pieces.warm(new)
     of = pieces.__getitem__
@@ -497,11 +500,12 @@ def encode_texts(docs: DataFrame, path: str, keep: list[str], col: str = "text")
     """
 
     def work(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, holds="bpe"):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             ids = pa.array(encode_many(texts, path), type=pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*keep, "ids"])
 
+    short_batches(docs.sparkSession)
     rows = docs.select(*keep, F.coalesce(F.col(col), F.lit("")).alias("__text"))
     schema = StructType([*rows.select(*keep).schema.fields, StructField("ids", BinaryType())])
     return rows.mapInArrow(work, schema)
@@ -512,7 +516,7 @@ def decode_ids(encoded: DataFrame, path: str, keep: list[str], col: str = "ids")
 
     def work(batches):
         table = pieces_of(path).table
-        for batch in slices(batches):
+        for batch in slices(batches, holds="bpe"):
             texts = ["".join(decode(b or b"", table)) for b in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, "text"])
 
@@ -532,7 +536,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def work(batches):
         table = pieces_of(path).table
-        for batch in slices(batches):
+        for batch in slices(batches, holds="bpe"):
             texts = batch.column(1).to_pylist()
             out: list[tuple] = []
             for text, packed in zip(texts, encode_many(texts, path)):
@@ -549,5 +553,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
             )
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(work, ROUND_TRIP)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +43,24 @@ def unpacked(df: DataFrame, columns: list[str], **new) -> DataFrame:
     return df.select(*((new[c] if c in new else F.col(f"__row.`{c}`")).alias(c) for c in columns))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+#: ways to drop what operators keep in a Python worker, by the operator's module
+KEPT: dict[str, Callable[[], None]] = {}
+#: rows of texts in an Arrow batch
+BATCH = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Texts are long, so fewer rows than usual go to Python at once; both sides hold a batch in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, holds: str = "") -> Iterator[pa.RecordBatch]:
+    """Slices of batches. A worker is used again for other operators, so what those left in it is dropped; ``holds`` names the own."""
+    for name, drop in KEPT.items():
+        if name != holds:
+            drop()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from driftline.llm.bpe import CACHE_CHARS, SAFE_BLANK, Pieces, pieces_of
-from driftline.llm.common import slices
+from driftline.llm.common import short_batches, slices
 
 #: pre-tokens, or pieces between safe blanks, in a new leaf
 LEAF = 48
@@ -183,7 +183,7 @@ def leaves_of(texts: list[str], pieces: Pieces) -> list[tuple[np.ndarray, np.nda
         units = list(map(" ".__add__, more))
         new.update(units)
         cut.append([first, *units] if text else [])
-    fresh = [u for u in new - pieces.keys() if len(u) <= CACHE_CHARS]
+    fresh = [u for u in new if u not in pieces and len(u) <= CACHE_CHARS]
     if fresh:
         pieces.warm(fresh)
     of = pieces.__getitem__
@@ -207,7 +207,7 @@ def build(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """``keep`` columns, ``text`` (null as empty), ``leaves`` and ``n_tokens``: the trees of all documents. No shuffle."""
 
     def work(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, holds="bpe"):
             texts = batch.column(batch.num_columns - 1)
             made = leaves_of(texts.to_pylist(), pieces_of(path))
             ends = np.concatenate(([0], np.cumsum([len(c) for c, _ in made]))).astype(np.int32)
@@ -218,6 +218,7 @@ def build(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
             sums = pa.array([int(t.sum()) for _, t in made], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, leaves, sums], [*keep, "text", "leaves", "n_tokens"])
 
+    short_batches(docs.sparkSession)
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(work, _with(rows.schema, f"leaves {LEAVES}, n_tokens long"))
 
@@ -234,7 +235,7 @@ def edited(trees: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
     def work(batches):
         pieces = pieces_of(path)
-        for batch in slices(batches):
+        for batch in slices(batches, holds="bpe"):
             rows = []
             text, leaves, edits = (batch.column(batch.num_columns - 3 + i).to_pylist() for i in range(3))
             for t, ls, es in zip(text, leaves, edits):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import slices
+from driftline.llm.common import short_batches, slices
 
 BITS = 16
 FEATURES = 1 << BITS
@@ -226,6 +226,7 @@ def sample(docs: DataFrame, per_language: int) -> list[tuple[np.ndarray, np.ndar
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from ``text`` and ``lang`` of the documents with a language that are not in the held-out fold."""
+    short_batches(docs.sparkSession)
     own = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(fold() != 2)
     df, n = document_frequencies(own)
     idf = np.log((1 + n) / (1 + df)) + 1

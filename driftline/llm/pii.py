@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import slices, stored
+from driftline.llm.common import short_batches, slices, stored
 from driftline.llm.quality import estimate
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
@@ -233,6 +233,7 @@ def found(docs: DataFrame) -> DataFrame:
             spans = [[dict(zip(names, c)) for c in candidates(t or "")] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, f"doc_id long, spans {CANDIDATES}")
 
 

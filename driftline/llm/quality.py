@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import slices, stored
+from driftline.llm.common import short_batches, slices, stored
 
 BLANKS = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -129,6 +129,7 @@ def figures_of(docs: DataFrame) -> DataFrame:
             table = np.array([figures(t) for t in batch.column(1).to_pylist()], dtype=np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, table.T.copy())], ["doc_id", *names])
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(work, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import slices, stored, text_bytes, unpacked, whole_row
+from driftline.llm.common import short_batches, slices, stored, text_bytes, unpacked, whole_row
 from driftline.llm.components import components
 
 SEED = 42
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 [batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"]
             )
 
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(work, "doc_id long, fp long")
 
 
