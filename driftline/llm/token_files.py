@@ -16,8 +16,10 @@ ranges of them elsewhere.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
@@ -28,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.bpe import CACHE_CHARS, SAFE_BLANK
-from driftline.llm.common import parts_of, slices
+from driftline.llm.bpe import CACHE_CHARS, SAFE_BLANK, byte_alphabet
+from driftline.llm.common import KEPT, parts_of, short_batches, slices
 from driftline.session import scratch_path
 
 #: pieces of text whose ids a worker keeps; when they are more they are forgotten
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_500_000
+#: new pieces that are encoded as one text
+TOGETHER = 1000
 NO_ID = -(1 << 63)
 PARTS = "part int, n_docs long, n_tokens long, bytes_per_id int"
 
@@ -49,26 +53,55 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        alphabet = byte_alphabet()
+        specials = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)  # bytes of each token
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token.encode()) if token in specials or not alphabet.keys() >= set(token) else len(token)
         self.kept: dict[str, bytes] = {}
 
+    def packed(self, ids: list[int]) -> bytes:
+        out = array("H" if self.type.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def fresh(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that each begin with a safe blank. So many of them together are one text whose
+        tokens part where the pieces do, and the library is called once for all."""
+        out = {}
+        for at in range(0, len(units), TOGETHER):
+            some = units[at : at + TOGETHER]
+            ids = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids
+            ends = np.cumsum(self.sizes[ids])
+            last = np.searchsorted(ends, np.cumsum([len(u.encode()) for u in some])) + 1
+            packed, start = self.packed(ids), 0
+            for u, end in zip(some, (last * self.type.itemsize).tolist()):
+                out[u] = packed[start:end]
+                start = end
+        return out
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        cut, new = [], set()
+        cut, new, firsts = [], set(), set()
         for text in texts:
             first, *more = SAFE_BLANK.split(text)
-            units = [first, *map(" ".__add__, more)]
+            units = list(map(" ".__add__, more))
             new.update(units)
-            cut.append(units)
-        fresh = list(new - self.kept.keys())
-        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        got = {u: np.array(e.ids, dtype=self.type).tobytes() for u, e in zip(fresh, found)}
-        if len(self.kept) + len(got) > CACHE_PIECES:
-            # what these texts need stays
-            self.kept = {u: self.kept[u] for u in new & self.kept.keys()}
-        self.kept.update(got)
-        end = np.array([end_id], dtype=self.type).tobytes()
+            firsts.add(first)
+            cut.append([first, *units])
+        new = {u for u in new if u not in self.kept}
+        firsts = {u for u in firsts if u not in self.kept and u not in new}
+        if len(self.kept) + len(new) + len(firsts) > CACHE_PIECES:
+            here = {u for units in cut for u in units}
+            self.kept = {u: self.kept[u] for u in here & self.kept.keys()}  # what these texts need stays
+        self.kept.update(self.fresh(list(new)))
+        alone = list(firsts)
+        found = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
+        self.kept.update((u, self.packed(e.ids)) for u, e in zip(alone, found))
+        end = self.packed([end_id])
         of = self.kept.__getitem__
         out = [b"".join([*map(of, u), end]) for u in cut]
-        for u in got:
+        for u in [*new, *alone]:
             if len(u) > CACHE_CHARS:
                 del self.kept[u]
         return out
@@ -79,6 +112,9 @@ def library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+KEPT["library"] = library.cache_clear
+
+
 def place(folder: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder; a plain path or ``file:`` is the shared folder as mounted."""
     url = urlparse(folder)
@@ -116,7 +152,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFr
         draft = f"{base}.bin.{uuid.uuid4().hex}"
         sizes, ids = [], []
         with fs.open_output_stream(draft) as out:
-            for batch in slices(batches):
+            for batch in slices(batches, holds="library"):
                 ids += [NO_ID if d is None else d for d in batch.column(0).to_pylist()]
                 for packed in coder.encode(batch.column(1).to_pylist(), end_id):
                     sizes.append(len(packed) // coder.type.itemsize)
@@ -130,6 +166,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFr
             schema=pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bytes_per_id", pa.int32())]),
         )
 
+    short_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = parts_of(spark)
     ordered = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
