@@ -4,8 +4,8 @@ Sources may overlap: a document can belong to several. Documents with the same s
 one *pattern*; a pattern's words are routed to its sources by a min-cost flow. Each further repetition of a
 pattern costs more than the one before, so repetition is spread as evenly as the quotas allow. Words that a
 pattern gives are whole repetitions of all its documents plus, for the rest, a prefix of them in
-seeded order. That prefix is found by sums of 65,536 ranges of the order and one exact running sum in
-the range where it ends, so no task orders a whole source.
+seeded order. Its end is found by sums of 256 ranges of the order, then of 256 parts of the range where it ends, and
+so on, and one exact running sum in the last one, so no task orders a whole source.
 
 The driver holds one row per source and per pattern.
 """
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import NOT_SPACES, stored
+from driftline.llm.common import NOT_SPACES, stored, unpacked, whole_row
 
 #: weights of the sources in code point order, null last, over and over
 WEIGHTS = (5, 2, 1)
@@ -26,8 +26,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: how often a document may be taken
 REPEATS = 2
-#: hexadecimal digits of the seeded order that make a range
-RANGE = 4
+#: hexadecimal digits of the seeded order by which a range is split, and how often that is done
+DIGITS = 2
+LEVELS = 3
 
 
 def n_words(col: str = "text") -> Column:
@@ -149,7 +150,6 @@ def plan(
     rows: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, max_patterns: int = 1_000_000
 ) -> Plan:
     """The plan for ``rows`` (as ``sized`` gives them). More patterns than ``max_patterns`` are an error."""
-    spark = rows.sparkSession
     found = rows.groupBy("__pattern").agg(F.sum("__size").alias("n"), F.first("__sources").alias("s")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} different sets of sources")
@@ -164,24 +164,41 @@ def plan(
     taken = {p: sum(flow.get((p, s), 0) for s in sources) for p, (sources, _) in patterns.items()}
     whole = {p: (taken[p] // n if n else 0) for p, (_, n) in patterns.items()}
     rest = [(p, taken[p] - whole[p] * n) for p, (_, n) in patterns.items()]
-    last = {r["p"]: r["last"] for r in _ends(rows, spark.createDataFrame(rest, "p string, rest long")).collect()} if rest else {}
+    last = _ends(rows, rest)
     return Plan(goal, sizes, [(p, whole[p], *(last.get(p) or (None, None))) for p in patterns])
 
 
-def _ends(rows: DataFrame, rest: DataFrame) -> DataFrame:
-    """Per pattern, the last document of the seeded order that the rest still takes: its middle is within the rest."""
-    part = F.substring("__order", 1, RANGE).alias("part")
-    sums = rows.groupBy("__pattern", part).agg(F.sum("__size").alias("n"), F.max(F.struct("__order", "__size")).alias("top"))
-    before = Window.partitionBy("__pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranged = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    ranged = ranged.join(F.broadcast(rest), ranged["__pattern"] == rest.p).where("start < rest")
-    whole = ranged.where("start + n <= rest").select("p", "top")
-    cut = ranged.where("start + n > rest").select("p", F.col("part").alias("cut"), "start", "rest")
-    inside = rows.join(F.broadcast(cut), (rows["__pattern"] == cut.p) & (part == cut.cut))  # one range per pattern
-    running = Window.partitionBy("p").orderBy("__order", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("before", F.col("start") + F.coalesce(F.sum("__size").over(running), F.lit(0)))
-    inside = inside.where("2 * before + __size <= 2 * rest").select("p", F.struct("__order", "__size").alias("top"))
-    return whole.unionByName(inside).groupBy("p").agg(F.max("top").alias("last"))
+def _ends(rows: DataFrame, rest: list[tuple[str, int]]) -> dict[str, tuple]:
+    """Per pattern, the last document of the seeded order that the rest still takes: its middle is within the rest.
+
+    Level by level, the range of the order in which the rest ends is split into 256; its documents are read out at last.
+    """
+    spark = rows.sparkSession
+    cuts, tops = [(p, "", 0, n) for p, n in rest if n > 0], {}
+    for level in range(LEVELS + 1):
+        if not cuts:
+            break
+        table = spark.createDataFrame(cuts, "p string, prefix string, start long, rest long")
+        within = F.substring("__order", 1, DIGITS * level) == F.col("prefix") if level else F.lit(True)
+        inside = rows.join(F.broadcast(table), (rows["__pattern"] == table.p) & within)  # a row per pattern
+        top = F.struct("__order", "__size").alias("top")
+        if level == LEVELS:
+            order = Window.partitionBy("p").orderBy("__order", "__size").rowsBetween(Window.unboundedPreceding, -1)
+            before = F.col("start") + F.coalesce(F.sum("__size").over(order), F.lit(0))
+            taken_ = inside.withColumn("before", before).where("2 * before + __size <= 2 * rest").select("p", top)
+            found, cuts = taken_.groupBy("p").agg(F.max("top").alias("top")).collect(), []
+        else:
+            part = F.substring("__order", 1, DIGITS * (level + 1)).alias("part")
+            sums = inside.groupBy("p", part, "start", "rest").agg(F.sum("__size").alias("n"), F.max(top).alias("top"))
+            order = Window.partitionBy("p").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+            ranged = sums.withColumn("begin", F.col("start") + F.coalesce(F.sum("n").over(order), F.lit(0)))
+            whole = F.max(F.when(F.col("begin") + F.col("n") <= F.col("rest"), F.col("top"))).alias("top")
+            ends = (F.col("begin") < F.col("rest")) & (F.col("begin") + F.col("n") > F.col("rest"))
+            cut = F.max(F.when(ends, F.struct("part", "begin"))).alias("cut")
+            found = ranged.groupBy("p", "rest").agg(whole, cut).collect()
+            cuts = [(r["p"], r["cut"]["part"], r["cut"]["begin"], r["rest"]) for r in found if r["cut"]]
+        tops |= {r["p"]: max(tuple(r["top"]), tops.get(r["p"], ("", 0))) for r in found if r["top"]}
+    return tops
 
 
 def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -204,7 +221,8 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 def taken(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the plan takes it. Texts stay where they are read."""
-    rows = sized(docs, F.array(F.col("source").cast("string")), seed)
+    rows = whole_row(docs, "doc_id", "text", "source")
+    rows = sized(rows, F.array(F.col("source").cast("string")), seed)
     made = plan(stored(rows.select("__size", "__sources", "__pattern", "__order"), "sizes"))
     again = made.applied(rows).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return again.select(*docs.columns)
+    return unpacked(again, docs.columns)
