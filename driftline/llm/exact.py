@@ -21,6 +21,10 @@ from driftline.llm.common import SPACES, stored
 
 #: digests in a bucket and its filter, about
 BUCKET = 1 << 17
+#: digests that are sent to every executor, about 100 bytes each; more of them are joined by a shuffle
+SENT = 200_000
+#: tasks that rows of one digest go to in that shuffle
+SALTS = 64
 
 
 def normalised(col: str = "text") -> Column:
@@ -36,7 +40,7 @@ def bucketed(digests: DataFrame, buckets: int) -> DataFrame:
 def filters_of(snapshot: DataFrame) -> DataFrame:
     """One row per bucket: its filter. ``snapshot`` has ``bucket`` and ``key``, each key once."""
 
-    def build(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def build(key, rows):
         keys = rows["key"].to_numpy(dtype=np.int64).view(np.uint64)
         return pd.DataFrame({"bucket": [key[0]], "filter": [fuse.build(keys)]})
 
@@ -46,7 +50,7 @@ def filters_of(snapshot: DataFrame) -> DataFrame:
 def screened(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     """Digests of ``incoming`` that may be in the snapshot: all that are, and about one in 256 of the others."""
 
-    def screen(rows: pd.DataFrame, filter_: pd.DataFrame) -> pd.DataFrame:
+    def screen(rows, filter_):
         if not len(filter_):
             return rows[["digest"]].iloc[:0]
         keys = rows["key"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -102,8 +106,14 @@ def exact_groups(
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("bytes"))
     texts = texts.withColumn("digest", digest(F.sha2("bytes", 256)))
+    if found.limit(SENT + 1).count() <= SENT:
+        suspect = texts.join(F.broadcast(found), "digest", "left_semi")
+    else:  # copies of one text go to many tasks
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        suspect = texts.withColumn("salt", salt).join(salted.hint("shuffle_hash"), ["digest", "salt"], "left_semi")
     same = (
-        texts.join(found.hint("shuffle_hash"), "digest", "left_semi")
+        suspect
         .groupBy("digest", "bytes")
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     )
