@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -156,23 +157,35 @@ def votes(text: str, kind: str, a: int, b: int, base: bool) -> list[int]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, bool, int]]:
-    """Kind, start, end, whether it is a base span, and its vote pattern. Others never overlap a base span or each other."""
+    """Kind, start, end, whether it is a base span, and its vote pattern. Others never overlap a base span; they may overlap each other."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     out = [(kind, a, b, True) for kind, a, b in base]
     others = sorted(set(more_spans(text)) - set(base), key=lambda s: (s[1], -s[2], s[0]))
-    end, i = 0, 0
+    i = 0
     for kind, a, b in others:
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if a < end or any(x < b and a < y for x, y in taken[i : i + 4]):
-            continue
-        out.append((kind, a, b, False))
-        end = b
+        if not any(x < b and a < y for x, y in taken[i : i + 4]):
+            out.append((kind, a, b, False))
     out.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
     return [(KINDS.index(k), a, b, f, pattern(KINDS.index(k), votes(text, k, a, b, f))) for k, a, b, f in out]
 
 
+def settled(spans: list[dict], chance: dict[int, float], threshold: float) -> list[dict]:
+    """Base spans, and of the others that reach ``threshold`` those that no likelier one overlaps; of equals the longer, then the earlier."""
+    likely = [s for s in spans if not s["base"] and chance[s["code"]] >= threshold]
+    likely.sort(key=lambda s: (-chance[s["code"]], s["start"] - s["stop"], s["start"], s["kind"]))
+    starts, stops, out = [], [], {(s["kind"], s["start"], s["stop"]) for s in spans if s["base"]}
+    for s in likely:
+        i = bisect_right(stops, s["start"])
+        if i == len(starts) or starts[i] >= s["stop"]:
+            starts.insert(i, s["start"])
+            stops.insert(i, s["stop"])
+            out.add((s["kind"], s["start"], s["stop"]))
+    return [s for s in spans if (s["kind"], s["start"], s["stop"]) in out]
+
+
 def pattern(kind: int, v: list[int]) -> int:
     out = kind
     for x in v:
@@ -252,9 +265,8 @@ def personal(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         for batch in batches:
             out = []
             for spans in batch.column(1).to_pylist():
-                named = [(s["base"], KINDS[s["kind"]], f"{KINDS[s['kind']]}:{s['start']}:{s['stop']}", chance[s["code"]]) for s in spans]
-                base = [x for x in named if x[0]]
-                kept = [x for x in named if x[0] or x[3] >= threshold]
+                kept = [(s["base"], KINDS[s["kind"]], f"{KINDS[s['kind']]}:{s['start']}:{s['stop']}") for s in settled(spans, chance, threshold)]
+                base = [x for x in kept if x[0]]
                 counts = Counter(x[1] for x in base)
                 digest = hashlib.sha256(",".join(x[2] for x in base).encode()).hexdigest()
                 out.append((*(counts[k] for k in BASE_KINDS), digest, ",".join(x[2] for x in kept), len(kept) - len(base)))

@@ -464,6 +464,21 @@ def test_added_spans(spark):
     assert rows[202].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_phone_beside_other_digits(spark):
+    """The digits together would be a card by their number, but fail its test; the phone number in them counts."""
+    docs = [(i, f"call 509-555-{1000 + i} today") for i in range(40)]
+    docs += [(100, "call 509-555-6973 2024"), (101, "call 509 555 6973 20245 now"), (102, "call 2024 509-555-6973")]
+    rows = {r.doc_id: r for r in pii.personal(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[100].spans == rows[101].spans == "phone:5:17" and rows[102].spans == "phone:10:22"
+    assert all(rows[i].n_added == 1 for i in (100, 101, 102))
+
+
+def test_overlaps_go_by_probability():
+    spans = [dict(kind=k, start=a, stop=b, base=f, code=c) for k, a, b, f, c in [(0, 0, 5, True, 0), (2, 10, 30, False, 1), (3, 10, 20, False, 2), (3, 20, 30, False, 3), (4, 29, 40, False, 4)]]
+    got = pii.settled(spans, {0: 0.1, 1: 0.8, 2: 0.9, 3: 0.6, 4: 0.4}, 0.5)
+    assert [(s["kind"], s["start"]) for s in got] == [(0, 0), (3, 10), (3, 20)]
+
+
 @pytest.mark.parametrize("text", ["9" * 60_000, "a" * 60_000, "@" * 60_000, "1." * 30_000, "+1 " * 20_000, "a@" * 30_000, "1 " * 30_000])
 def test_no_text_is_slow(text):
     import time
