@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.session import scratch_path
@@ -38,6 +38,20 @@ def whole_row(docs: DataFrame, *also: str):
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), *also)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The whole row, a number of its own (``at``) and a hash of its text (``th``), written once, so that every reader sees the same numbers.
+
+    Ids can be null or shared by different texts; rows are told apart by ``at``, and come by ``row_place``.
+    """
+    rows = whole_row(docs, F.xxhash64("text").alias("th")).withColumn("at", F.monotonically_increasing_id())
+    return stored(rows, "rows")
+
+
+def row_place() -> Column:
+    """Order of rows: by id, null last, then by text, then as they came."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "at")
+
+
 def unpacked(df: DataFrame, columns: list[str], **new) -> DataFrame:
     """The columns of ``whole_row`` again, some of them replaced."""
     return df.select(*((new[c] if c in new else F.col(f"__row.`{c}`")).alias(c) for c in columns))

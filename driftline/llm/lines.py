@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import NOT_SPACES, SPACES, stored, unpacked, whole_row
+from driftline.llm.common import NOT_SPACES, SPACES, numbered, row_place, stored, unpacked
 from driftline.llm.components import components
 
 #: lines of fewer characters are left alone: so short, they are alike by chance
@@ -28,11 +28,11 @@ CROWD = 64
 SENT = 500_000
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``line_no`` from 0, the line with white space runs as one blank, its length and two hashes; every line of every text."""
+def lines_of(rows: DataFrame) -> DataFrame:
+    """Of ``numbered`` rows: ``doc_id``, ``th``, ``at``, ``line_no`` from 0, the line with white space runs as one blank, its length and two hashes; every line of every text."""
     line = F.trim(F.regexp_replace("raw", f"{SPACES}+", " "))
-    rows = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    rows = rows.select("doc_id", F.col("line_no").cast("long"), line.alias("line"))
+    rows = rows.select(F.col("__row.doc_id").cast("long").alias("doc_id"), "th", "at", F.posexplode(F.split("__row.text", "\n")).alias("line_no", "raw"))
+    rows = rows.select("doc_id", "th", "at", F.col("line_no").cast("long"), line.alias("line"))
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line"), "n": F.length("line")})
 
 
@@ -123,9 +123,9 @@ def verified(pairs: DataFrame, edits: int) -> DataFrame:
     return pairs.where(F.when(near, F.expr(distance) <= edits).otherwise(False)).drop("a", "b")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(numbers: DataFrame, wanted: DataFrame) -> DataFrame:
     """Texts of the lines in ``wanted`` (h1, h2), each once."""
-    rows = lines_of(docs).where(F.col("n") >= MIN_CHARS).select("h1", "h2", "line")
+    rows = lines_of(numbers).where(F.col("n") >= MIN_CHARS).select("h1", "h2", "line")
     if wanted.limit(SENT + 1).count() <= SENT:
         wanted = F.broadcast(wanted)
     return rows.join(wanted, ["h1", "h2"], "left_semi").distinct()
@@ -162,16 +162,16 @@ def _crowded(texts: DataFrame) -> DataFrame:
     return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
-def line_links(docs: DataFrame, edits: int = 1, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """All different lines with their counts and first places, and links (u, v) between lines within ``edits`` edits.
+def line_links(rows: DataFrame, edits: int = 1, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """All different lines of ``numbered`` rows with their counts and first places, and links (u, v) between lines within ``edits`` edits.
 
     Links need not be all such pairs: under crowded segments a star stands for a group. Their components are the same.
     """
     index, probes = index_keys(edits), probe_keys(edits)
     names = [f"i{k}" for k in range(len(index))] + [f"p{k}" for k in range(len(probes))]
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
+    place = F.struct(row_place().alias("row"), "line_no")
     lines = (
-        lines_of(docs)
+        lines_of(rows)
         .where(F.col("n") >= max(MIN_CHARS, edits + 1))
         .select("h1", "h2", place.alias("place"), *(c.alias(x) for c, x in zip([*index, *probes], names)))
         .groupBy("h1", "h2")
@@ -187,48 +187,43 @@ def line_links(docs: DataFrame, edits: int = 1, crowd: int = CROWD) -> tuple[Dat
         pairs = _pairs(calm, calm).unionByName(_pairs(other, calm))
         if not hot.isEmpty():
             busy = own.unionByName(other).join(hot, "key", "left_semi").select("h1", "h2").distinct()
-            pairs = pairs.unionByName(_crowded(stored(_texts(docs, stored(busy, "busy")), "busy-texts")))
+            pairs = pairs.unionByName(_crowded(stored(_texts(rows, stored(busy, "busy")), "busy-texts")))
     else:
         pairs = _pairs(own.unionByName(other), own)
     pairs = stored(pairs.distinct(), "pairs")
     wanted = pairs.select("u.*").unionByName(pairs.select("v.*")).distinct()
-    texts = stored(_texts(docs, stored(wanted, "candidates")), "texts")
+    texts = stored(_texts(rows, stored(wanted, "candidates")), "texts")
     with_a = pairs.join(texts.select(F.struct("h1", "h2").alias("u"), F.col("line").alias("a")), "u")
     with_both = with_a.join(texts.select(F.struct("h1", "h2").alias("v"), F.col("line").alias("b")), "v")
     links = verified(with_both, edits).select(_id("u.").alias("u"), _id("v.").alias("v"))
     return lines, links
 
 
-def line_classes(docs: DataFrame, edits: int = 1, crowd: int = CROWD) -> DataFrame:
-    """Each different line (h1, h2) that is not alone in its class: ``class_doc``, ``class_line``, ``class_size``.
+def line_classes(rows: DataFrame, edits: int = 1, crowd: int = CROWD) -> DataFrame:
+    """Each different line (h1, h2) of ``numbered`` rows that is not alone in its class: ``class_doc``, ``class_at``, ``class_line``, ``class_size``.
 
-    Classes are the components of lines within ``edits`` edits. ``class_doc`` and ``class_line`` are the first place of any of
-    its lines, by ``doc_id`` (null last), then line number; ``class_size`` counts lines with repeats.
+    Classes are the components of lines within ``edits`` edits. ``class_doc``, ``class_at`` and ``class_line`` are the first place of any of
+    its lines, by ``row_place``, then line number; ``class_size`` counts lines with repeats.
     """
-    lines, links = line_links(docs, edits, crowd)
+    lines, links = line_links(rows, edits, crowd)
     roots = components(stored(links, "links"))
     lines = lines.select("h1", "h2", "copies", "first", _id().alias("node"))
     named = lines.join(roots, "node", "left").select("h1", "h2", "copies", "first", "node", F.coalesce("component", "node").alias("root"), F.col("component").isNotNull().alias("met"))
     named = stored(named.where("met OR copies > 1"), "classes")
     heads = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
     return named.join(heads, "root").select(
-        "h1", "h2", F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").alias("class_line"), "class_size"
+        "h1", "h2", F.col("head.row.doc_id").alias("class_doc"), F.col("head.row.at").alias("class_at"), F.col("head.line_no").alias("class_line"), "class_size"
     )
 
 
-def marked(docs: DataFrame, edits: int = 1, crowd: int = CROWD) -> DataFrame:
-    """One row per line of every text: ``doc_id, line_no, class_doc, class_line, class_size, kept``.
-
-    A line stays if it is the first of its class. Lines under ``MIN_CHARS`` characters are classes of their own and stay.
-    A null text has no lines, an empty one has one empty line. Rows with equal ids and texts are one document:
-    their lines share places and stay or go together. Other columns are not read; an empty table gives no rows.
-    """
-    rows = lines_of(docs).select("doc_id", "line_no", "h1", "h2", "n")
-    out = rows.join(line_classes(docs, edits, crowd), ["h1", "h2"], "left")
+def _marked(rows: DataFrame, edits: int, crowd: int) -> DataFrame:
+    """As ``marked``, of ``numbered`` rows, with their numbers."""
+    places = lines_of(rows).select("doc_id", "at", "line_no", "h1", "h2", "n")
+    out = places.join(line_classes(rows, edits, crowd), ["h1", "h2"], "left")
     found = (F.col("n") >= MIN_CHARS) & F.col("class_size").isNotNull()
-    first = F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_line"))
+    first = (F.col("at") == F.col("class_at")) & (F.col("line_no") == F.col("class_line"))
     return out.select(
-        "doc_id", "line_no",
+        "doc_id", "at", "line_no",
         F.when(found, F.col("class_doc")).otherwise(F.col("doc_id")).alias("class_doc"),
         F.when(found, F.col("class_line")).otherwise(F.col("line_no")).alias("class_line"),
         F.when(found, F.col("class_size")).otherwise(F.lit(1)).cast("long").alias("class_size"),
@@ -236,15 +231,24 @@ def marked(docs: DataFrame, edits: int = 1, crowd: int = CROWD) -> DataFrame:
     )
 
 
+def marked(docs: DataFrame, edits: int = 1, crowd: int = CROWD) -> DataFrame:
+    """One row per line of every text: ``doc_id, line_no, class_doc, class_line, class_size, kept``.
+
+    A line stays if it is the first of its class. Lines under ``MIN_CHARS`` characters are classes of their own and stay.
+    A null text has no lines, an empty one has one empty line. Every row is a document of its own, also where ids are
+    null or shared: of equal rows the lines of one stay. Other columns are not read; an empty table gives no rows.
+    """
+    return _marked(numbered(docs.select("doc_id", "text")), edits, crowd).drop("at")
+
+
 def without_repeats(docs: DataFrame, edits: int = 1, crowd: int = CROWD) -> DataFrame:
     """``docs`` without the lines that ``marked`` does not keep. A document of which no line with a word is left goes; one that had none stays.
 
-    Documents are told apart by ``doc_id``, so ids are expected to be unique; of rows that share one, a line goes if it goes in any of them.
+    Every row is a document of its own, also where ids are null or shared.
     """
-    gone = marked(docs, edits, crowd).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    gone = gone.withColumnRenamed("doc_id", "__id")
-    rows = whole_row(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    numbers = numbered(docs)
+    gone = _marked(numbers, edits, crowd).where("NOT kept").groupBy("at").agg(F.collect_set("line_no").alias("__gone"))
+    rows = numbers.select("__row", "at", F.col("__row.text").alias("text")).join(gone, "at", "left")
     text = F.expr(
         "IF(__gone IS NULL, text, array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(__gone, CAST(i AS BIGINT))), '\\n'))"
     )

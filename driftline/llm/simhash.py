@@ -15,13 +15,12 @@ from __future__ import annotations
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import short_batches, slices, stored, text_bytes, unpacked, whole_row
+from driftline.llm.common import numbered, row_place, short_batches, slices, stored, text_bytes, unpacked
 from driftline.llm.components import components
 
 SEED = 42
@@ -144,24 +143,15 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, distance: int = 2, shingle: int = 3, blocks: int = 4) -> DataFrame:
-    """All columns of ``docs`` for the rows whose ``doc_id`` is the smallest of their near-duplicate component.
+    """All columns of ``docs`` for the first row of each near-duplicate component, by id (null last), then text.
 
-    Repeated rows with that id are one document and one of them stays. Rows with a null id are
-    duplicates of their component's document; where no row of a component has an id, nothing says which
-    one it is, and all of them stay.
+    Every row is a document of its own, also where ids are null or shared: of equal rows one stays.
     """
-    found = near_duplicates(docs, distance, shingle, blocks)
-    heads = found.where("component_id = doc_id").select(F.col("doc_id").alias("__head")).distinct()
-    rows = whole_row(docs, F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-    named = rows.join(heads, F.col("doc_id") == F.col("__head"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.where("component_id IS NULL").select("fingerprint").distinct()
-    lost = _with_fingerprint(rows.where("doc_id IS NULL"), shingle).join(nameless, "fingerprint", "left_semi")
-    return unpacked(named.select("__row").unionByName(lost.select("__row")), docs.columns)
-
-
-def _with_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.uint64(fingerprint(t, shingle)).astype(np.int64) for t in texts], dtype="int64")
-
-    return docs.withColumn("fingerprint", F.lower(F.lpad(F.hex(fp("text")), 16, "0")))
+    rows = numbered(docs)
+    texts = rows.select(F.col("at").alias("doc_id"), F.col("__row.text").alias("text"))
+    fps = stored(fingerprints(texts, shingle).withColumnRenamed("doc_id", "at"), "fingerprints")
+    roots = components(links(fps.select("fp").distinct(), distance, blocks))
+    placed = fps.join(rows.select("at", "th", F.col("__row.doc_id").cast("long").alias("doc_id")), "at")
+    placed = placed.join(roots, placed.fp == roots.node, "left")
+    heads = placed.groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min(row_place()).alias("head"))
+    return unpacked(rows.join(heads.select("head.at"), "at", "left_semi"), docs.columns)

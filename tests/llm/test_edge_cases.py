@@ -75,6 +75,25 @@ def test_lines_repeat_first_stays(documents):
     assert {1, 6, 7, 8} <= left and 2 not in left
 
 
+def test_rows_with_null_or_shared_ids(spark):
+    """A repeat in one row takes nothing from another row of the same id, and copies without an id go."""
+    a, b, c, d = (f"{w} line of the text that is long enough" for w in ("first", "another", "yonder", "whichever"))
+    rows = [(1, a), (None, f"{b}\n{a}"), (None, f"{c}\nown words {c}"), (7, f"{d}\n{a}"), (7, f"seven {d} seven\neight {b} eight"), (None, "x " + d * 2), (None, "x " + d * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = Counter((r.doc_id, r.text) for r in lines.without_repeats(docs).collect())
+    assert left == Counter([(1, a), (None, b), rows[2], (7, d), rows[4], rows[5]])
+    kept = Counter((r.doc_id, r.line_no, r.kept) for r in lines.marked(docs.where("doc_id IS NULL")).collect())
+    assert kept == Counter([(None, 0, True)] * 3 + [(None, 0, False)] + [(None, 1, True)] * 2)
+
+
+def test_near_duplicates_with_null_or_shared_ids(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b", "c", "d")]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (2, texts[0]), (None, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in simhash.keep_first(docs).collect())
+    assert kept == Counter([rows[0], rows[1], rows[2], rows[4]])
+
+
 def test_language_rejects(documents):
     found = {r.doc_id: r for r in langid.identified(documents).collect()}
     assert all(found[i].lang_pred == "und" and found[i].score == 0 for i in (6, 7, 8, 9))
