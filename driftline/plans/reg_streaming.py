@@ -114,6 +114,36 @@ def st2(spark, sf):
     return rows.filter("vault <> 'end' AND effect <> 'timeout'").select("vault", "path", "event_id", "ts_ms", "effect", "hash")
 
 
+#: of the queries whose sends time out
+TIMEOUT_MS = 6 * 3_600_000
+
+
+@query(
+    "st2_ack_timeout_stream",
+    f"""WITH m AS (SELECT event_id, ts_ms, vault, device, path, CASE WHEN op = 'delete' THEN 'delete' ELSE 'modify' END AS op, hash, 0 AS role FROM ({_SENT}) s
+  UNION ALL SELECT event_id, ts_ms, vault, device, path, CASE WHEN op = 'delete' THEN 'delete' ELSE 'modify' END, NULL, 1 FROM ({_PATH_ACKS}) a),
+o AS (SELECT *, row_number() OVER (PARTITION BY vault, device, path ORDER BY ts_ms, role, event_id) AS i FROM m),
+w AS (SELECT o.*, s.i AS si, s.op AS sop, s.hash AS shash, s.ts_ms AS sms FROM o LEFT JOIN o s
+  ON o.role = 1 AND s.role = 0 AND s.vault = o.vault AND s.device = o.device AND s.path = o.path AND s.i < o.i
+  QUALIFY row_number() OVER (PARTITION BY o.vault, o.device, o.path, o.i ORDER BY s.i DESC NULLS LAST) = 1),
+x AS (SELECT *, coalesce(role = 1 AND sop = op AND ts_ms <= sms + {TIMEOUT_MS}, false) AS could FROM w),
+h AS (SELECT *, could AND row_number() OVER (PARTITION BY vault, device, path, si, could ORDER BY i) = 1 AS hit FROM x),
+t AS (SELECT *, lead(ts_ms) OVER p AS next_ms FROM o WHERE role = 0 WINDOW p AS (PARTITION BY vault, device, path ORDER BY i))
+SELECT vault, path, event_id, ts_ms, CASE WHEN hit AND op = 'modify' THEN 'put' WHEN hit THEN 'remove' ELSE 'none' END AS effect,
+  CASE WHEN hit AND op = 'modify' THEN shash END AS hash FROM h WHERE role = 1
+UNION ALL SELECT t.vault, t.path, t.event_id, t.ts_ms, 'timeout', NULL FROM t
+WHERE (next_ms IS NULL OR next_ms > t.ts_ms + {TIMEOUT_MS})
+  AND NOT EXISTS (SELECT 1 FROM h WHERE hit AND h.vault = t.vault AND h.device = t.device AND h.path = t.path AND h.si = t.i)""",
+)
+def st2_timeouts(spark, sf):
+    """As st2_ack_stream, with a timeout that sends reach; their rows are part of the result."""
+    sinks.use_rocksdb(spark)
+    sent = staged(spark, fx(spark, sf, _SENT), "sent", END, files_per_batch=2)
+    acks = staged(spark, fx(spark, sf, _PATH_ACKS), "acks", {**END, "path": "other"}, files_per_batch=3)
+    rows = finished(spark, processors.ack_stream(sent, acks, SHORT, TIMEOUT_MS), "acked")
+    return rows.filter("vault <> 'end'").select("vault", "path", "event_id", "ts_ms", "effect", "hash")
+
+
 @query("st2_rename_ack_stream", f"SELECT vault, event_id, ts_ms, old_path, path, acked_at FROM ({RAW['jn15_match_rename_acks']}) j WHERE acked_at IS NOT NULL")
 def st2_renames(spark, sf):
     sinks.use_rocksdb(spark)
@@ -138,6 +168,10 @@ SELECT session_id, CASE k WHEN 5 THEN 0 WHEN 0 THEN total_chunks - 1 ELSE total_
   CASE k WHEN 5 THEN 0 WHEN 0 THEN (total_chunks - 1) * 100 // total_chunks ELSE 100 END AS percent, CASE k WHEN 5 THEN 'error' WHEN 0 THEN 'expired' ELSE 'success' END AS status FROM s""",
 )
 def st4(spark, sf):
+    return _transfers(spark, sf).filter("status <> 'pending'")
+
+
+def _transfers(spark, sf):
     sinks.use_rocksdb(spark)
     start = F.lit(1704067200000) + F.substring("session_id", -12, 12).cast("long") * 60000
     unknown = F.substring("session_id", -1, 1) == "5"
@@ -146,7 +180,22 @@ def st4(spark, sf):
     opened = staged(spark, sessions.filter(~unknown), "opened", {"session_id": "end", "total_chunks": 2}, files_per_batch=2)
     chunks = staged(spark, frames, "frames", {"session_id": "end", "chunk_index": 0}, files_per_batch=3)
     rows = finished(spark, processors.chunk_stream(opened, chunks, SHORT), "transfers")
-    return rows.filter("session_id <> 'end' AND status <> 'pending'")
+    return rows.filter("session_id <> 'end'")
+
+
+@query(
+    "st4_chunk_progress_stream",
+    """WITH s AS (SELECT session_id, total_chunks, CAST(substr(session_id, 25) AS BIGINT) % 10 AS k FROM fx_sessions),
+g AS (SELECT session_id, k, total_chunks, total_chunks - CASE WHEN k = 0 THEN 1 ELSE 0 END AS got FROM s)
+SELECT session_id, i AS received, total_chunks, i * 100 // total_chunks AS percent, CASE WHEN i = total_chunks THEN 'success' ELSE 'pending' END AS status
+FROM (SELECT *, unnest(range(0, got + 1)) AS i FROM g WHERE k <> 5) u
+WHERE i = 0 OR i = total_chunks OR i * 10 // total_chunks > (i - 1) * 10 // total_chunks
+UNION ALL SELECT session_id, got, total_chunks, got * 100 // total_chunks, 'expired' FROM g WHERE k = 0
+UNION ALL SELECT session_id, 0, NULL, 0, 'error' FROM g WHERE k = 5""",
+)
+def st4_progress(spark, sf):
+    """As st4_chunk_stream, with the rows of transfers that go on."""
+    return _transfers(spark, sf)
 
 
 _ROUND_FEED = """SELECT event_id AS seq, concat('vault', CAST(r % 3 AS STRING)) AS vault, concat('c', CAST(r AS STRING)) AS context,
