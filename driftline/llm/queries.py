@@ -162,3 +162,81 @@ def op8(spark, sf_dir):
     from driftline.llm.edits import counted
 
     return counted(documents(spark, sf_dir), tokenizer_path())
+
+
+@query(
+    "op11_prefix_trie",
+    r"""
+    WITH crc AS (
+        SELECT list_transform(range(256), lambda x: list_reduce(
+            [x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+    own AS (
+        SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS s
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    head AS (
+        SELECT conv_id, s, conv_id - conv_id % 100 AS base,
+               xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h
+        FROM own, crc),
+    r AS (SELECT a.conv_id, coalesce(b.s[:a.h], []) || a.s[a.h + 1:] AS s FROM head a LEFT JOIN own b ON b.conv_id = a.base),
+    p AS (SELECT conv_id, s[:d] AS path, d, len(s) AS n FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+    node AS (
+        SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * (CASE WHEN d = 0 THEN 0 ELSE length(path[-1].text) END) AS saved,
+               sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256
+        FROM p GROUP BY path, d),
+    kids AS (SELECT path[:d - 1] AS path, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+    full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (path)),
+    under AS (
+        SELECT path[:a] AS path, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+        FROM (SELECT path, n_children, saved, unnest(range(0, d + 1)) AS a FROM full_node) GROUP BY 1)
+    SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, under.n_leaves, under.saved_tokens, f.ends_sha256
+    FROM full_node f JOIN under USING (path) LEFT JOIN node up ON f.d > 0 AND up.path = f.path[:f.d - 1]
+    """,
+)
+def op11(spark, sf_dir):
+    from driftline.llm.prefix_trie import grafted, sequences, trie
+
+    return trie(grafted(sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+@query(
+    "op13_target_resampling",
+    r"""
+    WITH crc AS (
+        SELECT list_transform(range(256), lambda x: list_reduce(
+            [x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+    texts AS (SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark),
+    w AS (
+        SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM texts),
+    f AS (
+        SELECT side, doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) AS feature FROM w),
+    n AS (SELECT side, doc_id, feature, count(*) AS n FROM f GROUP BY ALL),
+    names AS (
+        SELECT feature, xor(list_reduce([4294967295::BIGINT] || list_transform(
+                   range(0, octet_length(encode(feature))), lambda i: ('0x' || substr(hex(encode(feature)), 2 * i + 1, 2))::BIGINT),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+        FROM (SELECT DISTINCT feature FROM n), crc),
+    b AS (SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 'b') AS t FROM n JOIN names USING (feature) GROUP BY bucket),
+    a AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM b),
+    g AS (
+        SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE
+                                       / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS gain
+        FROM b, a),
+    v AS (
+        SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight
+        FROM n JOIN names USING (feature) JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+    x AS (
+        SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+               ('0x' || sha256(concat('7:', doc_id))[:8])::BIGINT AS h
+        FROM w LEFT JOIN v USING (doc_id) WHERE side = 'd'),
+    y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+    z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () * 25 // 100 AS k FROM y WHERE n_words >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN r <= k THEN r END AS rank FROM y LEFT JOIN z USING (doc_id)
+    """,
+)
+def op13(spark, sf_dir):
+    from driftline.llm.resample import resampled
+
+    return resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
