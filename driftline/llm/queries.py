@@ -240,3 +240,29 @@ def op13(spark, sf_dir):
     from driftline.llm.resample import resampled
 
     return resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query(
+    "op12_ngram_join",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    s AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+        FROM w),
+    x AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM s),
+    l AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+        GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+    SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(other) AS component_id FROM s JOIN r USING (doc_id) GROUP BY doc_id
+    """,
+)
+def op12(spark, sf_dir):
+    from driftline.llm.ngram_join import similar_documents
+
+    return similar_documents(documents(spark, sf_dir))
