@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.timeline import running, time_bucket
+from driftline.operators.timeline import fitted_bucket, running, time_bucket
 from driftline.schema import STATE_KEY
 
 #: width of the time buckets that split the timeline of one key, in ms
@@ -16,43 +16,131 @@ BUCKET_MS = 3_600_000
 ECHO_MS = 500
 
 
-def match_acks(sent: DataFrame, acks: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Effect of each path acknowledgement on the state.
+def _wait(name: str) -> Column:
+    return F.col(f"_{name}_wait")
+
+
+def _timeline(sent: DataFrame, acks: DataFrame, pushes: DataFrame | None) -> DataFrame:
+    """Sends, pushes and acks of all paths as one table; at one time sends come first, acks last."""
+    columns = [*STATE_KEY, "event_id", "ts_ms"]
+
+    def rows(df: DataFrame, role: str, op: Column) -> DataFrame:
+        def own(name: str, kind: str) -> Column:
+            return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+
+        facts = [own("hash", "string"), own("mtime", "long"), own("size", "long"), own("last_time", "long")]
+        return df.select(*columns, F.lit(role).alias("role"), op.alias("op"), *facts)
+
+    two = F.when(F.col("op") == "delete", "delete").otherwise("modify")
+    line = rows(sent, "0 send", two).unionByName(rows(acks, "2 ack", two).withColumn("hash", F.lit(None).cast("string")))
+    return line if pushes is None else line.unionByName(rows(pushes, "1 push", F.col("op")))
+
+
+def _setters() -> dict[str, tuple[str, Column]]:
+    """What an event does to the write and to the delete that wait on its path.
+
+    Every event either sets what waits, to a value or to nothing, or leaves it. So the transition of any stretch of
+    events is its last setter, stretches are composed by taking the later one, and ``running`` folds them map-side.
+    """
+    role, op = F.col("role"), F.col("op")
+    send, ack, push = role == "0 send", role == "2 ack", role == "1 push"
+    put, drop = send & (op == "modify"), send & (op == "delete")
+    no_put = drop | (ack & (op == "modify")) | (push & op.isin("modify", "mtime", "delete"))
+    no_drop = put | (ack & (op == "delete")) | (push & op.isin("modify", "update"))
+    facts = [F.col(c) for c in ("hash", "mtime", "size")]
+
+    def waiting(begin: Column, end: Column) -> tuple[str, Column]:
+        return "last", F.when(begin | end, F.struct(F.coalesce(begin, F.lit(False)).alias("is"), *facts))
+
+    return {"_put_wait": waiting(put, no_put), "_drop_wait": waiting(drop, no_drop)}
 
-    ``sent`` has ``op`` modify, create or delete with a ``hash``; ``acks`` has ``op`` too. A modify ack
-    takes the hash waiting on its path and empties it; a delete ack needs a waiting delete, which a
-    newer send of content cancels. Without either, the ack only moves the watermark.
+
+def settle(
+    sent: DataFrame, acks: DataFrame, pushes: DataFrame | None = None, bucket_ms: int = BUCKET_MS, most: int = 100_000
+) -> DataFrame:
+    """Effect of each acknowledgement and each push of the server on the state: ``put``, ``remove`` or ``none``.
+
+    ``sent`` has ``op`` modify, create or delete with a ``hash`` (and ``mtime``, ``size``, if known); ``acks`` has ``op`` and
+    ``last_time``. A modify ack puts the write that waits on its path, a delete ack takes the path out if a delete
+    waits. A newer send of content cancels a delete that waits, a send of a delete the write.
+
+    ``pushes`` has ``op``, ``hash``, ``mtime``, ``size`` and ``last_time``: ``modify`` brings content, so neither a write nor a delete waits any
+    longer; ``mtime`` says that the server has the same content and puts the write that waits, with its time; ``delete``
+    removes the path and cancels a write; ``update`` announces an attachment that comes in chunks, which cancels a
+    delete and puts nothing yet.
     """
-    columns = ["vault", "device", "path", "event_id", "ts_ms"]
-    send = sent.select(*columns, F.when(F.col("op") == "delete", "delete").otherwise("modify").alias("op"), "hash",
-                       F.lit(None).cast("long").alias("last_time"), F.lit(0).alias("role"))
-    got = acks.select(*columns, F.when(F.col("op") == "delete", "delete").otherwise("modify").alias("op"),
-                      F.lit(None).cast("string").alias("hash"), "last_time", F.lit(1).alias("role"))
-    put = (F.col("role") == 0) & (F.col("op") == "modify")
-    drop = (F.col("role") == 0) & (F.col("op") == "delete")
-    put_ack = (F.col("role") == 1) & (F.col("op") == "modify")
-    drop_ack = (F.col("role") == 1) & (F.col("op") == "delete")
-
-    def waiting(begin, end):
-        return F.when(begin, F.struct(F.lit(True).alias("is"), F.col("hash").alias("hash"))).when(
-            end, F.struct(F.lit(False).alias("is"), F.lit(None).cast("string").alias("hash"))
-        )
-
-    line = running(
-        send.unionByName(got),
-        STATE_KEY,
-        time_bucket(F.col("ts_ms"), bucket_ms),
-        ["ts_ms", "role", "event_id"],
-        {"put_wait": ("last", waiting(put, drop | put_ack)), "drop_wait": ("last", waiting(drop, put | drop_ack))},
-        inclusive=False,
-    ).filter(F.col("role") == 1)
-    is_put = (F.col("op") == "modify") & F.coalesce(F.col("put_wait.is"), F.lit(False))
-    is_drop = (F.col("op") == "delete") & F.coalesce(F.col("drop_wait.is"), F.lit(False))
+    line = _timeline(sent, acks, pushes)
+    split = fitted_bucket(line, STATE_KEY, bucket_ms, most)
+    line = running(split, STATE_KEY, F.col("_fit"), ["ts_ms", "role", "event_id"], _setters(), inclusive=False)
+    line = line.filter(F.col("role") != "0 send")
+    push, op = F.col("role") == "1 push", F.col("op")
+    put_waits, drop_waits = (F.coalesce(_wait(n)["is"], F.lit(False)) for n in ("put", "drop"))
+    own = push & (op == "modify")
+    taken = F.when(push, op == "mtime").otherwise(op == "modify") & put_waits
+    removed = F.when(push, op == "delete").otherwise((op == "delete") & drop_waits)
     return line.select(
-        *columns, "op", "last_time",
-        F.when(is_put, "put").when(is_drop, "remove").otherwise("none").alias("effect"),
-        F.when(is_put, F.col("put_wait.hash")).alias("hash"),
+        *STATE_KEY, "event_id", "ts_ms", F.substring("role", 3, 4).alias("source"), "op", "last_time",
+        F.when(own | taken, "put").when(removed, "remove").otherwise("none").alias("effect"),
+        F.when(own, F.col("hash")).when(taken, _wait("put")["hash"]).alias("hash"),
+        F.when(own | (taken & push), F.col("mtime")).when(taken, _wait("put")["mtime"]).alias("mtime"),
+        F.when(own, F.col("size")).when(taken, _wait("put")["size"]).alias("size"),
+    )
+
+
+def match_acks(sent: DataFrame, acks: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Effect of each path acknowledgement on the state, where the server pushes nothing (see :func:`settle`)."""
+    rows = settle(sent, acks, None, bucket_ms)
+    return rows.select(*STATE_KEY, "event_id", "ts_ms", "op", "last_time", "effect", "hash")
+
+
+def still_waiting(sent: DataFrame, acks: DataFrame, pushes: DataFrame | None = None) -> DataFrame:
+    """Writes and deletes that nothing has answered or cancelled, one row per path: what a client keeps for its next start."""
+    order = F.struct("ts_ms", "role", "event_id")
+    values = {name: value for name, (_, value) in _setters().items()}
+    last = _timeline(sent, acks, pushes).groupBy(*STATE_KEY).agg(
+        *[F.max_by(value, F.when(value.isNotNull(), order)).alias(name) for name, value in values.items()]
+    )
+    put, drop = (F.coalesce(_wait(n)["is"], F.lit(False)) for n in ("put", "drop"))
+    return last.filter(put | drop).select(
+        *STATE_KEY, F.when(put, "modify").otherwise("delete").alias("op"),
+        *[F.when(put, _wait("put")[c]).alias(c) for c in ("hash", "mtime", "size")],
+    )
+
+
+def apply_effects(state: DataFrame, effects: DataFrame) -> DataFrame:
+    """The state after effects (see :func:`settle`); of several on a path the latest counts.
+
+    A ``put`` without a time or size keeps none: both become 0, so that the file is looked at again.
+    """
+    order = F.struct("ts_ms", (F.col("source") == "ack").alias("acked"), "event_id")
+    last = effects.filter(F.col("effect") != "none").groupBy(*STATE_KEY).agg(
+        F.max_by(F.struct("effect", "hash", "mtime", "size"), order).alias("_e")
+    )
+    put = F.col("_e.effect") == "put"
+    zero = F.lit(0).cast("long")
+    fresh = {"hash": F.col("_e.hash"), "mtime": F.coalesce("_e.mtime", zero), "size": F.coalesce("_e.size", zero)}
+    return (
+        state.select(*STATE_KEY, *fresh)
+        .join(last, STATE_KEY, "full_outer")
+        .filter(F.col("_e").isNull() | put)
+        .select(*STATE_KEY, *[F.when(put, new).otherwise(F.col(c)).alias(c) for c, new in fresh.items()])
+    )
+
+
+def rename_effects(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Effects of acknowledged renames (see :func:`match_rename_acks`): the old path goes, the new one takes the hash sent.
+
+    ``hashes`` gives ``event_id`` and ``hash`` (and ``mtime``, ``size``) of the renames.
+    """
+    acked = pairs.filter(F.col("acked_at").isNotNull()).drop("ts_ms").join(hashes.select("event_id", "hash", "mtime", "size"), "event_id")
+    none = F.lit(None)
+    two = F.array(
+        F.struct(F.col("old_path").alias("path"), F.lit("remove").alias("effect"), none.cast("string").alias("hash"), none.cast("long").alias("mtime"), none.cast("long").alias("size")),
+        F.struct("path", F.lit("put").alias("effect"), "hash", "mtime", "size"),
     )
+    rows = acked.select("vault", "device", "event_id", F.col("acked_at").alias("ts_ms"), F.explode(two).alias("_e"))
+    return rows.select("vault", "device", "_e.path", "event_id", "ts_ms", F.lit("ack").alias("source"), F.lit("rename").alias("op"),
+                       none.cast("long").alias("last_time"), "_e.effect", "_e.hash", "_e.mtime", "_e.size")
 
 
 def match_rename_acks(renames: DataFrame, acks: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:

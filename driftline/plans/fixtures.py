@@ -125,6 +125,13 @@ FIXTURES["fx_acks"] = """
 SELECT event_id, ts_ms + 200 AS ts_ms, vault, device, path, op, ts_ms + 150 AS last_time
 FROM fx_events WHERE event_id % 9 <> 0"""
 
+FIXTURES["fx_pushes"] = """
+SELECT event_id, ts_ms + CASE WHEN event_id % 3 = 0 THEN 300 ELSE 100 END AS ts_ms, vault, device, path,
+       CASE event_id % 4 WHEN 0 THEN 'modify' WHEN 1 THEN 'mtime' WHEN 2 THEN 'delete' ELSE 'update' END AS op,
+       CASE WHEN event_id % 4 = 0 THEN md5(concat(path, 'server', CAST(event_id AS STRING))) END AS hash,
+       ts_ms + 77 AS mtime, size + 1 AS size, ts_ms + 90 AS last_time
+FROM fx_events WHERE op <> 'rename' AND event_id % 5 <> 2"""
+
 FIXTURES["fx_remote"] = """
 SELECT vault, device, path, ts_ms - 300 AS ts_ms, op FROM fx_events WHERE event_id % 20 = 0
 UNION ALL

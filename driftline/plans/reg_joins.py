@@ -221,6 +221,61 @@ def jn14(spark, sf):
     return rows.select("vault", "path", "event_id", "ts_ms", "last_time", "effect", "hash")
 
 
+_SENT_FACTS = "SELECT event_id, ts_ms, vault, device, path, op, content_hash AS hash, mtime, size FROM fx_events WHERE op <> 'rename'"
+_SETTLED = f"""l AS (
+  SELECT event_id, ts_ms, vault, device, path, '0' AS role, CASE WHEN op = 'delete' THEN 'delete' ELSE 'modify' END AS op, hash, mtime, size, CAST(NULL AS BIGINT) AS last_time FROM ({_SENT_FACTS}) s
+  UNION ALL SELECT event_id, ts_ms, vault, device, path, '1', op, hash, mtime, size, last_time FROM fx_pushes
+  UNION ALL SELECT event_id, ts_ms, vault, device, path, '2', CASE WHEN op = 'delete' THEN 'delete' ELSE 'modify' END, NULL, NULL, NULL, last_time FROM ({_PATH_ACKS}) a),
+k AS (SELECT *, concat(role, op) AS what FROM l),
+w AS (SELECT *,
+  last_value(CASE WHEN what = '0modify' THEN {{'is': true, 'hash': hash, 'mtime': mtime, 'size': size}}
+    WHEN what IN ('0delete', '2modify', '1modify', '1mtime', '1delete') THEN {{'is': false, 'hash': NULL, 'mtime': NULL, 'size': NULL}} END IGNORE NULLS) OVER p AS pw,
+  last_value(CASE WHEN what = '0delete' THEN true WHEN what IN ('0modify', '2delete', '1modify', '1update') THEN false END IGNORE NULLS) OVER p AS dw
+  FROM k WINDOW p AS (PARTITION BY vault, device, path ORDER BY ts_ms, role, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND {{END}})),
+e AS (SELECT *, CASE WHEN what = '1modify' THEN 'put' WHEN what IN ('1mtime', '2modify') AND pw.is THEN 'put'
+    WHEN what = '1delete' OR what = '2delete' AND dw THEN 'remove' ELSE 'none' END AS effect FROM w WHERE role <> '0'),
+f AS (SELECT vault, device, path, event_id, ts_ms, role, CASE role WHEN '1' THEN 'push' ELSE 'ack' END AS source, op, last_time, effect,
+  CASE WHEN effect = 'put' THEN CASE WHEN what = '1modify' THEN hash ELSE pw.hash END END AS hash,
+  CASE WHEN effect = 'put' THEN CASE WHEN role = '1' THEN mtime ELSE pw.mtime END END AS mtime,
+  CASE WHEN effect = 'put' THEN CASE WHEN what = '1modify' THEN size ELSE pw.size END END AS size FROM e)"""
+_BEFORE, _UPTO = _SETTLED.replace("{END}", "1 PRECEDING"), _SETTLED.replace("{END}", "CURRENT ROW")
+
+
+def settled(spark, sf):
+    return acks.settle(fx(spark, sf, _SENT_FACTS), fx(spark, sf, _PATH_ACKS), fx(spark, sf, "fx_pushes"))
+
+
+@query(
+    "jn14_settle",
+    f"WITH {_BEFORE} SELECT vault, path, event_id, ts_ms, source, op, last_time, effect, hash, mtime, size FROM f",
+)
+def jn14_settle(spark, sf):
+    return settled(spark, sf).drop("device")
+
+
+@query(
+    "jn14_still_waiting",
+    f"""WITH {_UPTO}, z AS (SELECT vault, path, arg_max(pw, (ts_ms, role, event_id)) AS pw, coalesce(arg_max(dw, (ts_ms, role, event_id)), false) AS dw
+  FROM w GROUP BY vault, path)
+SELECT vault, path, CASE WHEN pw.is THEN 'modify' ELSE 'delete' END AS op, pw.hash AS hash, pw.mtime AS mtime, pw.size AS size
+FROM z WHERE coalesce(pw.is, false) OR dw""",
+)
+def jn14_still_waiting(spark, sf):
+    return acks.still_waiting(fx(spark, sf, _SENT_FACTS), fx(spark, sf, _PATH_ACKS), fx(spark, sf, "fx_pushes")).drop("device")
+
+
+@query(
+    "jn14_state",
+    f"""WITH {_BEFORE}, g AS (SELECT vault, device, path, arg_max({{'effect': effect, 'hash': hash, 'mtime': mtime, 'size': size}}, (ts_ms, role, event_id)) AS e
+  FROM f WHERE effect <> 'none' GROUP BY vault, device, path)
+SELECT coalesce(s.vault, g.vault) AS vault, coalesce(s.path, g.path) AS path, CASE WHEN g.path IS NULL THEN s.hash ELSE g.e.hash END AS hash,
+  CASE WHEN g.path IS NULL THEN s.mtime ELSE coalesce(g.e.mtime, 0) END AS mtime, CASE WHEN g.path IS NULL THEN s.size ELSE coalesce(g.e.size, 0) END AS size
+FROM fx_state s FULL JOIN g ON s.vault = g.vault AND s.device = g.device AND s.path = g.path WHERE g.path IS NULL OR g.e.effect = 'put'""",
+)
+def jn14_state(spark, sf):
+    return acks.apply_effects(fx(spark, sf, "fx_state"), settled(spark, sf)).drop("device")
+
+
 _RENAMES = "SELECT event_id, ts_ms, vault, device, old_path, path FROM fx_events WHERE op = 'rename'"
 _RENAME_ACKS = """SELECT event_id, ts_ms, vault, device FROM fx_acks WHERE op = 'rename'
 UNION ALL SELECT event_id, ts_ms - 86400000 AS ts_ms, vault, device FROM fx_acks WHERE op = 'rename' AND event_id % 50 = 1"""
