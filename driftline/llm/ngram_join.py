@@ -35,8 +35,10 @@ from driftline.operators.skew import join_facts
 
 #: bytes of a text split in words at a time
 PIECE = 1 << 22
-#: first nodes of a bucket that are compared with all of it
-PIVOTS = 4
+#: first nodes of a bucket that are compared with all of it, and of one whose sets were signed again
+PIVOTS, PIVOTS_AGAIN = 4, 32
+#: rows of buckets looked at together
+ROWS = 1 << 16
 #: text hashes sent to all executors at most, 8 bytes each; beyond it a shuffle joins them
 SENT = 1_000_000
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -208,6 +210,20 @@ def _signed(texts: DataFrame, words: int, percent: int, deep: bool) -> DataFrame
     return texts.select("text").mapInArrow(work, "sig long, short long")
 
 
+def _joined(batches):
+    """Columns of about ``ROWS`` rows at a time as arrays."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+        if n >= ROWS:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def _met(rows: DataFrame, pivots: int) -> DataFrame:
     """Pairs (``sig`` null) of each bucket's first nodes with all later ones, and the rows behind those first nodes.
 
@@ -220,11 +236,9 @@ def _met(rows: DataFrame, pivots: int) -> DataFrame:
     def work(batches):
         carry, passed = [np.zeros(0, dtype=np.int64)] * len(names), 0  # first rows of the last bucket, and how many it had
         last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _joined(batches):
             kept = len(carry[0])
-            columns = [np.concatenate([c, batch.column(i).to_numpy()]) for i, c in enumerate(carry)]
+            columns = [np.concatenate([c, batch[i]]) for i, c in enumerate(carry)]
             sig, short = columns[0], columns[1]
             new = np.ones(len(sig), dtype=bool)
             new[1:] = (sig[1:] != sig[:-1]) | (short[1:] != short[:-1])
@@ -299,38 +313,50 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, p
     return stored(alike.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")), "links")
 
 
-def _unsettled(rest: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (``sig``, ``short``, ``root``) of buckets that hold nodes of several components."""
-    named = rest.select("sig", F.col("a").alias("short")).join(nodes.select("short", "node"), "short")
-    named = named.join(roots, "node", "left").select("sig", "short", F.xxhash64(F.coalesce("component", "node")).alias("root"))
+def _unsettled(named: DataFrame) -> DataFrame:
+    """Rows (``sig``, ``short``, ``node``, ``root``) of buckets that hold nodes of several components."""
     named = stored(named, "rest")
     several = named.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
     return stored(join_facts(named, several, ["sig"], ["short"], "inner"), "unsettled")
 
 
-def links(docs: DataFrame, nodes: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Edges (``u``, ``v``) between different sets whose components are those of all pairs of ``percent`` similarity or more.
+def _rooted(df: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
+    """``df`` with the component of ``node``; a node that has met none is its own."""
+    known = roots.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
+    return df.join(known, df[node] == known["__n"], "left").withColumn(root, F.coalesce("__c", node)).drop("__n", "__c")
+
+
+def _connected(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components after more edges: only components that these connect are merged."""
+    ends = _rooted(_rooted(edges, roots, "u", "a"), roots, "v", "b")
+    merged = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    moved = roots.join(merged, roots.component == merged.old, "left").select("node", F.coalesce("new", "component").alias("component"))
+    first = merged.join(roots, merged.old == roots.node, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return stored(moved.unionByName(first), "roots")
+
+
+def connected_sets(docs: DataFrame, nodes: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``node`` and ``component``, its least node, for the sets that are linked to others by ``percent`` similarity or more.
 
     ``nodes`` has a row per different set: ``node``, ``short``, ``n``, and ``th``, the hash of a text that has it.
     """
     short_batches(docs.sparkSession)
+    names = nodes.select("short", "node")
     met = _met(_signed(docs.select(text_bytes()), words, percent, deep=False), PIVOTS)
-    edges = _verified(docs, met.where("sig IS NULL"), nodes, words, percent)
-    roots = components(edges)
-    left, pivots, signed_again = _unsettled(met.where("sig IS NOT NULL"), nodes, roots), PIVOTS, False
+    roots = stored(components(_verified(docs, met.where("sig IS NULL"), nodes, words, percent)), "roots")
+    rest = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("short"))
+    left = _unsettled(_rooted(rest.join(names, "short"), roots))
+    if not left.limit(1).count():
+        return roots
+    wanted = left.select("short").distinct().join(nodes, "short").select("th")
+    again = _signed(_of_texts(docs, wanted), words, percent, deep=True).distinct()
+    left, pivots = _unsettled(_rooted(again.join(names, "short"), roots)), PIVOTS_AGAIN
     while left.limit(1).count():
-        if not signed_again:
-            wanted = left.select("short").distinct().join(nodes, "short").select("th")
-            again = _signed(_of_texts(docs, wanted), words, percent, deep=True).distinct()
-            named = again.join(nodes.select("short", "node"), "short").join(roots, "node", "left")
-            left = named.select("sig", "short", F.xxhash64(F.coalesce("component", "node")).alias("root"))
-            signed_again = True
-        met = _met(left, pivots)
-        edges = edges.unionByName(_verified(docs, met.where("sig IS NULL"), nodes, words, percent))
-        roots = components(edges)
-        pivots *= 2
-        left = _unsettled(met.where("sig IS NOT NULL"), nodes, roots)
-    return edges
+        met = _met(left.withColumn("root", F.xxhash64("root")), pivots)
+        roots = _connected(roots, _verified(docs, met.where("sig IS NULL"), nodes, words, percent))
+        rest = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("short"))
+        left, pivots = _unsettled(_rooted(rest.join(names, "short"), roots)), 2 * pivots
+    return roots
 
 
 def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -346,7 +372,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
         F.first("short").alias("short"), F.first("n").alias("n"), F.min("th").alias("th"), F.min("doc_id").alias("first"), F.count("*").alias("rows")
     )
     nodes = stored(nodes, "nodes")
-    roots = components(links(docs, nodes, words, percent))
+    roots = connected_sets(docs, nodes, words, percent)
     linked = nodes.join(roots, "node", "left").where("component IS NOT NULL OR rows > 1")
     linked = stored(linked.select("node", "first", F.coalesce("component", "node").alias("root")), "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
