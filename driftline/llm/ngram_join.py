@@ -11,8 +11,8 @@ signature than there are groups certain to agree: then one of the others must ag
 
 Equal sets are one node throughout. Rows of signatures are sorted, and each bucket's first few nodes are compared with all of it. What is
 left of larger buckets is dealt with only where it belongs to different components so far: its sets are signed
-again with more features to a signature, and buckets that are still large go on with further nodes to
-compare with, twice as many each round, until every pair of a bucket is compared or connected.
+again, twice at most, with more features to a signature, and buckets that are still large then go on with further nodes
+to compare with, twice as many each round, until every pair of a bucket is compared or connected.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ from driftline.operators.skew import join_facts
 
 #: bytes of a text split in words at a time
 PIECE = 1 << 22
-#: first nodes of a bucket that are compared with all of it, and of one whose sets were signed again
-PIVOTS, PIVOTS_AGAIN = 4, 32
+#: parts of a group and how many of them a signature leaves out: each choice has more features to a signature than the one before
+PLANS = [(1, 0), (3, 1), (5, 2), (7, 3)]
+#: first nodes of a bucket that are compared with all of it, each time sets are signed
+PIVOTS = [4, 8, 32]
 #: rows of buckets looked at together
 ROWS = 1 << 16
 #: text hashes sent to all executors at most, 8 bytes each; beyond it a shuffle joins them
@@ -100,8 +102,8 @@ def _groups(smallest: int, differ: int, parts: int, slack: int) -> int:
 
 
 @cache
-def _band(number: int, percent: int, deep: bool) -> Band | None:
-    """Pairs whose smaller set has a size of the band; none where only equal sets are similar enough."""
+def _band(number: int, percent: int, level: int) -> Band:
+    """Pairs whose smaller set has a size of the band; no groups where only equal sets are similar enough."""
     low = 1
     for _ in range(number):
         low = _next_low(low)
@@ -110,11 +112,8 @@ def _band(number: int, percent: int, deep: bool) -> Band | None:
     differ = (high + most) * (100 - percent) // (100 + percent)
     if not differ:
         return Band(number, low, most, 0, 1, 0, 0)
-    if deep:
-        slack = min(differ, 2)
-        parts = slack + 4
-    else:
-        slack, parts = (1, 3) if differ < 16 else (0, 1)
+    parts, slack = PLANS[level + (differ < 16)]
+    parts, slack = (parts, slack) if slack <= differ else PLANS[differ]
     return Band(number, low, most, _groups(low, differ, parts, slack), parts, slack, differ // (slack + 1))
 
 
@@ -123,10 +122,10 @@ def _next_low(low: int) -> int:
 
 
 @cache
-def bands(size: int, percent: int, deep: bool = False) -> tuple[Band, ...]:
+def bands(size: int, percent: int, level: int = 0) -> tuple[Band, ...]:
     """Bands in which a set of this size is signed."""
     out, number = [], 0
-    while (band := _band(number, percent, deep)).least <= size:
+    while (band := _band(number, percent, level)).least <= size:
         if size <= band.most and band.groups:
             out.append(band)
         number += 1
@@ -134,18 +133,18 @@ def bands(size: int, percent: int, deep: bool = False) -> tuple[Band, ...]:
 
 
 @cache
-def _tags(band: Band, deep: bool) -> np.ndarray:
+def _tags(band: Band, level: int) -> np.ndarray:
     """A number for each signature that a set has in a band."""
     n = band.groups * len(band.choices)
-    return _mixed(np.arange(n, dtype=np.uint64) + np.uint64((2 * band.number + deep + 1) << 40))
+    return _mixed(np.arange(n, dtype=np.uint64) + np.uint64((len(PIVOTS) * band.number + level + 1) << 40))
 
 
-def signatures(features: np.ndarray, percent: int = 80, deep: bool = False) -> np.ndarray:
+def signatures(features: np.ndarray, percent: int = 80, level: int = 0) -> np.ndarray:
     """All signatures of a set of sorted feature hashes."""
     place = features >> np.uint64(32)
     upto = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mixed(features))])
     out = [np.zeros(0, dtype=np.uint64)]
-    for band in bands(len(features), percent, deep):
+    for band in bands(len(features), percent, level):
         n = band.groups * band.parts
         part = ((place * np.uint64(n)) >> np.uint64(32)).astype(np.int64)  # rising, as the features are sorted
         size = np.bincount(part, minlength=n)
@@ -154,7 +153,7 @@ def signatures(features: np.ndarray, percent: int = 80, deep: bool = False) -> n
         size = size.reshape(band.groups, band.parts)
         if band.parts > 1:
             held, size = held[:, band.choices].sum(axis=2, dtype=np.uint64), size[:, band.choices].sum(axis=2)
-        signed = _mixed(held.ravel() + _tags(band, deep))
+        signed = _mixed(held.ravel() + _tags(band, level))
         firm = int((size == 0).any(axis=1).sum()) < band.groups - band.spoiled
         out.append(signed[size.ravel() > 0] if firm else signed)
     return np.concatenate(out)
@@ -190,7 +189,7 @@ def _of_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("th"), text_bytes()).join(few, "th", "left_semi")
 
 
-def _signed(texts: DataFrame, words: int, percent: int, deep: bool) -> DataFrame:
+def _signed(texts: DataFrame, words: int, percent: int, level: int) -> DataFrame:
     """``sig`` and ``short`` of all texts; equal sets of a task are signed once."""
 
     def work(batches):
@@ -202,7 +201,7 @@ def _signed(texts: DataFrame, words: int, percent: int, deep: bool) -> DataFrame
                 short = _short(_node(features)) if len(features) else None
                 if short is not None and short not in seen:
                     seen.add(short)
-                    sigs.append(signatures(features, percent, deep))
+                    sigs.append(signatures(features, percent, level))
                     shorts.append(np.full(len(sigs[-1]), short))
             columns = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(shorts))]
             yield pa.RecordBatch.from_arrays(columns, ["sig", "short"])
@@ -297,12 +296,17 @@ def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return stored(rows.dropDuplicates(["node"]), "sets")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges (``u``, ``v``) between the nodes of ``pairs`` (``a``, ``b``: first halves) that are similar enough."""
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, roots: DataFrame | None, words: int, percent: int) -> DataFrame:
+    """Edges (``u``, ``v``) between the nodes of ``pairs`` (``a``, ``b``: first halves) that are similar enough.
+
+    Pairs inside one component of ``roots`` say nothing new and are left out.
+    """
     sides = [nodes.select(F.col("short").alias(s), F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), F.col("th").alias(f"th_{s}")) for s in "ab"]
     sized = pairs.select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b")
     sized = sized.where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
-    sized = stored(sized, "candidates")
+    if roots is not None:
+        sized = _rooted(_rooted(sized, roots, "node_a", "root_a"), roots, "node_b", "root_b").where("root_a <> root_b")
+    sized = stored(sized.select("node_a", "node_b", "th_a", "th_b"), "candidates")
     wanted = sized.select(F.col("th_a").alias("th")).unionByName(sized.select(F.col("th_b").alias("th")))
     sets = _arrays(docs, wanted, words)
     both = sized.select("node_a", "node_b").join(sets.select(F.col("node").alias("node_a"), F.col("set").alias("set_a")), "node_a")
@@ -313,11 +317,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, p
     return stored(alike.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")), "links")
 
 
-def _unsettled(named: DataFrame) -> DataFrame:
-    """Rows (``sig``, ``short``, ``node``, ``root``) of buckets that hold nodes of several components."""
-    named = stored(named, "rest")
-    several = named.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    return stored(join_facts(named, several, ["sig"], ["short"], "inner"), "unsettled")
+def _unsettled(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``sig``, ``short`` and ``root`` of what is left in buckets that hold nodes of several components."""
+    own = _rooted(nodes.select("short", "node"), roots).select("short", F.xxhash64("root").alias("root"))
+    rest = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("short")).join(own, "short")
+    several = rest.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+    return stored(join_facts(rest, several, ["sig"], ["short"], "inner"), "unsettled")
 
 
 def _rooted(df: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
@@ -341,21 +346,23 @@ def connected_sets(docs: DataFrame, nodes: DataFrame, words: int = 5, percent: i
     ``nodes`` has a row per different set: ``node``, ``short``, ``n``, and ``th``, the hash of a text that has it.
     """
     short_batches(docs.sparkSession)
-    names = nodes.select("short", "node")
-    met = _met(_signed(docs.select(text_bytes()), words, percent, deep=False), PIVOTS)
-    roots = stored(components(_verified(docs, met.where("sig IS NULL"), nodes, words, percent)), "roots")
-    rest = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("short"))
-    left = _unsettled(_rooted(rest.join(names, "short"), roots))
-    if not left.limit(1).count():
-        return roots
-    wanted = left.select("short").distinct().join(nodes, "short").select("th")
-    again = _signed(_of_texts(docs, wanted), words, percent, deep=True).distinct()
-    left, pivots = _unsettled(_rooted(again.join(names, "short"), roots)), PIVOTS_AGAIN
+    roots, left = None, None
+    for level, pivots in enumerate(PIVOTS):
+        if left is None:
+            texts = docs.select(text_bytes())
+        elif left.limit(1).count():
+            texts = _of_texts(docs, left.select("short").distinct().join(nodes, "short").select("th"))
+        else:
+            return roots
+        met = _met(_signed(texts, words, percent, level), pivots)
+        edges = _verified(docs, met.where("sig IS NULL"), nodes, roots, words, percent)
+        roots = stored(components(edges), "roots") if roots is None else _connected(roots, edges)
+        left = _unsettled(met, nodes, roots)
     while left.limit(1).count():
-        met = _met(left.withColumn("root", F.xxhash64("root")), pivots)
-        roots = _connected(roots, _verified(docs, met.where("sig IS NULL"), nodes, words, percent))
-        rest = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("short"))
-        left, pivots = _unsettled(_rooted(rest.join(names, "short"), roots)), 2 * pivots
+        pivots *= 2
+        met = _met(left, pivots)
+        roots = _connected(roots, _verified(docs, met.where("sig IS NULL"), nodes, roots, words, percent))
+        left = _unsettled(met, nodes, roots)
     return roots
 
 
