@@ -8,8 +8,9 @@ from driftline.operators import acks, aggregates, chunks, compare, filters, hist
 from driftline.plans.fixtures import fx
 from driftline.plans.reg_filters import LOG_CATEGORY, session_files
 from driftline.plans.reg_joins import KEY, _reconcile_sql, decisions
+from driftline.plans.reg_functions import FIELDS
 from driftline.plans.registry import query
-from driftline.sources import log_text, state_store, wire
+from driftline.sources import log_text, payloads, state_store, wire
 
 _MODULES = """SELECT vault, device, kind, CAST(count(*) AS BIGINT) AS total, CAST(sum(CASE WHEN length(path) % 10 < 9 THEN 1 ELSE 0 END) AS BIGINT) AS completed,
   kind <> 'config' OR vault = 'vault1' AS ended FROM (SELECT vault, device, kind, path FROM fx_local UNION ALL SELECT vault, device, kind, path FROM fx_config
@@ -404,3 +405,58 @@ def src4(spark, sf):
 @query("src5_state_maps", "SELECT vault, device, path, hash, mtime, size FROM fx_base")
 def src5(spark, sf):
     return state_store.load_state(state_store.state_maps(fx(spark, sf, "fx_base"), 50)).drop("shard")
+
+
+_LOGGED = FIELDS + """,
+fx_messages_ts AS (SELECT seq, ts FROM fx_messages),
+e AS (SELECT f.*, t.ts, CASE WHEN action IN ('NoteSync', 'FileSync', 'SettingSync', 'FolderSync')
+    OR (direction = 'receive' AND action IN ('NoteSyncEnd', 'FileSyncEnd', 'SettingSyncEnd', 'FolderSyncEnd', 'SyncEnd')) THEN concat(action, '_full') ELSE action END AS log_action
+  FROM fields f JOIN fx_messages_ts t USING (seq)
+  WHERE action NOT IN ('Authorization', 'ClientInfo', 'FileUploadCheck', 'FileChunkDownload', 'NoteSyncNeedPush')
+    AND NOT (direction = 'receive' AND action IN ('Pong', 'FileSyncUpdate', 'FileSyncChunkDownload')) AND NOT (direction = 'send' AND action = 'Ping')),
+logged AS (SELECT seq, coalesce(session_id, concat('m', seq)) AS id, ts, direction AS type, log_action AS action, path, CASE
+    WHEN direction = 'send' THEN CASE WHEN action IN ('FileUpload', 'FileDownload', 'ConfigUpload') THEN 'pending' ELSE 'success' END
+    WHEN code = 0 OR code > 200 THEN 'error' WHEN session_id IS NULL THEN 'success' WHEN code IS NULL THEN 'pending'
+    WHEN action IN ('FileUpload', 'FileDownload', 'ConfigUpload') THEN 'pending' ELSE 'success' END AS status, CAST(NULL AS INTEGER) AS progress,
+  CASE WHEN direction = 'receive' THEN coalesce(nullif(message, ''), concat('Code: ', code)) END AS message, msg_vault AS vault FROM e)"""
+_LOGGED = _LOGGED.replace("concat('Code: ', code)", "'Code: ' || code")
+
+
+_MERGED_MESSAGES = MERGED.replace("FROM fx_log", "FROM logged").replace("action LIKE 'Setting%'", "action LIKE 'Setting%' OR action LIKE 'Config%'")
+
+
+@query("src7_log_events", f"WITH {_LOGGED} SELECT * FROM logged")
+def src7_log_events(spark, sf):
+    return payloads.log_events(fx(spark, sf, "fx_messages"), "full")
+
+
+@query("src7_message_log", f"WITH {_LOGGED}, {_MERGED_MESSAGES} SELECT * FROM log")
+def src7_message_log(spark, sf):
+    """The log of all messages, one row per transfer or message."""
+    return aggregates.merge_log(payloads.log_events(fx(spark, sf, "fx_messages"), "full"))
+
+
+def answer_messages(spark, sf):
+    """Acks and pushes as they come over the wire: the one with its fields on top, the other under ``data``."""
+    inner = F.struct("path", F.col("hash").alias("contentHash"), "mtime", "size", F.col("last_time").alias("lastTime"))
+    actions = F.create_map(*[F.lit(x) for x in ("modify", "NoteSyncModify", "mtime", "NoteSyncMtime", "delete", "NoteSyncDelete", "update", "FileSyncUpdate")])
+    pushed = fx(spark, sf, "fx_pushes").select(
+        "event_id", "ts_ms", "device", F.concat(actions[F.col("op")], F.lit("|"), F.to_json(F.struct(F.lit(1).alias("code"), "vault", inner.alias("data")))).alias("raw")
+    )
+    acked = fx(spark, sf, "fx_acks").filter("op <> 'rename'").select(
+        "event_id", "ts_ms", "device",
+        F.concat(F.when(F.col("op") == "delete", "NoteDeleteAck|").otherwise("NoteModifyAck|"), F.to_json(F.struct("vault", "path", F.col("last_time").alias("lastTime")))).alias("raw"),
+    )
+    rows = pushed.unionByName(acked)
+    return rows.select(F.col("event_id").alias("seq"), F.col("ts_ms").alias("ts"), "device", F.lit("receive").alias("direction"), "raw")
+
+
+@query(
+    "src7_answers",
+    """SELECT event_id, ts_ms, vault, path, 'push' AS source, op, hash, mtime, size, last_time FROM fx_pushes
+UNION ALL SELECT event_id, ts_ms, vault, path, 'ack', CASE WHEN op = 'delete' THEN 'delete' ELSE 'modify' END, NULL, NULL, NULL, last_time FROM fx_acks WHERE op <> 'rename'""",
+)
+def src7_answers(spark, sf):
+    got, pushes = payloads.settle_feeds(answer_messages(spark, sf))
+    rows = pushes.withColumn("source", F.lit("push")).unionByName(got.withColumn("source", F.lit("ack")), allowMissingColumns=True)
+    return rows.drop("device")
