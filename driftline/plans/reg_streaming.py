@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.paths import parent_of
 from driftline.plans.fixtures import fx
+from driftline.plans.reg_functions import PATH_HASH, SIGNED
 from driftline.plans.reg_joins import _PATH_ACKS, _RENAME_ACKS, _RENAMES, _SENT, APPLY_SQL, ECHO_SQL
 from driftline.plans.reg_views import _MARK_EVENTS, DEBOUNCE_SQL, DELAY_MS, FEED, MERGED, SHADOW_SQL, arrived
 from driftline.plans.registry import RAW, query
@@ -84,6 +85,39 @@ def src1(spark, sf):
     return scan.groupBy("kind", folder.alias("folder")).agg(F.sum("size").alias("n_bytes"))
 
 
+def _put_files(root: str):
+    """Tasks write each text to a file of its own below the shared folder."""
+
+    def put(batches):
+        from pyarrow import fs as pafs
+        from urllib.parse import unquote, urlparse
+
+        fs, base = (pafs.LocalFileSystem(), unquote(urlparse(root).path)) if urlparse(root).scheme in ("", "file") else pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fs.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{base}/{path}") as out:
+                    out.write(text.encode())
+            yield batch.select([0])
+
+    return put
+
+
+@query(
+    "src1_vault_rows",
+    f"""WITH p AS (SELECT path, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM fx_paths),
+f AS (SELECT CASE WHEN path LIKE '%.md' THEN 'note' ELSE 'file' END AS kind, path, size FROM p
+  UNION ALL SELECT DISTINCT 'folder', array_to_string(string_split(path, '/')[:1], '/'), CAST(NULL AS BIGINT) FROM p
+  UNION ALL SELECT DISTINCT 'folder', array_to_string(string_split(path, '/')[:2], '/'), NULL FROM p),
+h AS (SELECT *, {PATH_HASH.format("path")} AS h FROM f)
+SELECT kind, path, {SIGNED} AS path_hash, size FROM h""",
+)
+def src1_rows(spark, sf):
+    root = scratch_path(spark, "vault")
+    fx(spark, sf, "fx_paths").select("path", "text").mapInArrow(_put_files(root), "path string").write.format("noop").mode("overwrite").save()
+    return vault_scan(spark, root, "v", "d").select("kind", "path", "path_hash", "size")
+
+
 @query("src6_read_changes", "SELECT event_id, vault, path, op, old_path, content_hash, ts_ms FROM fx_events")
 def src6(spark, sf):
     stream = staged(spark, fx(spark, sf, "fx_events"), "changes", files_per_batch=2)

@@ -28,8 +28,9 @@ def local_session(cores: int | str = 8, app: str = "driftline") -> SparkSession:
     )
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.master", "local").startswith("local")
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that they share every folder."""
+    return spark.conf.get("spark.master", "local").startswith("local") and not spark.conf.get("spark.master", "local").startswith("local-cluster")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not _is_local(spark):
+    if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-"))
     return spark.sparkContext.getCheckpointDir()

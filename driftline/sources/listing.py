@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
+from itertools import islice
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -13,9 +15,12 @@ from driftline.functions.fingerprint import string_fingerprint
 from driftline.functions.paths import kind_of
 from driftline.operators.rules import VIRTUAL_PREFIX
 from driftline.operators.timeline import page_of
+from driftline.session import is_local, materialise
 
 
 LISTED = "path string, is_folder boolean, mtime long, size long"
+#: names given on by a listing task at a time, and files whose facts one task reads
+NAMES, FACTS = 10_000, 20_000
 
 
 def _place(folder: str):
@@ -28,47 +33,98 @@ def _place(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def _entries(fs, folder: str, base: str, recursive: bool) -> list[tuple]:
-    from pyarrow.fs import FileSelector, FileType
+def _facts(info) -> tuple[int | None, int | None]:
+    return None if info.mtime_ns is None else info.mtime_ns // 1_000_000, info.size
 
-    found = fs.get_file_info(FileSelector(folder, recursive=recursive, allow_not_found=True))
-    return [
-        (
-            i.path[len(base) :].lstrip("/"), i.type == FileType.Directory,
-            None if i.type == FileType.Directory or i.mtime_ns is None else i.mtime_ns // 1_000_000,
-            None if i.type == FileType.Directory else i.size,
-        )
-        for i in found
-    ]
 
+def _names(fs, folder: str, base: str):
+    """Entries of one folder: path below ``base``, is it a folder, and mtime and size where the listing tells them.
 
-def vault_scan(
-    spark: SparkSession, root: str, vault: str, device: str, hidden: Sequence[str] = ()
-) -> DataFrame:
-    """Files and folders below ``root``: path, kind, size, mtime. The root itself is no row.
+    A mounted folder is read name by name, so it is never held whole; links to folders are files without facts. A
+    folder that is gone has no entries.
+    """
+    from pyarrow import fs as pafs
 
-    Every name counts, also those that begin with a dot or an underscore, and so do empty folders. Files below a
-    folder named in ``hidden`` are of kind ``config``. The driver lists the first level; what is below each of
-    its folders is listed by the tasks, which read metadata only.
+    if isinstance(fs, pafs.LocalFileSystem):
+        try:
+            with os.scandir(folder) as found:
+                for e in found:
+                    yield e.path[len(base) :].lstrip("/"), e.is_dir(follow_symlinks=False), None, None
+        except FileNotFoundError:
+            return
+    else:
+        for i in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            is_folder = i.type == pafs.FileType.Directory
+            yield i.path[len(base) :].lstrip("/"), is_folder, *((None, None) if is_folder else _facts(i))
+
+
+def _batches(rows):
+    types = [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+    while some := list(islice(rows, NAMES)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], ["path", "is_folder", "mtime", "size"])
+
+
+def entries(spark: SparkSession, root: str) -> DataFrame:
+    """Everything below ``root``, level by level: ``path``, ``is_folder``, ``mtime`` and ``size`` (both null for folders).
+
+    Each round the tasks list the folders that the last one found, one level deep, and their rows are written down; the driver
+    sees one number per level. The facts of the files of a mounted folder are read in a second step by path, so the files
+    of one big folder go to many tasks.
     """
-    base_fs, base = _place(root.rstrip("/"))
-    top = _entries(base_fs, base, base, recursive=False)
-    folders = [f for f, is_folder, _, _ in top if is_folder]
+    root = root.rstrip("/")
+    _, base = _place(root)
 
     def below(batches):
-        fs, base = _place(root.rstrip("/"))
+        fs, base = _place(root)
         for batch in batches:
             for folder in batch.column(0).to_pylist():
-                rows = _entries(fs, f"{base}/{folder}", base, recursive=True)
-                for at in range(0, len(rows), 10_000):
-                    cols = zip(*rows[at : at + 10_000])
-                    types = [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["path", "is_folder", "mtime", "size"])
-
-    listed = spark.createDataFrame(top, LISTED)
-    if folders:
-        tasks = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 10_000))
-        listed = listed.unionByName(tasks.mapInArrow(below, LISTED))
+                yield from _batches(_names(fs, f"{base}/{folder}".rstrip("/"), base))
+
+    def with_facts(batches):
+        fs, base = _place(root)
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            found = [_facts(i) for i in fs.get_file_info([f"{base}/{p}" for p in paths])]
+            yield from _batches((p, False, *f) for p, f in zip(paths, found))
+
+    folders = spark.createDataFrame([("",)], "path string")
+    n, found = 1, None
+    while n:
+        level = materialise(folders.repartition(min(n, 10_000), "path").mapInArrow(below, LISTED))
+        found = level if found is None else found.unionByName(level)
+        folders = level.filter("is_folder").select("path")
+        n = folders.count()
+    bare = found.filter("NOT is_folder AND mtime IS NULL")
+    parts = bare.count() // FACTS + 1
+    told = found.filter("is_folder OR mtime IS NOT NULL")
+    return told.unionByName(bare.select("path").repartition(max(parts, 1), "path").mapInArrow(with_facts, LISTED))
+
+
+def inventory_entries(inventory: DataFrame) -> DataFrame:
+    """The same rows from a table of all files (``path, mtime, size``), as object stores write them: nothing is listed.
+
+    Folders are those that hold a file; an inventory knows no empty ones.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    folders = inventory.filter(F.size(parts) > 1).select(F.explode(above).alias("path")).distinct()
+    none = F.lit(None).cast("long")
+    files = inventory.select("path", F.lit(False).alias("is_folder"), F.col("mtime").cast("long"), F.col("size").cast("long"))
+    return files.unionByName(folders.select("path", F.lit(True).alias("is_folder"), none.alias("mtime"), none.alias("size")))
+
+
+def vault_scan(
+    spark: SparkSession, root: str, vault: str, device: str, hidden: Sequence[str] = (), inventory: DataFrame | None = None
+) -> DataFrame:
+    """Files and folders below ``root``: path, kind, size, mtime. The root itself is no row.
+
+    Every name counts, also those that begin with a dot or an underscore, and so do empty folders. Files below a
+    folder named in ``hidden`` are of kind ``config``. With an ``inventory`` of the files nothing is listed. On a
+    cluster a root needs a scheme: ``file:`` says that the folder is mounted on every machine.
+    """
+    if inventory is None and not urlparse(root).scheme and not is_local(spark):
+        raise ValueError("a root without a scheme is a folder of this machine; name its file system")
+    listed = entries(spark, root) if inventory is None else inventory_entries(inventory)
     config = F.lit(False)
     for h in hidden:
         config = config | F.col("path").startswith(h.rstrip("/") + "/")

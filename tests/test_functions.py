@@ -249,6 +249,33 @@ def test_vault_scan(spark, tmp_path):
     assert {r.path for r in found if r.kind == "config"} == {".conf/app.json", ".conf/plugins/x/main.js"}
 
 
+def test_vault_scan_of_a_flat_and_a_deep_folder(spark, tmp_path, monkeypatch):
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(700):
+        (flat / f"n{i}.md").write_bytes(b"x" * (i % 7))
+    deep = tmp_path
+    for i in range(6):
+        deep = deep / f"d{i}"
+        deep.mkdir()
+        (deep / "f.png").write_bytes(b"12")
+    (tmp_path / "link").symlink_to(tmp_path / "d0", target_is_directory=True)  # a loop if it were followed
+    monkeypatch.setattr(listing, "FACTS", 100)
+    monkeypatch.setattr(listing, "NAMES", 64)
+    found = listing.entries(spark, f"file:{tmp_path}")
+    rows = {r.path: (r.is_folder, r.size) for r in found.collect()}
+    want = {f"flat/n{i}.md": (False, i % 7) for i in range(700)} | {"flat": (True, None)}
+    for i in range(6):
+        place = "/".join(f"d{j}" for j in range(i + 1))
+        want |= {place: (True, None), f"{place}/f.png": (False, 2)}
+    assert {p: v for p, v in rows.items() if p != "link"} == want
+    assert found.filter("path LIKE 'flat/%'").select(F.spark_partition_id()).distinct().count() > 4  # one folder, many tasks
+    assert listing.vault_scan(spark, str(tmp_path / "none"), "v", "d").count() == 0
+    inventory = found.filter("NOT is_folder AND path <> 'link'").select("path", "mtime", "size")
+    both = [listing.vault_scan(spark, str(tmp_path), "v", "d", ["d0"], i).filter("path <> 'link'") for i in (None, inventory)]
+    assert sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))
+
+
 def test_state_maps_old_and_new_form(spark, tmp_path):
     maps = spark.createDataFrame([("v", "d", '{"a.md":"77","b/\\"c.md":{"hash":"-5","mtime":9,"size":3},"z":{"hash":"1"}}')], "vault string, device string, json string")
     rows = {r.path: (r.hash, r.mtime, r.size) for r in state_store.load_state(maps).collect()}
