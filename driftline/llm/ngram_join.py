@@ -9,10 +9,11 @@ have a signature in common. A set signs for its own band and for each band whose
 Signatures without features would be shared by all sets. A set leaves them out if it has fewer groups with such a
 signature than there are groups certain to agree: then one of the others must agree too.
 
-Equal sets are one node throughout. Rows of signatures are sorted, and each bucket's first few nodes are compared with all of it. What is
-left of larger buckets is dealt with only where it belongs to different components so far: its sets are signed
-again, twice at most, with more features to a signature, and buckets that are still large then go on with further nodes
-to compare with, twice as many each round, until every pair of a bucket is compared or connected.
+Equal sets are one node throughout. Rows of signatures are sorted, and each bucket's first few nodes are paired with all of it.
+What is left of larger buckets matters only where it belongs to different components so far. Crowded ones are broken up: their
+sets are signed again, twice at most, with more features to a signature. The others are compared in blocks by parity sketches:
+a bit for each feature's place, flipped by each feature, so that two sets differ in at least as many features as their
+sketches in bits. Only pairs that this bound lets pass leave the task, and every pair is verified on its features.
 """
 
 from __future__ import annotations
@@ -37,8 +38,12 @@ from driftline.operators.skew import join_facts
 PIECE = 1 << 22
 #: parts of a group and how many of them a signature leaves out: each choice has more features to a signature than the one before
 PLANS = [(1, 0), (3, 1), (5, 2), (7, 3)]
-#: first nodes of a bucket that are compared with all of it, each time sets are signed
-PIVOTS = [4, 8, 32]
+#: times that sets are signed
+LEVELS = 3
+#: first nodes of a bucket that are paired with all of it
+PIVOTS = 4
+#: nodes that are left in a bucket before its sets are signed again; and nodes of a bucket that are compared at a time
+CROWD, BLOCK = 512, 2048
 #: rows of buckets looked at together
 ROWS = 1 << 16
 #: text hashes sent to all executors at most, 8 bytes each; beyond it a shuffle joins them
@@ -136,7 +141,7 @@ def bands(size: int, percent: int, level: int = 0) -> tuple[Band, ...]:
 def _tags(band: Band, level: int) -> np.ndarray:
     """A number for each signature that a set has in a band."""
     n = band.groups * len(band.choices)
-    return _mixed(np.arange(n, dtype=np.uint64) + np.uint64((len(PIVOTS) * band.number + level + 1) << 40))
+    return _mixed(np.arange(n, dtype=np.uint64) + np.uint64((LEVELS * band.number + level + 1) << 40))
 
 
 def signatures(features: np.ndarray, percent: int = 80, level: int = 0) -> np.ndarray:
@@ -167,19 +172,34 @@ def _short(node: bytes) -> int:
     return int.from_bytes(node[:8], "big", signed=True)
 
 
+def parity(features: np.ndarray) -> np.ndarray:
+    """Sketch of a set, about a bit for each feature: bits at the features' places, each flipped once by each."""
+    bits = max(64, 1 << (len(features) - 1).bit_length())
+    odd = np.bincount((features & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, a hash of the text, size of the set, its ``node`` (128 bits; null without words) and the first 64 bits of it."""
+    """``doc_id``, a hash of the text, size of the set, its ``node`` (128 bits; null without words), the first 64 bits of it and its sketch.
+
+    Of equal sets of a task only one has a sketch.
+    """
 
     def work(batches):
-        for batch in slices(batches):
+        seen = set()
+        for batch in slices(batches, 64):
             sets = [shingles(t, words) for t in batch.column(2).to_pylist()]
             nodes = [_node(s) if len(s) else None for s in sets]
-            columns = [pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array([n and _short(n) for n in nodes], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "th", "n", "node", "short"])
+            sketches = [None if n is None or n in seen else (seen.add(n), parity(s))[1] for n, s in zip(nodes, sets)]
+            columns = [
+                pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array([n and _short(n) for n in nodes], pa.int64()),
+                pa.array(sketches, pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "th", "n", "node", "short", "sketch"])
 
     short_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), text_bytes())
-    return texts.mapInArrow(work, "doc_id long, th long, n long, node binary, short long")
+    return texts.mapInArrow(work, "doc_id long, th long, n long, node binary, short long, sketch array<long>")
 
 
 def _of_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -223,29 +243,24 @@ def _joined(batches):
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def _met(rows: DataFrame, pivots: int) -> DataFrame:
+def _met(rows: DataFrame) -> DataFrame:
     """Pairs (``sig`` null) of each bucket's first nodes with all later ones, and the rows behind those first nodes.
 
     Rows come sorted, so a bucket of any size passes through in batches; only its first nodes are kept.
-    ``root``, where given, is the node's component: nodes of one component are not paired.
     """
-    rooted = "root" in rows.columns
-    names = ["sig", "short", "root"] if rooted else ["sig", "short"]
 
     def work(batches):
-        carry, passed = [np.zeros(0, dtype=np.int64)] * len(names), 0  # first rows of the last bucket, and how many it had
+        carry, passed = [np.zeros(0, dtype=np.int64)] * 2, 0  # first rows of the last bucket, and how many it had
         last = None
         for batch in _joined(batches):
             kept = len(carry[0])
-            columns = [np.concatenate([c, batch[i]]) for i, c in enumerate(carry)]
-            sig, short = columns[0], columns[1]
+            sig, short = (np.concatenate([c, batch[i]]) for i, c in enumerate(carry))
             new = np.ones(len(sig), dtype=bool)
             new[1:] = (sig[1:] != sig[:-1]) | (short[1:] != short[:-1])
             if kept and passed > kept:  # the last row seen is not among those kept
                 new[kept] = not (sig[kept] == last[0] and short[kept] == last[1])
             last = (sig[-1], short[-1])
-            columns = [c[new] for c in columns]
-            sig, short = columns[0], columns[1]
+            sig, short = sig[new], short[new]
             starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             start = np.repeat(starts, np.diff(np.append(starts, len(sig))))
             place = np.arange(len(sig)) - start
@@ -254,28 +269,80 @@ def _met(rows: DataFrame, pivots: int) -> DataFrame:
                 more[:kept] = False
                 place[more] += passed - kept
             fresh = np.arange(len(sig)) >= kept
-            a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for t in range(pivots):
-                later = np.flatnonzero(fresh & (place > t))
-                first = start[later] + t
-                if rooted:
-                    apart = columns[2][first] != columns[2][later]
-                    later, first = later[apart], first[apart]
-                a.append(short[first])
-                b.append(short[later])
-            rest = np.flatnonzero(fresh & (place >= pivots))
-            a, b = np.concatenate([*a, short[rest]]), np.concatenate([*b, np.zeros(len(rest), dtype=np.int64)])
+            later = [np.flatnonzero(fresh & (place > t)) for t in range(PIVOTS)]
+            rest = np.flatnonzero(fresh & (place >= PIVOTS))
+            a = np.concatenate([*(short[start[x] + t] for t, x in enumerate(later)), short[rest]])
+            b = np.concatenate([*(short[x] for x in later), np.zeros(len(rest), dtype=np.int64)])
             pairs = len(a) - len(rest)
             in_bucket = pa.array(np.concatenate([np.zeros(pairs, dtype=np.int64), sig[rest]]), mask=np.arange(len(a)) < pairs)
             yield pa.RecordBatch.from_arrays([in_bucket, pa.array(a), pa.array(b)], ["sig", "a", "b"])
             passed = int(place[-1]) + 1
             begin = starts[-1]
-            carry = [c[begin : begin + pivots].copy() for c in columns]
+            carry = [c[begin : begin + PIVOTS].copy() for c in (sig, short)]
 
-    dealt = rows.select(*names).repartition("sig").sortWithinPartitions("sig", "short")
+    dealt = rows.repartition("sig").sortWithinPartitions("sig", "short")
     return stored(dealt.mapInArrow(work, "sig long, a long, b long"), "met")
 
 
+def _near(columns: list, words: int, split: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one group of rows (first half, size, root, sketch) that may be similar: of the first ``split`` rows with
+    all behind them, or of all rows if ``split`` is their number."""
+    short, size, root = (np.array(c, dtype=np.int64) for c in columns[:3])
+    sketch = np.array([_folded(np.array(s, dtype=np.int64), words) for s in columns[3]]).view(np.uint64)  # bits of signed numbers are counted without sign
+    a, b = [], []
+    for i in range(split):
+        others = slice(i + 1 if split == len(short) else split, None)
+        apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        fits = (100 + percent) * apart <= (100 - percent) * (size[others] + size[i])
+        found = np.flatnonzero(fits & (root[others] != root[i])) + others.start
+        a.append(np.full(len(found), short[i]))
+        b.append(short[found])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch that the set has with fewer places."""
+    while len(sketch) > words:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
+def _compared(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of different components that share a bucket of ``rows`` (``sig, short, root``) and may be similar.
+
+    A bucket is cut in blocks, and every two blocks meet in one group, so a task holds two blocks at a time.
+    """
+    counted = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    placed = join_facts(rows, counted, ["sig"], ["short"], "inner")
+    own = F.pmod(F.xxhash64("short"), F.col("blocks"))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    dealt = placed.withColumn("own", own).withColumn("_g", F.explode(every)).select("sig", "_g.i", "_g.j", "own", "short", "root")
+    dealt = dealt.join(nodes.select("short", "n", "sketch"), "short")
+    dealt = dealt.select("sig", "i", "j", "own", "short", "n", "root", "sketch").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "own", "short")
+
+    def found(group, held):
+        sig, i, j = group
+        split = len(held) if i == j else sum(r[0] == i for r in held)
+        words = min(len(r[4]) for r in held)
+        a, b = _near([list(c) for c in zip(*(r[1:] for r in held))], words, split, percent)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def work(batches):
+        group, held = None, []
+        for batch in batches:
+            for sig, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (sig, i, j) != group:
+                    if len(held) > 1:
+                        yield found(group, held)
+                    group, held = (sig, i, j), []
+                held.append(row)
+        if len(held) > 1:
+            yield found(group, held)
+
+    return dealt.mapInArrow(work, "a long, b long")
+
+
 def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``node`` and its features as an array, for the nodes of ``wanted`` (``node``, ``th``)."""
 
@@ -299,14 +366,22 @@ def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, roots: DataFrame | None, words: int, percent: int) -> DataFrame:
     """Edges (``u``, ``v``) between the nodes of ``pairs`` (``a``, ``b``: first halves) that are similar enough.
 
-    Pairs inside one component of ``roots`` say nothing new and are left out.
+    Sizes and sketches are looked at before features. Pairs inside one component of ``roots`` say nothing new and are left out.
     """
-    sides = [nodes.select(F.col("short").alias(s), F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), F.col("th").alias(f"th_{s}")) for s in "ab"]
-    sized = pairs.select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b")
+    sides = [nodes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("short", "node", "n", "th", "sketch"))) for s in "ab"]
+    sized = pairs.select(F.col("a").alias("short_a"), F.col("b").alias("short_b")).distinct().join(sides[0], "short_a").join(sides[1], "short_b")
     sized = sized.where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
+    folds = {  # sizes are close, so one sketch is as long as the other or twice as long
+        s: f"CASE WHEN size(sketch_{s}) > size(sketch_{t}) THEN zip_with(slice(sketch_{s}, 1, size(sketch_{t})), slice(sketch_{s}, 1 + size(sketch_{t}), size(sketch_{t})),"
+        f" (x, y) -> x ^ y) ELSE sketch_{s} END"
+        for s, t in ("ab", "ba")
+    }
+    apart = F.expr(f"aggregate(zip_with({folds['a']}, {folds['b']}, (x, y) -> bit_count(x ^ y)), 0L, (s, x) -> s + x)")
+    sized = sized.where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    sized = sized.select("node_a", "node_b", "th_a", "th_b")
     if roots is not None:
-        sized = _rooted(_rooted(sized, roots, "node_a", "root_a"), roots, "node_b", "root_b").where("root_a <> root_b")
-    sized = stored(sized.select("node_a", "node_b", "th_a", "th_b"), "candidates")
+        sized = _rooted(_rooted(sized, roots, "node_a", "root_a"), roots, "node_b", "root_b").where("root_a <> root_b").drop("root_a", "root_b")
+    sized = stored(sized, "candidates")
     wanted = sized.select(F.col("th_a").alias("th")).unionByName(sized.select(F.col("th_b").alias("th")))
     sets = _arrays(docs, wanted, words)
     both = sized.select("node_a", "node_b").join(sets.select(F.col("node").alias("node_a"), F.col("set").alias("set_a")), "node_a")
@@ -318,11 +393,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, roots: DataFr
 
 
 def _unsettled(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``sig``, ``short`` and ``root`` of what is left in buckets that hold nodes of several components."""
+    """``sig``, ``short``, ``root`` and ``rows`` of the bucket, of what is left in buckets that hold nodes of several components."""
     own = _rooted(nodes.select("short", "node"), roots).select("short", F.xxhash64("root").alias("root"))
     rest = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("short")).join(own, "short")
-    several = rest.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    return stored(join_facts(rest, several, ["sig"], ["short"], "inner"), "unsettled")
+    several = rest.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("rows")).where("x <> y")
+    return stored(join_facts(rest, several.select("sig", "rows"), ["sig"], ["short"], "inner"), "unsettled")
 
 
 def _rooted(df: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
@@ -343,26 +418,25 @@ def _connected(roots: DataFrame, edges: DataFrame) -> DataFrame:
 def connected_sets(docs: DataFrame, nodes: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``node`` and ``component``, its least node, for the sets that are linked to others by ``percent`` similarity or more.
 
-    ``nodes`` has a row per different set: ``node``, ``short``, ``n``, and ``th``, the hash of a text that has it.
+    ``nodes`` has a row per different set: ``node``, ``short``, ``n``, its ``sketch``, and ``th``, the hash of a text that has it.
     """
     short_batches(docs.sparkSession)
-    roots, left = None, None
-    for level, pivots in enumerate(PIVOTS):
-        if left is None:
+    roots, crowded = None, None
+    for level in range(LEVELS):
+        if level == 0:
             texts = docs.select(text_bytes())
-        elif left.limit(1).count():
-            texts = _of_texts(docs, left.select("short").distinct().join(nodes, "short").select("th"))
+        elif crowded.limit(1).count():
+            texts = _of_texts(docs, crowded.select("short").distinct().join(nodes, "short").select("th"))
         else:
-            return roots
-        met = _met(_signed(texts, words, percent, level), pivots)
+            break
+        met = _met(_signed(texts, words, percent, level))
         edges = _verified(docs, met.where("sig IS NULL"), nodes, roots, words, percent)
         roots = stored(components(edges), "roots") if roots is None else _connected(roots, edges)
         left = _unsettled(met, nodes, roots)
-    while left.limit(1).count():
-        pivots *= 2
-        met = _met(left, pivots)
-        roots = _connected(roots, _verified(docs, met.where("sig IS NULL"), nodes, roots, words, percent))
-        left = _unsettled(met, nodes, roots)
+        crowded = left.where(F.col("rows") > CROWD)
+        here = left if level == LEVELS - 1 else left.where(F.col("rows") <= CROWD)
+        edges = _verified(docs, _compared(here.select("sig", "short", "root"), nodes, percent), nodes, None, words, percent)
+        roots = _connected(roots, edges)
     return roots
 
 
@@ -376,8 +450,9 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     """
     sets = stored(shingle_sets(docs, words), "sets")
     nodes = sets.where("n > 0").groupBy("node").agg(
-        F.first("short").alias("short"), F.first("n").alias("n"), F.min("th").alias("th"), F.min("doc_id").alias("first"), F.count("*").alias("rows")
-    )
+        F.first("short").alias("short"), F.first("n").alias("n"), F.min("th").alias("th"), F.min("doc_id").alias("first"), F.count("*").alias("rows"),
+        F.first("sketch", ignorenulls=True).alias("sketch"),
+    )
     nodes = stored(nodes, "nodes")
     roots = connected_sets(docs, nodes, words, percent)
     linked = nodes.join(roots, "node", "left").where("component IS NOT NULL OR rows > 1")

@@ -238,3 +238,22 @@ def test_pieces_of_long_texts(monkeypatch):
     parts = resample._features([text, b"", b"a b"], 997)
     assert all((x == y).all() for x, y in zip(whole, parts))
     assert whole[2].tolist() == [15000, 0, 2]
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 64, 65, 500, 3000):
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 1 << 64, n // 10, dtype=np.uint64)]))
+        x, y = (ngram_join._folded(ngram_join.parity(s), min(len(ngram_join.parity(a)), len(ngram_join.parity(b)))).view(np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_join_in_blocks_and_levels(spark, monkeypatch):
+    """Small blocks and crowds, so that buckets are cut and sets are signed three times."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "CROWD", 12)
+    rows = list(enumerate(near_texts(random.Random(4), 60)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df).collect()}
+    assert got == plain_components(rows)
