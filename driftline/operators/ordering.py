@@ -7,23 +7,32 @@ from pyspark.sql import functions as F
 
 from driftline.functions.paths import depth_of
 from driftline.functions.reports import numeric_parts
-from driftline.operators.timeline import global_rank, page_of
+from driftline.operators.timeline import By, global_rank, page_of
 
 # Fixed value: how far a summary is moved up.
 SUMMARY_LEAD_MS = 2000
 
 
-def log_order() -> list[Column]:
+def log_keys() -> list[By]:
     """Newest first; a summary goes before rows up to two seconds newer."""
     summary = F.col("category") == "summary"
     key = F.col("timestamp") + F.when(summary, SUMMARY_LEAD_MS).otherwise(0)
-    return [key.desc(), F.when(summary, 1).otherwise(0).desc(), F.col("first_seq").desc()]
+    return [By(key, True), By(F.when(summary, 1).otherwise(0), True), By(F.col("first_seq"), True)]
+
+
+def log_order() -> list[Column]:
+    return [k.sort for k in log_keys()]
 
 
 def order_log(log: DataFrame) -> DataFrame:
     return log.orderBy(*log_order())
 
 
+def log_page(log: DataFrame, page: int, page_size: int) -> DataFrame:
+    """One page of the log, newest first."""
+    return page_of(log, log_keys(), page, page_size)
+
+
 def top_paths(found: DataFrame, k: int) -> DataFrame:
     """The ``k`` shortest matches."""
     return found.orderBy(F.length("shown"), "shown", "vault").limit(k)
@@ -58,7 +67,7 @@ def top_records(
         F.sum("cents").alias("amount"),
         F.coalesce(F.sum(F.when(recent, F.col("cents"))), F.lit(0)).cast("long").alias("amount_3m"),
     )
-    return page_of(sums, [F.col(sort_by).desc(), F.col("name").asc()], page, page_size)
+    return page_of(sums, [By(F.col(sort_by), True), By(F.col("name"))], page, page_size)
 
 
 def apply_order(decisions: DataFrame) -> DataFrame:

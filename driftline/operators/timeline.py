@@ -8,10 +8,13 @@ one summary row per bucket carries the value over from the buckets before.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.operators.skew import join_facts
 from driftline.session import materialise
@@ -176,8 +179,104 @@ def grouped_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], na
     return join_facts(placed, starts, keys, spread, "inner").withColumn(name, F.col(name) - F.col("_start")).drop("_start")
 
 
-def page_of(df: DataFrame, order: Sequence[Column], page: int, page_size: int) -> DataFrame:
-    """Rows of one page of an ordered table, found by their positions whatever the depth."""
+@dataclass(frozen=True)
+class By:
+    """One key of an order. Nulls come first in rising order and last in falling order."""
+
+    column: Column
+    descending: bool = False
+
+    @property
+    def sort(self) -> Column:
+        return self.column.desc() if self.descending else self.column.asc()
+
+    def digits(self, kind: T.DataType) -> Iterator[Column]:
+        """Numbers that rise with the order, the first one deciding; equal numbers leave it open. Some types have none.
+
+        They have at most 53 bits, as sketches compute in doubles.
+        """
+        if isinstance(kind, T.StringType):
+            parts = (F.substring(F.encode(self.column, "UTF-8"), 6 * i + 1, 6) for i in count())
+            numbers = (F.conv(F.rpad(F.hex(part), 12, "0"), 16, 10).cast("long") for part in parts)
+        elif isinstance(kind, (T.TimestampType, T.DateType, T.IntegralType, T.BooleanType)):
+            whole = F.unix_micros(self.column) if isinstance(kind, T.TimestampType) else F.unix_date(self.column) if isinstance(kind, T.DateType) else self.column
+            whole = whole.cast("long")
+            numbers = iter([F.shiftright(whole, 20), whole.bitwiseAND(F.lit((1 << 20) - 1))])
+        else:
+            numbers = iter([])
+        for number in numbers:
+            yield F.coalesce(F.bitwise_not(number), F.lit(MOST)) if self.descending else F.coalesce(number, F.lit(LEAST))
+
+
+LEAST, MOST = -(1 << 53), 1 << 53
+#: rows that a page may skip by sorting; rank errors of the sketch, as one part of so many
+SKIP, ACCURACY = 1_000, 10_000
+
+
+def _first_of_page(df: DataFrame, keys: Sequence[By], skip: int) -> tuple[Column, int]:
+    """A lower bound in the order, as a filter, and the number of rows before it, which is at most ``skip``.
+
+    Key by key, a sketch of the key's numbers tells near which value the row after ``skip`` lies, and exact counts around
+    it say on which side. The driver sees some counts; rows are only counted. It ends when the bound is near enough, or
+    with the last number of the last key.
+    """
+    kinds = [f.dataType for f in df.select(*[k.column.alias(f"k{i}") for i, k in enumerate(keys)]).schema]
+    same, before = [], 0  # numbers that the row is known to have; rows before all that have them
+    for key, kind in zip(keys, kinds):
+        exact = isinstance(kind, (T.StringType, T.TimestampType, T.DateType, T.IntegralType, T.BooleanType))
+        for digit in key.digits(kind):
+            if skip - before <= SKIP:
+                break
+            rows = df
+            for d, v in same:
+                rows = rows.filter(d == v)
+            lo, hi, value = LEAST, MOST, None
+            rows = rows.select(digit.alias("d"))
+            while value is None and skip - before > SKIP:
+                inside = rows.filter(F.col("d").between(lo, hi))
+                n = inside.count()
+                at = skip - before
+                if n <= at:  # the page begins behind all rows
+                    return F.lit(False), before + n
+                shares = [min(1.0, max(0.0, (at + 1) / n + e / ACCURACY)) for e in (-2, 0, 2)]
+                low, near, high = inside.agg(F.percentile_approx("d", shares, ACCURACY).alias("q")).first().q
+                less, below, upto, most = inside.agg(
+                    F.count_if(F.col("d") < low), F.count_if(F.col("d") < near), F.count_if(F.col("d") <= near), F.count_if(F.col("d") <= high)
+                ).first()
+                if below <= at < upto:
+                    value, before = near, before + below
+                elif at < below:
+                    lo, hi, before = (low, near - 1, before + less) if less <= at else (lo, near - 1, before)
+                else:
+                    lo, hi, before = near + 1, high if at < most else hi, before + upto
+            if value is None:
+                return _from(same, digit, lo), before
+            same.append((digit, value))
+            text = value if not key.descending else ~value
+            if isinstance(kind, T.StringType) and (text in (LEAST, MOST) or text & 255 == 0):
+                break  # the text ends here
+        if skip - before <= SKIP or not exact:
+            break
+    return (_from(same[:-1], *same[-1]) if same else F.lit(True)), before
+
+
+def _from(same: Sequence[tuple[Column, int]], digit: Column, least: int) -> Column:
+    bound = digit >= least
+    for d, v in reversed(same):
+        bound = (d > v) | ((d == v) & bound)
+    return bound
+
+
+def page_of(df: DataFrame, order: Sequence[By | Column], page: int, page_size: int) -> DataFrame:
+    """Rows of one page of an ordered table, whatever the depth.
+
+    With keys given as ``By`` the start of the page is found by counting, and each task then gives on no more rows than the
+    page and those skipped; nothing is sorted whole or written down. ``df`` is read several times for a deep
+    page, so store it if it is dear. Plain sort columns can't be looked into: their rows are ranked one and all.
+    """
     end = page * page_size
-    ranked = global_rank(df, order, "_pos")
-    return ranked.filter((F.col("_pos") > end - page_size) & (F.col("_pos") <= end)).drop("_pos")
+    if not all(isinstance(k, By) for k in order):
+        ranked = global_rank(df, [k.sort if isinstance(k, By) else k for k in order], "_pos")
+        return ranked.filter((F.col("_pos") > end - page_size) & (F.col("_pos") <= end)).drop("_pos")
+    bound, before = _first_of_page(df, order, end - page_size)
+    return df.filter(bound).orderBy(*[k.sort for k in order]).offset(end - page_size - before).limit(page_size)

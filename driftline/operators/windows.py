@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.timeline import global_rank, grouped_rank, page_of, time_bucket
+from driftline.operators.timeline import By, global_rank, grouped_rank, page_of, time_bucket
 from driftline.schema import STATE_KEY
 
 # Fixed value: how much longer raw config events wait.
@@ -78,7 +78,8 @@ def hash_budget(df: DataFrame, n: int) -> DataFrame:
     return first.unionByName(df.filter("NOT needs_hash").withColumn("round", F.lit(0).cast("long")))
 
 
-def paginate(df: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
+def paginate(df: DataFrame, order: list[By | Column], page: int, page_size: int) -> DataFrame:
+    """One page of rows; see ``timeline.page_of`` for the two kinds of keys."""
     return page_of(df, order, page, page_size)
 
 

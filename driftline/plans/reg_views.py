@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftline.operators import acks, aggregates, chunks, compare, filters, history, ordering, windows
+from driftline.operators.timeline import By
 from driftline.plans.fixtures import fx
 from driftline.plans.reg_filters import LOG_CATEGORY, session_files
 from driftline.plans.reg_joins import KEY, _reconcile_sql, decisions
@@ -226,7 +227,16 @@ def w4(spark, sf):
 @query("w5_paginate", "SELECT vault, path, size FROM fx_local ORDER BY vault, path LIMIT 25 OFFSET 50")
 def w5(spark, sf):
     rows = fx(spark, sf, "fx_local").select("vault", "path", "size")
-    return windows.paginate(rows, [F.col("vault").asc(), F.col("path").asc()], 3, 25)
+    return windows.paginate(rows, [By(F.col("vault")), By(F.col("path"))], 3, 25)
+
+
+_DEEP = "SELECT event_id, vault, path, op, ts_ms FROM fx_events"
+
+
+@query("w5_deep_page", f"WITH d AS ({_DEEP}) SELECT * FROM d ORDER BY vault, path DESC, ts_ms, event_id LIMIT 40 OFFSET 7000")
+def w5_deep(spark, sf):
+    keys = [By(F.col("vault")), By(F.col("path"), True), By(F.col("ts_ms")), By(F.col("event_id"))]
+    return windows.paginate(fx(spark, sf, _DEEP), keys, 176, 40)
 
 
 @query(
@@ -327,7 +337,7 @@ def w9(spark, sf):
     f"""WITH {MERGED} SELECT id, "timestamp", category FROM log ORDER BY "timestamp" + CASE WHEN category = 'summary' THEN 2000 ELSE 0 END DESC, category = 'summary' DESC, first_seq DESC LIMIT 50 OFFSET 100""",
 )
 def so1(spark, sf):
-    rows = windows.paginate(merged_log(spark, sf), ordering.log_order(), 3, 50)
+    rows = ordering.log_page(merged_log(spark, sf), 3, 50)
     return rows.select("id", "timestamp", "category")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from driftline.functions.fingerprint import string_fingerprint
 from driftline.functions.paths import kind_of
 from driftline.operators.rules import VIRTUAL_PREFIX
-from driftline.operators.timeline import page_of
+from driftline.operators.timeline import By, page_of
 from driftline.session import is_local, materialise
 
 
@@ -168,7 +168,7 @@ def list_entries(
     if keyword:
         hits = hits.filter(F.lower("path").contains(keyword.lower()))
     total = hits.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = page_of(hits, [F.col("vault"), F.col("path")], page, page_size)
+    rows = page_of(hits, [By(F.col("vault")), By(F.col("path"))], page, page_size)
     return rows.withColumn("total_rows", total).withColumn(
         "total_pages", F.greatest(F.lit(1), F.ceil(F.col("total_rows") / page_size)).cast("long")
     )

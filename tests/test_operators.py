@@ -47,6 +47,27 @@ def test_global_rank_and_deep_pages(spark):
         assert sorted(r.x for r in got) == list(range(1000))[30 * (page - 1) : 30 * page]
 
 
+def test_pages_by_counting(spark, monkeypatch):
+    monkeypatch.setattr(timeline, "SKIP", 5)
+    rng = random.Random(8)
+    names = ["", "a", "a\0", "ab", "abcdefg", "abcdefgh", "abcdefghijklmnopq", "é", "zz", None, "abcdefghijklmnopr"]
+    rows = [(rng.choice(names), rng.choice([None, True, False]), rng.choice([0, 1, -(1 << 63), (1 << 63) - 1, None, *range(50)]), rng.choice([0.5, 1.5]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "s string, b boolean, n long, x double, i long").repartition(2)
+    By = timeline.By
+    orders = [
+        [By(F.col("s")), By(F.col("n"), True), By(F.col("i"))], [By(F.col("b"), True), By(F.col("s"), True), By(F.col("i"), True)],
+        [By(F.col("n")), By(F.col("x")), By(F.col("i"))], [By(F.col("x")), By(F.col("i"))],
+    ]
+    for keys in orders:
+        want = [r.i for r in df.orderBy(*[k.sort for k in keys]).collect()]
+        for page, size in ((1, 7), (40, 10), (91, 10)):
+            got = [r.i for r in windows.paginate(df, keys, page, size).collect()]
+            assert got == want[size * (page - 1) : size * page]
+    one = df.withColumn("s", F.lit("same")).withColumn("n", F.lit(1))
+    assert len(windows.paginate(one, [By(F.col("s")), By(F.col("n"))], 50, 10).collect()) == 10
+    assert windows.paginate(df.limit(0), [By(F.col("s"))], 1, 10).collect() == []
+
+
 def test_top_n_of_a_hot_group(spark):
     df = spark.range(2000).select(F.when(F.col("id") % 10 < 8, "hot").otherwise("cold").alias("g"), ((F.col("id") * 7907) % 2000).alias("x"))
     got = timeline.top_n_per_group(df, ["g"], [F.col("x").asc()], 25, ["x"]).collect()
