@@ -13,7 +13,8 @@ Equal sets are one node throughout. Rows of signatures are sorted, and each buck
 What is left of larger buckets matters only where it belongs to different components so far. Crowded ones are broken up: their
 sets are signed again, twice at most, with more features to a signature. The others are compared in blocks by parity sketches:
 a bit for each feature's place, flipped by each feature, so that two sets differ in at least as many features as their
-sketches in bits. Only pairs that this bound lets pass leave the task, and every pair is verified on its features.
+sketches in bits. Only pairs that this bound lets pass leave the task, of the nodes of one component a few; every pair is verified on its
+features. Where more would have passed, a round with four times as many follows among what is still apart, until none is held back.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ PLANS = [(1, 0), (3, 1), (5, 2), (7, 3)]
 #: times that sets are signed
 LEVELS = 3
 #: first nodes of a bucket that are paired with all of it
-PIVOTS = 4
+PIVOTS = 1
+#: of the nodes of one component that a node may be similar to, so many are tried in the first round
+TRIED = 4
 #: nodes that are left in a bucket before its sets are signed again; and nodes of a bucket that are compared at a time
 CROWD, BLOCK = 512, 2048
 #: rows of buckets looked at together
@@ -284,20 +287,30 @@ def _met(rows: DataFrame) -> DataFrame:
     return stored(dealt.mapInArrow(work, "sig long, a long, b long"), "met")
 
 
-def _near(columns: list, words: int, split: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one group of rows (first half, size, root, sketch) that may be similar: of the first ``split`` rows with
-    all behind them, or of all rows if ``split`` is their number."""
+def _near(columns: list, words: int, split: int, percent: int, tried: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of one group of rows (first half, size, root, sketch) that may be similar, and whether some were held back.
+
+    The first ``split`` rows meet all behind them, or all rows each other if ``split`` is their number. A row is paired with
+    ``tried`` rows of a component at most, those with the nearest sketches.
+    """
     short, size, root = (np.array(c, dtype=np.int64) for c in columns[:3])
     sketch = np.array([_folded(np.array(s, dtype=np.int64), words) for s in columns[3]]).view(np.uint64)  # bits of signed numbers are counted without sign
-    a, b = [], []
+    a, b, held_back = [], [], False
     for i in range(split):
         others = slice(i + 1 if split == len(short) else split, None)
         apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
         fits = (100 + percent) * apart <= (100 - percent) * (size[others] + size[i])
-        found = np.flatnonzero(fits & (root[others] != root[i])) + others.start
+        found = np.flatnonzero(fits & (root[others] != root[i]))
+        if len(found) > tried:
+            found = found[np.lexsort((apart[found], root[others][found]))]
+            own = root[others][found]
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            kept = np.arange(len(found)) - np.repeat(starts, np.diff(np.append(starts, len(found)))) < tried
+            held_back |= not kept.all()
+            found = found[kept]
         a.append(np.full(len(found), short[i]))
-        b.append(short[found])
-    return np.concatenate(a), np.concatenate(b)
+        b.append(short[found + others.start])
+    return np.concatenate(a), np.concatenate(b), held_back
 
 
 def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
@@ -308,8 +321,9 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-def _compared(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``a``, ``b``) of different components that share a bucket of ``rows`` (``sig, short, root``) and may be similar.
+def _compared(rows: DataFrame, nodes: DataFrame, percent: int, tried: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of different components that share a bucket of ``rows`` (``sig, short, root``) and may be similar,
+    and a row with the ``sig`` alone for buckets of which some were held back.
 
     A bucket is cut in blocks, and every two blocks meet in one group, so a task holds two blocks at a time.
     """
@@ -325,8 +339,10 @@ def _compared(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         sig, i, j = group
         split = len(held) if i == j else sum(r[0] == i for r in held)
         words = min(len(r[4]) for r in held)
-        a, b = _near([list(c) for c in zip(*(r[1:] for r in held))], words, split, percent)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        a, b, held_back = _near([list(c) for c in zip(*(r[1:] for r in held))], words, split, percent, tried)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        columns = [pa.array([None] * len(a) + [sig] * held_back, pa.int64()), *(pa.array([*x.tolist(), *[None] * held_back], pa.int64()) for x in (a, b))]
+        return pa.RecordBatch.from_arrays(columns, ["sig", "a", "b"])
 
     def work(batches):
         group, held = None, []
@@ -340,7 +356,7 @@ def _compared(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         if len(held) > 1:
             yield found(group, held)
 
-    return dealt.mapInArrow(work, "a long, b long")
+    return stored(dealt.mapInArrow(work, "sig long, a long, b long"), "compared")
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -392,10 +408,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, roots: DataFr
     return stored(alike.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")), "links")
 
 
-def _unsettled(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``sig``, ``short``, ``root`` and ``rows`` of the bucket, of what is left in buckets that hold nodes of several components."""
+def _unsettled(rest: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``sig``, ``short``, ``root`` and ``rows`` of the bucket, of those of ``rest`` in buckets that hold nodes of several components."""
     own = _rooted(nodes.select("short", "node"), roots).select("short", F.xxhash64("root").alias("root"))
-    rest = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("short")).join(own, "short")
+    rest = rest.select("sig", "short").join(own, "short")
     several = rest.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("rows")).where("x <> y")
     return stored(join_facts(rest, several.select("sig", "rows"), ["sig"], ["short"], "inner"), "unsettled")
 
@@ -432,11 +448,15 @@ def connected_sets(docs: DataFrame, nodes: DataFrame, words: int = 5, percent: i
         met = _met(_signed(texts, words, percent, level))
         edges = _verified(docs, met.where("sig IS NULL"), nodes, roots, words, percent)
         roots = stored(components(edges), "roots") if roots is None else _connected(roots, edges)
-        left = _unsettled(met, nodes, roots)
+        left = _unsettled(met.where("sig IS NOT NULL").select("sig", F.col("a").alias("short")), nodes, roots)
         crowded = left.where(F.col("rows") > CROWD)
         here = left if level == LEVELS - 1 else left.where(F.col("rows") <= CROWD)
-        edges = _verified(docs, _compared(here.select("sig", "short", "root"), nodes, percent), nodes, None, words, percent)
-        roots = _connected(roots, edges)
+        tried = TRIED
+        while here.limit(1).count():
+            pairs = _compared(here.select("sig", "short", "root"), nodes, percent, tried)
+            roots = _connected(roots, _verified(docs, pairs.where("sig IS NULL"), nodes, None, words, percent))
+            again = pairs.where("sig IS NOT NULL").select("sig").distinct()
+            here, tried = _unsettled(join_facts(here, again, ["sig"], ["short"], "inner"), nodes, roots), 4 * tried
     return roots
 
 
