@@ -76,9 +76,7 @@ def prj4(spark, sf):
     return fingerprint.fingerprint_text(docs).drop("text")
 
 
-@query(
-    "prj5_fingerprint_binary",
-    """WITH RECURSIVE step(i, w) AS (
+ORACLE_BYTES_HASH = """step(i, w) AS (
   SELECT 0, CAST(1 AS BIGINT) UNION ALL SELECT i + 1, (w * 31) % 4294967296 FROM step WHERE i < 511),
 leap(j, v) AS (
   SELECT 0, CAST(1 AS BIGINT)
@@ -88,10 +86,12 @@ bytes AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b FROM d
 units AS (SELECT doc_id, unnest(b) AS c, generate_subscripts(b, 1) AS pos, len(b) AS n FROM bytes WHERE len(b) > 0),
 parts AS (SELECT doc_id, (CAST(w AS HUGEINT) * v) % 4294967296 * CAST(concat('0x', c) AS BIGINT) AS term
           FROM units JOIN step ON i = (n - pos) % 512 JOIN leap ON j = (n - pos) // 512),
-hashed AS (SELECT doc_id, CAST(sum(term) % 4294967296 AS BIGINT) AS h FROM parts GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN h IS NULL THEN '0' ELSE CAST(CASE WHEN h > 2147483647 THEN h - 4294967296 ELSE h END AS VARCHAR) END AS content_hash
-FROM documents d LEFT JOIN hashed ON d.doc_id = hashed.doc_id""",
-)
+hashed AS (SELECT doc_id, CAST(sum(term) % 4294967296 AS BIGINT) AS h FROM parts GROUP BY doc_id),
+bytes_hash AS (SELECT d.doc_id, CASE WHEN h IS NULL THEN '0' ELSE CAST(CASE WHEN h > 2147483647 THEN h - 4294967296 ELSE h END AS VARCHAR) END AS content_hash
+FROM documents d LEFT JOIN hashed ON d.doc_id = hashed.doc_id)"""
+
+
+@query("prj5_fingerprint_binary", f"WITH RECURSIVE {ORACLE_BYTES_HASH} SELECT doc_id, content_hash FROM bytes_hash")
 def prj5(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return fingerprint.fingerprint_binary(docs).drop("content")
