@@ -55,25 +55,18 @@ def ordered_pieces(chunks: DataFrame, sessions: DataFrame, limit: int | None = N
 def assemble_files(chunks: DataFrame, sessions: DataFrame, limit: int | None = None) -> DataFrame:
     """Content of each session, or an ``error``.
 
-    Sessions are judged on counts and lengths first, and the copy of each chunk that counts is found without its
-    payload. The payloads then move once, by session. Each content is one cell; sessions too
+    Sessions are judged on counts and lengths first. The payloads of the good ones then move once, by session, are sorted by
+    position and copy, and of each position the last copy is taken in one pass. Each content is one cell; sessions too
     large for that are read by :func:`ordered_pieces`.
     """
     judged = judged_sessions(chunks, sessions, limit)
     good = judged.filter(F.col("error").isNull()).select("session_id")
-    places = (
-        _winners(chunks)
-        .join(good, "session_id", "left_semi")
-        .groupBy("session_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("chunk_index").alias("key"), F.col("_last.seq").alias("value")))).alias("_seqs"))
-    )
-    whole = (
-        chunks.join(places, "session_id")
-        .filter(F.col("seq") == F.element_at("_seqs", F.col("chunk_index")))
-        .groupBy("session_id")
-        .agg(F.array_sort(F.collect_set(F.struct("chunk_index", "payload"))).alias("_parts"))
-        .select("session_id", joined_bytes("_parts").alias("content"))
+    copy = F.struct("chunk_index", "seq", F.octet_length("payload").alias("n"), "payload")
+    sorted_copies = (
+        chunks.join(good, "session_id", "left_semi").groupBy("session_id").agg(F.array_sort(F.collect_list(copy)).alias("_all"))
     )
+    ends = F.filter("_all", lambda x, i: (i == F.size("_all") - 1) | (F.get("_all", i + 1)["chunk_index"] != x["chunk_index"]))
+    whole = sorted_copies.select("session_id", ends.alias("_parts")).select("session_id", joined_bytes("_parts").alias("content"))
     return judged.join(whole, "session_id", "left")
 
 
