@@ -266,6 +266,24 @@ def st6(spark, sf):
     return upserted(spark, feeds.log_stream(log), "merged", ["id"])
 
 
+LIFE_MS = 600_000
+_LOG_FEED = "SELECT *, ts AS ts_ms FROM fx_log"
+#: a log id that rests for the life and longer begins anew
+_LIVES = f"""b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY id ORDER BY ts, seq) >= {LIFE_MS} THEN 1 ELSE 0 END AS starts FROM fx_log),
+lived AS (SELECT * EXCLUDE (id), concat(id, '#', sum(starts) OVER (PARTITION BY id ORDER BY ts, seq)) AS id FROM b)"""
+
+
+@query(
+    "st6_final_log_stream",
+    f"WITH {_LIVES}, {MERGED.replace('FROM fx_log', 'FROM lived')} SELECT * REPLACE (string_split(id, '#')[1] AS id) FROM log",
+)
+def st6_final(spark, sf):
+    end = {"id": "end", "seq": -1}
+    log = staged(spark, fx(spark, sf, _LOG_FEED), "final-log", end, files_per_batch=2)
+    log = log.withColumn("at", F.col("ts")).withColumn("ts", F.col("ts_ms"))
+    return finished(spark, feeds.final_log(log, LIFE_MS, SHORT), "final").filter("id <> 'end'")
+
+
 @query("st7_state_stream", f"WITH {APPLY_SQL} SELECT * FROM applied")
 def st7(spark, sf):
     events = staged(spark, fx(spark, sf, "fx_events"), "state-events", files_per_batch=2)

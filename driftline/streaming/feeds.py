@@ -70,11 +70,24 @@ def shadow_stream(events: DataFrame, late: str, delay_ms: int) -> DataFrame:
 
 
 def log_stream(log_events: DataFrame) -> DataFrame:
-    """Merged log rows, kept up to date per id (update mode)."""
+    """Merged log rows, kept up to date per id (update mode). Every id stays in the state; see :func:`final_log` for feeds without end."""
     merged = log_events.groupBy("id").agg(*[c.alias(n) for n, c in merge_log_columns().items()])
     return merged.withColumn("category", log_category(F.col("action")))
 
 
+def final_log(log_events: DataFrame, life_ms: int, late: str | None = None, at: str = "at") -> DataFrame:
+    """Merged log rows that come out once, when no row of their id has come for ``life_ms`` (append mode).
+
+    The state then forgets the id, so it holds the ids of the last ``life_ms`` and ``late`` only, however long the feed. A row that
+    comes for a forgotten id opens a new entry of that id; one before the watermark is dropped. ``at`` is a
+    timestamp; without ``late`` the same is computed for a table.
+    """
+    rows = log_events if late is None else log_events.withWatermark(at, late)
+    life = F.session_window(at, f"{life_ms} milliseconds")
+    merged = rows.groupBy("id", life).agg(*[c.alias(n) for n, c in merge_log_columns().items()]).drop("session_window")
+    return merged.withColumn("category", log_category(F.col("action")))
+
+
 def watermark_stream(messages: DataFrame) -> DataFrame:
     """Highest acknowledged time per (vault, device, kind) (update mode)."""
     return messages.groupBy("vault", "device", "kind").agg(F.max("last_time").alias("last_time"))

@@ -2,12 +2,14 @@
 
 Each processor keeps small facts per key (a hash, a counter, chunk numbers), and the rows that have arrived but that event
 time has not passed yet. Rows are acted on when the watermark has passed them, in event order, so the
-result does not depend on how they fall into batches; what waits per key is bounded by the lateness. The state
+result does not depend on how they fall into batches; what waits per key is bounded by the lateness. Waiting rows are sorted
+blocks in a map by their first time, and are merged block by block, so a worker holds few of them however many wait. The state
 lives in RocksDB (see ``sinks.use_rocksdb``).
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -20,8 +22,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 SESSION_TTL_MS = 20 * 60 * 1000
 ROUND_LIMIT_MS = 30_000
 ROUND_KINDS = ("note", "file", "config", "folder")
-#: rows handed on in one frame
-FRAME_ROWS = 10_000
+#: rows handed on in one frame, and waiting rows in a block of the state
+FRAME_ROWS, BLOCK_ROWS = 10_000, 1_000
 
 
 class OrderedProcessor(StatefulProcessor):
@@ -39,8 +41,8 @@ class OrderedProcessor(StatefulProcessor):
         self.handle = handle
         self.columns = [c.split()[0] for c in self.ROW.split(", ")]
         self.whole = [c.endswith(" long") for c in self.ROW.split(", ")]
-        self.arrived = handle.getListState("arrived", self.ROW)
-        self.timer = handle.getValueState("timer", "at long")
+        self.waits = handle.getMapState("waits", "head_ms long, serial long", "rows string")
+        self.timer = handle.getValueState("timer", "at long, serial long")
         self.start(handle)
 
     def start(self, handle: StatefulProcessorHandle) -> None:
@@ -56,42 +58,63 @@ class OrderedProcessor(StatefulProcessor):
         """When something runs out next."""
         return None
 
-    def _wake(self, at: int) -> None:
-        old = self.timer.get()[0] if self.timer.exists() else None
-        if old is not None and old <= at:
-            return
-        if old is not None:
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
-        self.timer.update((at,))
+    def _wake(self, at: int | None, serial: int, old: int | None) -> None:
+        """Be called when event time has passed ``at``; ``old`` is the time that is set now."""
+        if at is not None and old != at and (old is None or at < old):
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+            old = at
+        self.timer.update((old, serial))
+
+    def _keep(self, rows: list[tuple], serial: int) -> int:
+        """Store sorted rows in blocks; gives the next serial number."""
+        for at in range(0, len(rows), BLOCK_ROWS):
+            block = rows[at : at + BLOCK_ROWS]
+            self.waits.updateValue((block[0][0], serial), (json.dumps(block),))
+            serial += 1
+        return serial
 
     def _value(self, v, whole: bool):
         return None if v is None or v != v else int(v) if whole else v
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old, serial = self.timer.get() if self.timer.exists() else (None, 0)
         first = None
         for frame in rows:
             kept = zip(*(frame[c].tolist() for c in self.columns))
-            self.arrived.appendList([tuple(self._value(v, w) for v, w in zip(r, self.whole)) for r in kept])
-            low = int(frame["ts_ms"].min())
-            first = low if first is None else min(first, low)
+            ordered = sorted((tuple(self._value(v, w) for v, w in zip(r, self.whole)) for r in kept), key=lambda r: r[: self.ORDER])
+            serial = self._keep(ordered, serial)
+            first = ordered[0][0] if first is None else min(first, ordered[0][0])
         if first is not None:
-            self._wake(first)
+            self._wake(first, serial, old)
         return iter(())
 
+    def _due(self, now: int, left: list[tuple]) -> Iterator[tuple]:
+        """Rows up to ``now`` in order. Blocks are opened when their first time is reached and go when they are used up;
+        what comes later of an opened one is added to ``left``."""
+        keys = sorted(tuple(k) for k in self.waits.keys() if k[0] <= now)[::-1]
+        heap: list[tuple] = []
+        while keys or heap:
+            while keys and (not heap or keys[-1][0] <= heap[0][0][0]):
+                key = keys.pop()
+                block = [tuple(r) for r in json.loads(self.waits.getValue(key)[0])]
+                self.waits.removeKey(key)
+                heapq.heappush(heap, (block[0][: self.ORDER], key[1], 0, block))
+            _, serial, at, block = heapq.heappop(heap)
+            if block[at][0] > now:
+                left.append(block[at:])
+                continue
+            if at + 1 < len(block):
+                heapq.heappush(heap, (block[at + 1][: self.ORDER], serial, at + 1, block))
+            yield block[at]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        self.timer.clear()
-        ready, later = [], []
-        for r in self.arrived.get() if self.arrived.exists() else ():
-            (ready if r[0] <= now else later).append(tuple(r))
-        if later:
-            self.arrived.put(later)
-        else:
-            self.arrived.clear()
-        ready.sort(key=lambda r: r[: self.ORDER])
+        serial = self.timer.get()[1] if self.timer.exists() else 0
         out: list[tuple] = []
-        for r in ready:
+        left: list[tuple] = []
+        for r in self._due(now, left):
             self.step(key, dict(zip(self.columns, r)), out)
             if len(out) >= FRAME_ROWS:
                 yield pd.DataFrame(out, columns=self.OUT)
@@ -99,11 +122,12 @@ class OrderedProcessor(StatefulProcessor):
         self.elapse(key, now, out)
         if out:
             yield pd.DataFrame(out, columns=self.OUT)
-        ends = [r[0] for r in later]
+        for block in left:
+            serial = self._keep(block, serial)
+        ends = [k[0] for k in self.waits.keys()]
         if (end := self.deadline()) is not None:
             ends.append(end)
-        if ends:
-            self._wake(min(ends))
+        self._wake(min(ends, default=None), serial, None)
 
     def close(self) -> None:
         pass

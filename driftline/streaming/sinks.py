@@ -50,29 +50,50 @@ def _folders(spark: SparkSession, path: str, name: str) -> dict[int, str]:
     return {int(p.getName().split("=")[1]): p.toString() for p in found}
 
 
-def fold_state_changes(spark: SparkSession, path: str, upto: int) -> None:
-    """Fold the changes of all batches up to ``upto`` (and an earlier fold) to the last per path, then drop those batches.
+def _status(spark: SparkSession, path: str, name: str = ""):
+    """File system, path and status of a file, status null if it is not there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}" if name else path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, where, fs.getFileStatus(where) if fs.exists(where) else None
+
+
+def _whole_folds(spark: SparkSession, path: str) -> dict[int, tuple[str, int]]:
+    """Folds that are written to their end, with the time of that."""
+    found = {n: (p, _status(spark, p, "_SUCCESS")[2]) for n, p in _folders(spark, f"{path}-folds", "upto").items()}
+    return {n: (p, mark.getModificationTime()) for n, (p, mark) in found.items() if mark is not None}
+
+
+def fold_state_changes(spark: SparkSession, path: str, upto: int, grace_ms: int = 0) -> None:
+    """Fold the changes of all batches up to ``upto`` (and an earlier fold) to the last per path, then drop what no reader holds.
 
     Batches after ``upto`` may be written meanwhile. Until the fold is whole, readers take the batches; then
-    they take the fold, whether or not the folded batches are gone already.
+    they take the fold, whether or not the folded batches are gone already. A fold that is there is not written again, so
+    its readers are safe from a repeated call. With a grace, files that a fold replaced stay for readers that began before it.
     """
-    read_state_changes(spark, path, upto).write.mode("overwrite").parquet(f"{path}-folds/upto={upto}")
-    fs_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    old = [p for n, p in _folders(spark, f"{path}-folds", "upto").items() if n < upto]
-    for p in [*old, *(p for n, p in _folders(spark, path, "batch").items() if n <= upto)]:
-        fs_of(p).getFileSystem(conf).delete(fs_of(p), True)
+    if upto not in _whole_folds(spark, path):
+        read_state_changes(spark, path, upto).write.mode("overwrite").parquet(f"{path}-folds/upto={upto}")
+    drop_folded(spark, path, grace_ms)
+
+
+def drop_folded(spark: SparkSession, path: str, grace_ms: int = 0) -> None:
+    """Drop batches and folds that a later fold holds, if that fold has been whole for ``grace_ms``."""
+    now = spark.sparkContext._jvm.java.lang.System.currentTimeMillis()
+    settled = [n for n, (_, at) in _whole_folds(spark, path).items() if at <= now - grace_ms]
+    last = max(settled, default=-1)
+    old = [p for n, p in _folders(spark, f"{path}-folds", "upto").items() if n < last]
+    for p in [*old, *(p for n, p in _folders(spark, path, "batch").items() if n <= last)]:
+        fs, where, _ = _status(spark, p)
+        fs.delete(where, True)
 
 
 def read_state_changes(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    """The last whole fold and the batches after it, up to ``upto`` or all."""
-    from driftline.operators.state import fold_again
+    """The last whole fold and the batches after it, up to ``upto`` or all.
 
-    def whole(p: str) -> bool:
-        mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
-        return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+    The table is the version of this call: which files it reads is settled here, so later batches and folds do not change it.
+    """
+    from driftline.operators.state import fold_again
 
-    folds = {n: p for n, p in _folders(spark, f"{path}-folds", "upto").items() if (upto is None or n <= upto) and whole(p)}
+    folds = {n: p for n, (p, _) in _whole_folds(spark, path).items() if upto is None or n <= upto}
     last = max(folds, default=-1)
     paths = [p for n, p in _folders(spark, path, "batch").items() if n > last and (upto is None or n <= upto)]
     return fold_again(spark.read.parquet(*([folds[last]] if folds else []), *paths))
