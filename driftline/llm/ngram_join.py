@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import short_batches, slices, stored, text_bytes
+from driftline.llm.common import parts_of, short_batches, slices, stored, text_bytes
 from driftline.llm.components import components
 from driftline.operators.skew import join_facts
 
@@ -44,7 +44,9 @@ LEVELS = 3
 #: first nodes of a bucket that are paired with all of it
 PIVOTS = 1
 #: of the nodes of one component that a node may be similar to, so many are tried in the first round
-TRIED = 4
+TRIED = 16
+#: links whose components one task finds; more are contracted over all tasks
+LINKS = 100_000
 #: nodes that are left in a bucket before its sets are signed again; and nodes of a bucket that are compared at a time
 CROWD, BLOCK = 512, 2048
 #: rows of buckets looked at together
@@ -333,7 +335,7 @@ def _compared(rows: DataFrame, nodes: DataFrame, percent: int, tried: int) -> Da
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     dealt = placed.withColumn("own", own).withColumn("_g", F.explode(every)).select("sig", "_g.i", "_g.j", "own", "short", "root")
     dealt = dealt.join(nodes.select("short", "n", "sketch"), "short")
-    dealt = dealt.select("sig", "i", "j", "own", "short", "n", "root", "sketch").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "own", "short")
+    dealt = dealt.select("sig", "i", "j", "own", "short", "n", "root", "sketch").repartition(parts_of(rows.sparkSession), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "own", "short")
 
     def found(group, held):
         sig, i, j = group
@@ -422,10 +424,35 @@ def _rooted(df: DataFrame, roots: DataFrame, node: str = "node", root: str = "ro
     return df.join(known, df[node] == known["__n"], "left").withColumn(root, F.coalesce("__c", node)).drop("__n", "__c")
 
 
+def _components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``component`` of edges that are stored, as ``components`` gives them; a few links need no rounds over the cluster."""
+    if edges.count() > LINKS:
+        return components(edges)
+
+    def work(batches):
+        parent: dict[bytes, bytes] = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = sorted((find(u), find(v)))
+                parent[b] = a
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([find(x) for x in nodes], pa.binary())], ["node", "component"])
+
+    return edges.where("u <> v").select("u", "v").repartition(1).mapInArrow(work, "node binary, component binary")
+
+
 def _connected(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Components after more edges: only components that these connect are merged."""
     ends = _rooted(_rooted(edges, roots, "u", "a"), roots, "v", "b")
-    merged = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    ends = stored(ends.select(F.col("a").alias("u"), F.col("b").alias("v")), "ends")
+    merged = stored(_components(ends), "merged").select(F.col("node").alias("old"), F.col("component").alias("new"))
     moved = roots.join(merged, roots.component == merged.old, "left").select("node", F.coalesce("new", "component").alias("component"))
     first = merged.join(roots, merged.old == roots.node, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
     return stored(moved.unionByName(first), "roots")
@@ -441,18 +468,18 @@ def connected_sets(docs: DataFrame, nodes: DataFrame, words: int = 5, percent: i
     for level in range(LEVELS):
         if level == 0:
             texts = docs.select(text_bytes())
-        elif crowded.limit(1).count():
+        elif not crowded.isEmpty():
             texts = _of_texts(docs, crowded.select("short").distinct().join(nodes, "short").select("th"))
         else:
             break
         met = _met(_signed(texts, words, percent, level))
         edges = _verified(docs, met.where("sig IS NULL"), nodes, roots, words, percent)
-        roots = stored(components(edges), "roots") if roots is None else _connected(roots, edges)
+        roots = stored(_components(edges), "roots") if roots is None else _connected(roots, edges)
         left = _unsettled(met.where("sig IS NOT NULL").select("sig", F.col("a").alias("short")), nodes, roots)
         crowded = left.where(F.col("rows") > CROWD)
         here = left if level == LEVELS - 1 else left.where(F.col("rows") <= CROWD)
         tried = TRIED
-        while here.limit(1).count():
+        while not here.isEmpty():
             pairs = _compared(here.select("sig", "short", "root"), nodes, percent, tried)
             roots = _connected(roots, _verified(docs, pairs.where("sig IS NULL"), nodes, None, words, percent))
             again = pairs.where("sig IS NOT NULL").select("sig").distinct()
