@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftline.functions.paths import parent_of
 from driftline.plans.fixtures import fx
 from driftline.plans.reg_functions import PATH_HASH, SIGNED
-from driftline.plans.reg_joins import _PATH_ACKS, _RENAME_ACKS, _RENAMES, _SENT, APPLY_SQL, ECHO_SQL
+from driftline.plans.reg_joins import _BEFORE, _PATH_ACKS, _RENAME_ACKS, _RENAMES, _SENT, APPLY_SQL, ECHO_SQL
 from driftline.plans.reg_views import _MARK_EVENTS, DEBOUNCE_SQL, DELAY_MS, FEED, MERGED, SHADOW_SQL, arrived
 from driftline.plans.registry import RAW, query
 from driftline.session import scratch_path
@@ -124,6 +124,17 @@ def src6(spark, sf):
     return finished(spark, stream, "read").select("event_id", "vault", "path", "op", "old_path", "content_hash", "ts_ms")
 
 
+@query("st2_settle_stream", f"WITH {_BEFORE} SELECT vault, path, event_id, ts_ms, op, effect, hash FROM f")
+def st2_settle(spark, sf):
+    sinks.use_rocksdb(spark)
+    feed = {
+        "sent": (_SENT, {**END, "path": "s"}), "acks": (_PATH_ACKS, {**END, "path": "a"}), "pushes": ("fx_pushes", {**END, "path": "p"}),
+    }
+    sent, acks, pushes = (staged(spark, fx(spark, sf, sql), name, end, files_per_batch=2) for name, (sql, end) in feed.items())
+    rows = finished(spark, processors.ack_stream(sent, acks, SHORT, FAR_MS // 2, pushes), "settled")
+    return rows.filter("vault <> 'end' AND effect <> 'timeout'").drop("device")
+
+
 @query("st1_debounce_stream", f"WITH {DEBOUNCE_SQL} SELECT * FROM settled")
 def st1(spark, sf):
     events = staged(spark, fx(spark, sf, "fx_events"), "debounce", END, files_per_batch=2)

@@ -160,35 +160,53 @@ class AckProcessor(OrderedProcessor):
 
     def step(self, key, row, out) -> None:
         self.elapse(key, row["ts_ms"] - 1, out)
-        op = "delete" if row["op"] == "delete" else "modify"
+        op = row["op"] if row["role"] == 1 else "delete" if row["op"] == "delete" else "modify"
         if row["role"] == 0:
             self.waiting.update((op, row["hash"], row["event_id"], row["ts_ms"]))
             return
-        kept = self.waiting.get() if self.waiting.exists() else None
-        hit = kept is not None and kept[0] == op
-        effect = ("put" if op == "modify" else "remove") if hit else "none"
-        out.append((*key, row["event_id"], row["ts_ms"], op, effect, kept[1] if effect == "put" else None))
-        if hit:
+        kept = tuple(self.waiting.get()) if self.waiting.exists() else (None, None)
+        if row["role"] == 1:
+            effect, h, ends = self._pushed(op, row["hash"], kept)
+        else:
+            ends = kept[0] == op
+            effect = ("put" if op == "modify" else "remove") if ends else "none"
+            h = kept[1] if effect == "put" else None
+        out.append((*key, row["event_id"], row["ts_ms"], op, effect, h))
+        if ends and kept[0] is not None:
             self.waiting.clear()
 
+    @staticmethod
+    def _pushed(op: str, pushed: str | None, kept: tuple) -> tuple[str, str | None, bool]:
+        """Effect and hash of a push, and whether what waits ends with it (see ``operators.acks.settle``)."""
+        if op == "modify":
+            return "put", pushed, True
+        if op == "mtime":
+            return ("put", kept[1], True) if kept[0] == "modify" else ("none", None, False)
+        if op == "delete":
+            return "remove", None, kept[0] == "modify"
+        return "none", None, op == "update" and kept[0] == "delete"
+
 
 def _two_feeds(first: DataFrame, second: DataFrame, late: str) -> DataFrame:
     """Both feeds with a watermark each, so the slower one counts."""
     return first.withWatermark("ts", late).unionByName(second.withWatermark("ts", late))
 
 
-def ack_stream(sent: DataFrame, acks: DataFrame, late: str, timeout_ms: int) -> DataFrame:
-    """Effect of each path acknowledgement; what is not acknowledged within ``timeout_ms`` comes out as ``timeout``.
+def ack_stream(sent: DataFrame, acks: DataFrame, late: str, timeout_ms: int, pushes: DataFrame | None = None) -> DataFrame:
+    """Effect of each path acknowledgement, and of each push of the server; what is not answered within ``timeout_ms`` comes out as ``timeout``.
 
     A path waits for one thing at a time: a newer send replaces the older one, as content cancels a
-    waiting delete and a delete drops waiting content.
+    waiting delete and a delete drops waiting content. ``pushes`` do what they do in ``operators.acks.settle``.
     """
     columns = ["vault", "device", "path", "event_id", "ts_ms", "ts", "op"]
-    s = sent.select(*columns, "hash", F.lit(0).cast("long").alias("role"))
-    a = acks.select(*columns, F.lit(None).cast("string").alias("hash"), F.lit(1).cast("long").alias("role"))
-    return _two_feeds(s, a, late).groupBy("vault", "device", "path").transformWithStateInPandas(
-        AckProcessor(timeout_ms), ACK_SCHEMA, "Append", "EventTime"
-    )
+
+    def role(df: DataFrame, n: int, hashed: bool) -> DataFrame:
+        return df.select(*columns, "hash" if hashed else F.lit(None).cast("string").alias("hash"), F.lit(n).cast("long").alias("role"))
+
+    rows = _two_feeds(role(sent, 0, True), role(acks, 2, False), late)
+    if pushes is not None:
+        rows = rows.unionByName(role(pushes, 1, True).withWatermark("ts", late))
+    return rows.groupBy("vault", "device", "path").transformWithStateInPandas(AckProcessor(timeout_ms), ACK_SCHEMA, "Append", "EventTime")
 
 
 RENAME_SCHEMA = (

@@ -381,3 +381,29 @@ def test_round_sees_what_is_new_and_what_is_there(spark):
     base = spark.createDataFrame([("v", "d", "mine.md", "h", 1, 2)], BASE)
     done = sync_round.run(listing, content, base, server, RuleBook(folders=(Rule("skip"),)), watermarks=marks)
     assert {r.path: r.outcome for r in done.decisions.collect()} == {"new.md": "Modify", "mine.md": "None"}
+
+
+def test_incremental_round_with_config_and_folders(spark):
+    """Config files go by their own rules; what is gone is reported as missing; only what changed since the watermark is sent."""
+    from driftline.operators.rules import Rule
+
+    rows = [
+        listing_row("old.md", None, 5), listing_row("new.md", None, 50), listing_row("skip/a.md", None, 60),
+        listing_row(".conf/app.json", None, 50, "config"), listing_row(".conf/notes.txt", None, 50, "config"),
+        listing_row(".conf/plugins/p/main.js", None, 50, "config"), listing_row(".conf/plugins/q/main.js", None, 50, "config"), listing_row("sub", None, 0, "folder"),
+    ]
+    listing = spark.createDataFrame(rows, LISTING)
+    content = listing.select("vault", "device", "path", F.lit("x").alias("text"))
+    base = spark.createDataFrame([("v", "d", p, "h", 5, 1) for p in ("old.md", "gone.md", "skip/gone.md", ".conf/gone.json", ".conf/plugins/q/gone.js")], BASE)
+    server = spark.createDataFrame([], "vault string, kind string, path string, content_hash string, mtime long, ctime long, size long, is_deleted boolean, last_time long")
+    marks = spark.createDataFrame([("v", "d", "note", 10)], "vault string, device string, kind string, last_time long")
+    known = spark.createDataFrame([("v", "d", p) for p in ("sub", "lost", "skip/lost")], "vault string, device string, path string")
+    scope = sync_round.ConfigScope(".conf", book=RuleBook(folders=(Rule(".conf/plugins/q"),)))
+    book = RuleBook(folders=(Rule("skip"),))
+    done = sync_round.run(listing, content, base, server, book, watermarks=marks, incremental=True, folder_state=known, config=scope)
+    assert {r.path for r in done.manifest.collect()} == {"new.md", ".conf/app.json", ".conf/plugins/p/main.js"}
+    assert {(r.kind, r.path) for r in done.missing.collect()} == {("note", "gone.md"), ("config", ".conf/gone.json")}
+    assert {(r.path, r.change) for r in done.folders.collect()} == {("lost", "missing")} and done.deleted.collect() == []
+    assert {r.path: r.outcome for r in done.decisions.collect()} == dict.fromkeys(["new.md", ".conf/app.json", ".conf/plugins/p/main.js"], "NeedPush")
+    full = sync_round.run(listing, content, base, server, book, offline_delete=True, config=scope)
+    assert {r.path for r in full.deleted.collect()} == {"gone.md", ".conf/gone.json"} and full.folders is None and full.missing.collect() == []

@@ -200,6 +200,53 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
         assert [p.name for p in (tmp_path / "state-folds").iterdir()] == [f"upto={upto}"]
 
 
+def test_readers_keep_their_version_of_the_state(spark, tmp_path):
+    """With a grace, a reader from before a fold reads on after it; a repeated fold writes nothing."""
+    feed = Feed(spark, tmp_path, "ev", random_events(random.Random(5), 60, 3), EVENTS, 3)
+    out = str(tmp_path / "state")
+    sinks.write_state_changes(feed.stream(), out, out + "-check").awaitTermination()
+    before = sinks.read_state_changes(spark, out)
+    sinks.fold_state_changes(spark, out, 1, grace_ms=3_600_000)
+    fold = tmp_path / "state-folds" / "upto=1"
+    written = sorted((p.name, p.stat().st_mtime_ns) for p in fold.iterdir())
+    first = sorted(map(str, before.collect()))
+    assert first and sorted(map(str, sinks.read_state_changes(spark, out).collect())) == first
+    sinks.fold_state_changes(spark, out, 1, grace_ms=3_600_000)
+    assert sorted((p.name, p.stat().st_mtime_ns) for p in fold.iterdir()) == written and len(list((tmp_path / "state").glob("batch=*"))) == 3
+    sinks.drop_folded(spark, out)
+    assert [p.name for p in (tmp_path / "state").glob("batch=*")] == ["batch=2"]
+    assert sorted(map(str, sinks.read_state_changes(spark, out).collect())) == first
+
+
+def test_log_ids_have_a_life(spark, tmp_path):
+    """Entries come out once and are forgotten: the state holds few ids of a long feed; a row after that begins anew."""
+    schema = "seq long, id string, at timestamp, ts long, type string, action string, path string, status string, progress int, message string, vault string"
+    rows = []
+    for i in range(400):
+        for k, status in enumerate(("pending", "success")):
+            t = i * 60_000 + k * 1000
+            rows.append((2 * i + k, f"s{i}", t, "send", status))
+    rows.append((900, "s0", 400 * 60_000, "receive", "pending"))
+    rows.append((999, "end", 10**9, "send", "pending"))
+    table = spark.createDataFrame([(q, i, t, k, s) for q, i, t, k, s in rows], "seq long, id string, ts long, type string, status string")
+    full = table.select(
+        "seq", "id", F.timestamp_millis("ts").alias("at"), "ts", "type", F.lit("NoteModify").alias("action"), F.lit(None).cast("string").alias("path"), "status",
+        F.lit(None).cast("int").alias("progress"), F.lit(None).cast("string").alias("message"), F.lit("v").alias("vault"),
+    )
+    source, out = str(tmp_path / "log"), str(tmp_path / "out")
+    full.orderBy("seq").coalesce(1).write.option("maxRecordsPerFile", 50).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
+    query = sinks.write_append(feeds.final_log(stream, 30_000, "10 seconds"), out, out + "-check")
+    query.awaitTermination()
+    got = sorted((r.id, r.status, r.first_seq) for r in spark.read.parquet(out).collect())
+    want = sorted([(f"s{i}", "success", 2 * i) for i in range(400)] + [("s0", "pending", 900)])
+    assert got == want
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(kept) < 120
+    batch = feeds.final_log(full, 30_000).filter("id <> 'end'").collect()
+    assert sorted((r.id, r.status, r.first_seq) for r in batch) == want
+
+
 @pytest.mark.parametrize("batches", [1, 3])
 def test_state_stream_finds_hashes_that_events_lack(spark, tmp_path, batches):
     """A rename and a change of time without a hash, in any batch, as ``apply_events`` has them."""
