@@ -178,8 +178,8 @@ def _short(node: bytes) -> int:
 
 
 def parity(features: np.ndarray) -> np.ndarray:
-    """Sketch of a set, about a bit for each feature: bits at the features' places, each flipped once by each."""
-    bits = max(64, 1 << (len(features) - 1).bit_length())
+    """Sketch of a set, four to eight bits for each feature, so few flips meet: bits at the features' places, flipped once by each."""
+    bits = max(64, 1 << (4 * len(features) - 1).bit_length())
     odd = np.bincount((features & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
