@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftline.functions.messages import log_category
-from driftline.operators import filters, rules
+from driftline.operators import filters, rules, vault_rules
 from driftline.plans.fixtures import fx
 from driftline.plans.reg_functions import FIELDS, PATH_HASH, SIGNED, TEXT_HASH, decoded
 from driftline.plans.registry import query
@@ -293,3 +293,24 @@ FROM (SELECT * FROM h ORDER BY vault, path LIMIT 20 OFFSET 20) p, t""",
 def src11(spark, sf):
     page = listings.list_entries(fx(spark, sf, "fx_server"), "note", 2, 20, keyword="/EN/")
     return page.select("vault", "path", "mtime", "total_rows", "total_pages")
+
+
+_VAULT_RULES = """SELECT DISTINCT vault, 'folder' AS scope, concat(source, '/', lang) AS pattern, false AS case_sensitive FROM fx_paths WHERE lang = 'de' AND vault = 'vault0'
+UNION ALL SELECT DISTINCT vault, 'folder', concat(upper(source), '/'), vault = 'vault1' FROM fx_paths WHERE source LIKE '%2'
+UNION ALL SELECT DISTINCT vault, 'folder', concat(source, '[01]'), false FROM fx_paths WHERE vault = 'vault2'
+UNION ALL SELECT DISTINCT vault, 'extension', CASE vault WHEN 'vault1' THEN 'PDF' ELSE '.json' END, false FROM fx_paths WHERE vault <> 'vault2'
+UNION ALL SELECT DISTINCT vault, 'whitelist', concat(source, '/', lang, '/1'), true FROM fx_paths WHERE vault <> 'vault1' AND lang <> 'en'"""
+
+
+@query(
+    "flt3_by_vault",
+    f"""WITH v AS ({_VAULT_RULES}),
+x AS (SELECT p.vault, p.path, v.scope FROM (SELECT DISTINCT vault, path FROM fx_paths) p JOIN v ON v.vault = p.vault AND CASE WHEN v.scope = 'extension'
+    THEN lower(regexp_extract(p.path, '\\.[^.]*$')) = concat('.', ltrim(lower(v.pattern), '.'))
+  ELSE regexp_matches(p.path, concat(CASE WHEN v.case_sensitive THEN '' ELSE '(?i)' END, '^', v.pattern))
+    OR starts_with(CASE WHEN v.case_sensitive THEN concat(p.path, '/') ELSE lower(concat(p.path, '/')) END, concat(rtrim(CASE WHEN v.case_sensitive THEN v.pattern ELSE lower(v.pattern) END, '/'), '/')) END)
+SELECT p.vault, p.path FROM fx_paths p WHERE EXISTS (SELECT 1 FROM x WHERE x.vault = p.vault AND x.path = p.path AND x.scope = 'whitelist')
+  OR NOT EXISTS (SELECT 1 FROM x WHERE x.vault = p.vault AND x.path = p.path)""",
+)
+def flt3_by_vault(spark, sf):
+    return vault_rules.exclude_by_vault(fx(spark, sf, "fx_paths").select("vault", "path"), fx(spark, sf, _VAULT_RULES))
