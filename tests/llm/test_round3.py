@@ -253,7 +253,6 @@ def test_join_in_blocks_and_levels(spark, monkeypatch):
     """Small blocks and crowds, so that buckets are cut and sets are signed three times."""
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
     monkeypatch.setattr(ngram_join, "CROWD", 12)
-    monkeypatch.setattr(ngram_join, "TRIED", 1)
     rows = list(enumerate(near_texts(random.Random(4), 60)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df).collect()}
