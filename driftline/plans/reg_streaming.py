@@ -15,7 +15,7 @@ from driftline.plans.reg_functions import PATH_HASH, SIGNED
 from driftline.plans.reg_joins import _BEFORE, _PATH_ACKS, _RENAME_ACKS, _RENAMES, _SENT, APPLY_SQL, ECHO_SQL
 from driftline.plans.reg_views import _MARK_EVENTS, DEBOUNCE_SQL, DELAY_MS, FEED, MERGED, SHADOW_SQL, arrived
 from driftline.plans.registry import RAW, query
-from driftline.session import scratch_path
+from driftline.session import scratch_path, with_scheme
 from driftline.sources.changes import read_changes
 from driftline.sources.listing import vault_scan
 from driftline.streaming import feeds, processors, sinks
@@ -76,7 +76,7 @@ END = {"vault": "end", "device": "end", "path": "end", "op": "modify", "event_id
 UNION ALL SELECT 'folder', folder, NULL FROM (SELECT DISTINCT concat('source=', source) AS folder FROM documents UNION SELECT DISTINCT concat('source=', source, '/lang=', lang) FROM documents) f""",
 )
 def src1(spark, sf):
-    root = scratch_path(spark, "vault")
+    root = with_scheme(spark, scratch_path(spark, "vault"))
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("source", "lang", "text")
     docs.write.partitionBy("source", "lang").text(root)
     own = F.col("path").rlike(r"(^|/)(_SUCCESS|\.[^/]*\.crc)$")  # marks of the writer, no files of the vault
@@ -113,7 +113,7 @@ h AS (SELECT *, {PATH_HASH.format("path")} AS h FROM f)
 SELECT kind, path, {SIGNED} AS path_hash, size FROM h""",
 )
 def src1_rows(spark, sf):
-    root = scratch_path(spark, "vault")
+    root = with_scheme(spark, scratch_path(spark, "vault"))
     fx(spark, sf, "fx_paths").select("path", "text").mapInArrow(_put_files(root), "path string").write.format("noop").mode("overwrite").save()
     return vault_scan(spark, root, "v", "d").select("kind", "path", "path_hash", "size")
 

@@ -49,6 +49,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/driftline-{label}-{uuid.uuid4().hex}"
 
 
+def with_scheme(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system that Spark finds it on."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
