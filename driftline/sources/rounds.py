@@ -13,6 +13,8 @@ REQUESTS = {
     "FolderSync": ("folder", "folders", "delFolders", "missingFolders"),
 }
 STATES = ("present", "deleted", "missing")
+#: items in a message
+MESSAGE_ITEMS = 10_000
 ITEM = "struct<path string, pathHash string, contentHash string, mtime long, ctime long, size long>"
 TASK = (
     "struct<path string, pathHash string, content string, contentHash string, ctime long, mtime long, size long,"
@@ -46,22 +48,39 @@ def request_items(messages: DataFrame) -> DataFrame:
         return F.transform(found, lambda i: F.struct(F.lit(state).alias("state"), i.alias("i")))
 
     parts = [stated(name, state) for _, *names in REQUESTS.values() for state, name in zip(STATES, names)]
-    return asked.select("seq", _kind(F.col("action")).alias("kind"), "_r", F.explode(F.concat(*parts)).alias("_i")).select(
-        "seq", "kind", F.col("_r.vault").alias("vault"), F.col("_r.lastTime").alias("last_time"), F.col("_r.context").alias("context"),
-        "_i.state", F.col("_i.i.path").alias("path"), F.col("_i.i.pathHash").alias("path_hash"),
+    facts = ["seq", "kind", "vault", "last_time", "context"]
+    # the facts stand beside the list before it is taken apart, so that no item carries its whole message
+    found = asked.select(
+        "seq", _kind(F.col("action")).alias("kind"), F.col("_r.vault").alias("vault"), F.col("_r.lastTime").alias("last_time"),
+        F.col("_r.context").alias("context"), F.concat(*parts).alias("_l"),
+    )
+    return found.select(*facts, F.explode("_l").alias("_i")).select(
+        *facts, "_i.state", F.col("_i.i.path").alias("path"), F.col("_i.i.pathHash").alias("path_hash"),
         F.col("_i.i.contentHash").alias("content_hash"), F.col("_i.i.mtime").alias("mtime"), F.col("_i.i.ctime").alias("ctime"), F.col("_i.i.size").alias("size"),
     )
 
 
-def encode_requests(items: DataFrame) -> DataFrame:
+def _parted(items: DataFrame, key: list[str], most: int) -> DataFrame:
+    """Items with a ``part`` of their request; parts hold about ``most`` items, copies of an item share one."""
+    counts = items.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in key], "_n")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    part = F.pmod(F.xxhash64(*[c for c in items.columns if c not in key]), F.ceil(F.col("_n") / most).cast("long"))
+    return items.join(counts, same).select(*items.columns, part.alias("part"))
+
+
+def encode_requests(items: DataFrame, most: int = MESSAGE_ITEMS) -> DataFrame:
     """Requests (``action``, ``body``, ``raw``) of items (columns as :func:`request_items` gives them, but ``seq`` names the request).
 
-    A request holds the items of one ``seq``, so number them first (``windows.cap_per_kind``).
+    A request holds the items of one ``seq``, so number them first (``windows.cap_per_kind``). One of more than ``most`` items
+    goes out in several messages of that ``seq`` with about so many items each, so no message grows with the table.
     """
+    key = ["seq", "kind", "vault", "last_time", "context"]
     item = F.struct(
         "path", F.col("path_hash").alias("pathHash"), F.col("content_hash").alias("contentHash"), "mtime", "ctime", "size"
     )
-    grouped = items.groupBy("seq", "kind", "vault", "last_time", "context").agg(
+    grouped = _parted(items, key, most).groupBy(*key, "part").agg(
         *[F.array_sort(F.collect_list(F.when(F.col("state") == s, item))).alias(s) for s in STATES]
     )
     body, action = F.lit(None).cast("string"), F.lit(None).cast("string")
