@@ -54,30 +54,34 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-@lru_cache(maxsize=1)
-def classes() -> tuple[str, str]:
-    """Inner parts of character classes for letters and for numbers, from the Unicode categories."""
-    ranges: dict[str, list[list[int]]] = {"L": [], "N": []}
-    for c in range(sys.maxunicode + 1):
-        kind = ranges.get(unicodedata.category(chr(c))[0])
+#: bounds of characters for which there are patterns: all, those of two bytes in UTF-16, those of Latin-1
+ALL, BASIC, LATIN = sys.maxunicode + 1, 1 << 16, 1 << 8
+#: characters that are white space to the tokenizer
+WHITE = {*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+
+
+@lru_cache(maxsize=3)
+def classes(below: int = ALL) -> dict[str, str]:
+    """Inner parts of classes for letters (L), numbers (N) and white space (S), of the characters under ``below``."""
+    ranges: dict[str, list[list[int]]] = {"L": [], "N": [], "S": []}
+    for c in range(below):
+        category = unicodedata.category(chr(c))
+        kind = ranges.get("S" if c in WHITE else category[0] if category[0] in "LN" else "")
         if kind is not None:
             if kind and kind[-1][1] == c - 1:
                 kind[-1][1] = c
             else:
                 kind.append([c, c])
-    return tuple("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges[k]) for k in "LN")
+    return {k: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in r) for k, r in ranges.items()}
 
 
-@lru_cache(maxsize=1)
-def patterns() -> dict[str, re.Pattern]:
-    """The pre-token pattern, and one pattern per class of characters that can make a long pre-token."""
-    letters, numbers = classes()
-    space = r"\t-\r \x85\xa0  -     　"
+@lru_cache(maxsize=3)
+def patterns(below: int = ALL) -> dict[str, re.Pattern]:
+    """The pre-token pattern, and one pattern per class of characters that can make a long pre-token, for texts of characters under ``below``."""
+    letters, numbers, space = (classes(below)[k] for k in "LNS")
     word, digits, rest = f"[{letters}]+", f"[{numbers}]+", f"[^{space}{letters}{numbers}]+"
-    return {
-        "piece": re.compile(
-            f"'s|'t|'re|'ve|'m|'ll|'d| ?{word}| ?{digits}| ?{rest}|[{space}]+(?![^{space}])|[{space}]+"
-        ),
+    return {  # words come first, as no other alternative starts like them
+        "piece": re.compile(f" ?{word}|'s|'t|'re|'ve|'m|'ll|'d| ?{digits}| ?{rest}|[{space}]+(?![^{space}])|[{space}]+"),
         "word": re.compile(word),
         "digits": re.compile(digits),
         "rest": re.compile(rest),
@@ -85,6 +89,15 @@ def patterns() -> dict[str, re.Pattern]:
     }
 
 
+def _below(text: str) -> int:
+    """The least bound of ``patterns`` that holds for a text."""
+    try:
+        text.isascii() or text.encode("latin-1")
+        return LATIN
+    except UnicodeEncodeError:
+        return BASIC if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else ALL
+
+
 #: a blank with a visible character on both sides: always a boundary of pre-tokens, and it opens the next one
 SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -274,7 +287,11 @@ class Pieces(dict):
 
     def __init__(self, table: MergeTable):
         super().__init__()
-        self.table, self.find = table, patterns()["piece"].findall
+        self.table = table
+
+    def find(self, text: str) -> list[str]:
+        """Pre-tokens of a text. Classes without the characters that it can't have are looked up much faster."""
+        return patterns(_below(text))["piece"].findall(text)
 
     def _keep(self, text: str, packed: bytes) -> bytes:
         if len(text) <= CACHE_CHARS:
@@ -287,15 +304,34 @@ class Pieces(dict):
         packed = self.get(word)
         return self._keep(word, pack(self.table.merge(word.encode()))) if packed is None else packed
 
+    def learn(self, words: list[str]) -> None:
+        """Encode pre-tokens that are not in the cache, the short ones together."""
+        short = [w for w in words if len(w) <= 24]
+        self.update(zip(short, self.table.merge_many([w.encode() for w in short])))
+        self.update((w, pack(self.table.merge(w.encode()))) for w in words if len(w) > 24)
+
+    def room(self, texts: set[str], entries: int) -> list[str]:
+        """Those of the texts that are to be kept but are not in the cache, each of which makes up to ``entries``.
+
+        If they don't fit, the cache is emptied and all of them are new, so that none has to be encoded alone.
+        """
+        new = [t for t in texts if t not in self and len(t) <= CACHE_CHARS]
+        if len(self) + entries * len(new) > CACHE_PIECES:
+            self.clear()
+            new = [t for t in texts if len(t) <= CACHE_CHARS]
+        return new
+
+    def ready(self, texts: set[str]) -> None:
+        """Have texts that begin with a safe blank in the cache. Those with other characters than ASCII are looked at apart."""
+        new = self.room(texts, 3)
+        for plain in (True, False):
+            if some := [t for t in new if t.isascii() is plain]:
+                self.warm(some)
+
     def warm(self, texts: list[str]) -> None:
         """Encode texts that are not in the cache; each begins with a safe blank, so together they are one text."""
-        if len(self) + 3 * len(texts) > CACHE_PIECES:
-            self.clear()
         words = self.find("".join(texts))
-        new = [w for w in {*words} if w not in self]
-        short = [w for w in new if len(w) <= 24]
-        self.update(zip(short, self.table.merge_many([w.encode() for w in short])))
-        self.update((w, pack(self.table.merge(w.encode()))) for w in new if len(w) > 24)
+        self.learn([w for w in {*words} if w not in self])
         ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
         last = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))))
         first = np.concatenate(([0], last[:-1] + 1))
@@ -469,9 +505,7 @@ def encode_many(texts: list[str], path: str) -> list[bytes]:
         units = list(map(" ".__add__, more))
         new.update(units)
         cut.append([first, *units])
-    new = [u for u in new if u not in pieces and len(u) <= CACHE_CHARS]
-    if new:
-        pieces.warm(new)
+    pieces.ready(new)
     of = pieces.__getitem__
     return [encode(t, path) if u is None else b"".join(map(of, u)) for t, u in zip(texts, cut)]
 

@@ -8,12 +8,14 @@ context that pre-token boundaries depend on:
 - to the right, encoding goes on leaf by leaf until a boundary of the new pre-tokens falls on a boundary between
   old leaves behind the edit. From there on the text is the same, so the pre-tokens are.
 
-Then the sums on the way up are set right. Strings of special tokens count as ordinary text.
+Then the sums on the way up are set right. Tokens are counted when they are asked for, so that the new pre-tokens of many
+documents are encoded together. Strings of special tokens count as ordinary text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,27 +23,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from driftline.llm.bpe import CACHE_CHARS, SAFE_BLANK, Pieces, pieces_of
+from driftline.llm.bpe import SAFE_BLANK, Pieces, pieces_of
 from driftline.llm.common import short_batches, slices
 
 #: pre-tokens, or pieces between safe blanks, in a new leaf
 LEAF = 48
+#: characters behind a place that tell whether a pre-token ends there: contractions and white space look at two
+AHEAD = 4
 
 
 class Node:
-    """A leaf with its text, or an inner node with the sums of two children."""
+    """A leaf with its text, or an inner node with the sums of two children.
 
-    __slots__ = ("chars", "left", "leaves", "right", "text", "tokens")
+    ``tokens`` is None as long as a leaf below has new ``words`` that are not counted.
+    """
+
+    __slots__ = ("chars", "left", "leaves", "right", "text", "tokens", "words")
 
-    def __init__(self, text: str | None = None, tokens: int = 0, left: Node | None = None, right: Node | None = None):
-        self.text, self.left, self.right = text, left, right
+    def __init__(self, text: str | None = None, tokens: int | None = None, left: Node | None = None, right: Node | None = None, words: list[str] | None = None):
+        self.text, self.left, self.right, self.words = text, left, right, words
         if text is not None:
             self.chars, self.tokens, self.leaves = len(text), tokens, 1
         else:
             self.chars = left.chars + right.chars
-            self.tokens = left.tokens + right.tokens
+            self.tokens = None if left.tokens is None or right.tokens is None else left.tokens + right.tokens
             self.leaves = left.leaves + right.leaves
 
+    def count(self, pieces: Pieces) -> int:
+        """Tokens; sums that are not known yet are set right."""
+        if self.tokens is None:
+            if self.text is None:
+                self.tokens = self.left.count(pieces) + self.right.count(pieces)
+            else:
+                self.tokens = sum(map(len, map(pieces.pretoken, self.words))) // 4
+        return self.tokens
+
 
 def balanced(leaves: list[Node]) -> Node | None:
     while len(leaves) > 1:
@@ -70,7 +86,7 @@ class Tree:
 
     @property
     def tokens(self) -> int:
-        return self.root.tokens if self.root else 0
+        return self.root.count(self.pieces) if self.root else 0
 
     @property
     def chars(self) -> int:
@@ -123,7 +139,7 @@ class Tree:
         leaves = []
         for i in range(0, len(words), LEAF):
             some = words[i : i + LEAF]
-            leaves.append(Node("".join(some), sum(len(self.pieces.pretoken(w)) for w in some) // 4))
+            leaves.append(Node("".join(some), words=some))
         self.encoded_chars += len(new)
         self.root = _replaced(self.root, first, last, balanced(leaves))
         if self.root and _depth_over(self.root):
@@ -131,17 +147,34 @@ class Tree:
 
     def _whole(self, new: str, after: str) -> list[str] | None:
         """Pre-tokens of ``new`` if one ends where it ends, with ``after`` behind it; else None."""
-        words, at = [], 0
+        words = self.pieces.find(new + after[:AHEAD])
         if not after:
-            return self.pieces.find(new)
-        for w in self.pieces.find(new + after):
-            if at >= len(new):
-                break
-            words.append(w)
-            at += len(w)
+            return words
+        at = len(new) + min(len(after), AHEAD)
+        while at > len(new):
+            at -= len(words.pop())
         return words if at == len(new) else None
 
 
+def uncounted(node: Node | None) -> Iterator[Node]:
+    """Leaves whose new words are not counted."""
+    stack = [node] if node else []
+    while stack:
+        x = stack.pop()
+        if x.tokens is None:
+            if x.text is None:
+                stack += [x.right, x.left]
+            else:
+                yield x
+
+
+def counted_together(trees: list[Tree], pieces: Pieces) -> list[int]:
+    """Tokens of each tree. New words of all trees are encoded together."""
+    words = {w for tree in trees for leaf in uncounted(tree.root) for w in leaf.words}
+    pieces.learn(pieces.room(words, 1))
+    return [tree.tokens for tree in trees]
+
+
 def _depth_over(node: Node, factor: int = 3) -> bool:
     """Whether the leftmost or rightmost way down is much longer than that of a balanced tree; a cheap sign of many edits at one place."""
     limit = factor * (node.leaves.bit_length() + 2)
@@ -183,15 +216,13 @@ def leaves_of(texts: list[str], pieces: Pieces) -> list[tuple[np.ndarray, np.nda
         units = list(map(" ".__add__, more))
         new.update(units)
         cut.append([first, *units] if text else [])
-    fresh = [u for u in new if u not in pieces and len(u) <= CACHE_CHARS]
-    if fresh:
-        pieces.warm(fresh)
+    pieces.ready(new)
     of = pieces.__getitem__
     out = []
     for units in cut:
         starts = np.arange(0, len(units), LEAF)
         chars = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        tokens = np.fromiter((len(of(u)) for u in units), dtype=np.int64, count=len(units)) // 4
+        tokens = np.fromiter(map(len, map(of, units)), dtype=np.int64, count=len(units)) // 4
         out.append((np.add.reduceat(chars, starts), np.add.reduceat(tokens, starts)) if units else (chars, tokens))
     return out
 
@@ -203,6 +234,23 @@ _LEAVES = pa.list_(pa.struct([("chars", pa.int64()), ("tokens", pa.int64())]))
 EDITS = "array<struct<at: long, removed: long, inserted: string>>"
 
 
+def _packed(sizes: list[int], chars: np.ndarray, tokens: np.ndarray) -> pa.Array:
+    """Leaves of several trees as a column, from their numbers in each and their sums in order."""
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    flat = pa.StructArray.from_arrays([pa.array(chars, pa.int64()), pa.array(tokens, pa.int64())], fields=list(_LEAVES.value_type))
+    return pa.ListArray.from_arrays(pa.array(ends), flat).cast(_LEAVES)
+
+
+def _unpacked(leaves: pa.Array) -> Iterator[tuple[list[int], list[int]]]:
+    """Characters and tokens of the leaves of each tree."""
+    flat, at = leaves.flatten(), 0
+    chars, tokens = (flat.field(name).to_pylist() for name in ("chars", "tokens"))
+    for size in leaves.value_lengths().to_pylist():
+        end = at + (size or 0)
+        yield chars[at:end], tokens[at:end]
+        at = end
+
+
 def build(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """``keep`` columns, ``text`` (null as empty), ``leaves`` and ``n_tokens``: the trees of all documents. No shuffle."""
 
@@ -210,11 +258,7 @@ def build(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
         for batch in slices(batches, holds="bpe"):
             texts = batch.column(batch.num_columns - 1)
             made = leaves_of(texts.to_pylist(), pieces_of(path))
-            ends = np.concatenate(([0], np.cumsum([len(c) for c, _ in made]))).astype(np.int32)
-            flat = pa.StructArray.from_arrays(
-                [pa.array(np.concatenate([x[i] for x in made])) for i in (0, 1)], fields=list(_LEAVES.value_type)
-            )
-            leaves = pa.ListArray.from_arrays(pa.array(ends), flat).cast(_LEAVES)
+            leaves = _packed([len(c) for c, _ in made], *(np.concatenate([x[i] for x in made]) for i in (0, 1)))
             sums = pa.array([int(t.sum()) for _, t in made], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, leaves, sums], [*keep, "text", "leaves", "n_tokens"])
 
@@ -236,17 +280,22 @@ def edited(trees: DataFrame, path: str, keep: list[str]) -> DataFrame:
     def work(batches):
         pieces = pieces_of(path)
         for batch in slices(batches, holds="bpe"):
-            rows = []
-            text, leaves, edits = (batch.column(batch.num_columns - 3 + i).to_pylist() for i in range(3))
-            for t, ls, es in zip(text, leaves, edits):
-                ends = np.cumsum([0, *(x["chars"] for x in ls)]).tolist()
-                tree = Tree([(t[a:b], x["tokens"]) for a, b, x in zip(ends, ends[1:], ls)], pieces)
+            text, leaves, edits = batch.columns[-3:]
+            trees = []
+            for t, (chars, tokens), es in zip(text.to_pylist(), _unpacked(leaves), edits.to_pylist()):
+                ends = [0, *accumulate(chars)]
+                tree = Tree([(t[a:b], n) for a, b, n in zip(ends, ends[1:], tokens)], pieces)
                 for e in es or []:
                     tree.edit(e["at"], e["removed"], e["inserted"] or "")
-                last = list(walk(tree.root))
-                rows.append(("".join(x.text for x in last), [{"chars": x.chars, "tokens": x.tokens} for x in last], tree.tokens, tree.encoded_chars))
-            cols = zip(*rows)
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.string(), _LEAVES, pa.int64(), pa.int64()))]
+                trees.append(tree)
+            sums = counted_together(trees, pieces)
+            last = [list(walk(tree.root)) for tree in trees]
+            flat = [x for some in last for x in some]
+            arrays = [
+                pa.array(["".join(x.text for x in some) for some in last], pa.string()),
+                _packed(list(map(len, last)), np.array([x.chars for x in flat], dtype=np.int64), np.array([x.tokens for x in flat], dtype=np.int64)),
+                pa.array(sums, pa.int64()), pa.array([tree.encoded_chars for tree in trees], pa.int64()),
+            ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *arrays], [*keep, "text", "leaves", "n_tokens", "encoded_chars"])
 
     rows = trees.select(*keep, "text", "leaves", "edits")
