@@ -1,28 +1,21 @@
-"""Documents whose word n-gram sets are similar, by PartEnum signatures (operator 12).
+"""Documents whose word n-gram sets are similar, by prefixes of their rarest features (operator 12).
 
-Two sets of Jaccard similarity of ``percent`` or more differ in few features for their size. Sizes are cut in bands;
-inside a band that bound is one number k. The feature domain is partitioned in groups of parts, and a
-signature is a choice of parts of one group, all but ``slack`` of them, with the features that the set has there. At most
-k / (slack + 1) groups hold more than ``slack`` differing features, so with more groups than that two similar sets
-have a signature in common. A set signs for its own band and for each band whose sets can be similar to it.
-
-Signatures without features would be shared by all sets. A set leaves them out if it has fewer groups with such a
-signature than there are groups certain to agree: then one of the others must agree too.
+Two sets of Jaccard similarity of ``percent`` or more share that part of the larger one's features. So if the features of all sets are
+put in one order, the first ones of two similar sets, one more than either can do without, have a feature in common. These
+are a set's signatures. Any order will do for that; the one taken puts features last that many sets have, so that common
+passages sign nothing. How many sets have a feature is estimated from a bounded sample of the texts; the order
+alone hangs on it, and every set is signed.
 
 Equal sets are one node throughout. Rows of signatures are sorted, and each bucket's first few nodes are paired with all of it.
 What is left of larger buckets matters only where it belongs to different components so far. Crowded ones are broken up: their
-sets are signed again, twice at most, with more features to a signature. The others are compared in blocks by parity sketches:
-a bit for each feature's place, flipped by each feature, so that two sets differ in at least as many features as their
+sets are signed again, twice at most, in an order that has the features of crowded buckets last. The others are compared in blocks by
+parity sketches: a bit for each feature's place, flipped by each feature, so that two sets differ in at least as many features as their
 sketches in bits. Only pairs that this bound lets pass leave the task, and every pair is verified on its features.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
-from functools import cache
-from itertools import combinations
-from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +29,16 @@ from driftline.operators.skew import join_facts
 
 #: bytes of a text split in words at a time
 PIECE = 1 << 22
-#: parts of a group and how many of them a signature leaves out: each choice has more features to a signature than the one before
-PLANS = [(1, 0), (3, 1), (5, 2), (7, 3)]
+#: different texts, about, in which features are counted; and texts that make a feature frequent
+SAMPLE, FREQUENT = 10_000, 3
+#: features known as frequent at most, 16 bytes each, sent to all executors
+KNOWN = 200_000
 #: times that sets are signed
 LEVELS = 3
 #: first nodes of a bucket that are paired with all of it
 PIVOTS = 4
 #: nodes that are left in a bucket before its sets are signed again; and nodes of a bucket that are compared at a time
-CROWD, BLOCK = 512, 2048
+CROWD, BLOCK = 2048, 2048
 #: rows of buckets looked at together
 ROWS = 1 << 16
 #: text hashes sent to all executors at most, 8 bytes each; beyond it a shuffle joins them
@@ -78,90 +73,56 @@ def shingles(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-@dataclass(frozen=True)
-class Band:
-    """How sets are signed in one band: ``spoiled`` of the groups may differ in more than the slack."""
-
-    number: int
-    least: int
-    most: int
-    groups: int
-    parts: int
-    slack: int
-    spoiled: int
-
-    @property
-    def choices(self) -> np.ndarray:
-        return np.array(list(combinations(range(self.parts), self.parts - self.slack)))
-
-
-def _groups(smallest: int, differ: int, parts: int, slack: int) -> int:
-    """So many groups that a set of the band's smallest size mostly can leave out signatures without features."""
-    spoiled = differ // (slack + 1)
-    ways = len(list(combinations(range(parts), slack)))
-    for groups in range(spoiled + 1, 2 * spoiled + 9):
-        empty = groups * min(1.0, ways * exp(-smallest / groups * (parts - slack) / parts))
-        if empty + 2 * sqrt(empty) < groups - spoiled:
-            return groups
-    return spoiled + 1
-
-
-@cache
-def _band(number: int, percent: int, level: int) -> Band:
-    """Pairs whose smaller set has a size of the band; no groups where only equal sets are similar enough."""
-    low = 1
-    for _ in range(number):
-        low = _next_low(low)
-    high = _next_low(low) - 1
-    most = 100 * high // percent
-    differ = (high + most) * (100 - percent) // (100 + percent)
-    if not differ:
-        return Band(number, low, most, 0, 1, 0, 0)
-    parts, slack = PLANS[level + (differ < 16)]
-    parts, slack = (parts, slack) if slack <= differ else PLANS[differ]
-    return Band(number, low, most, _groups(low, differ, parts, slack), parts, slack, differ // (slack + 1))
-
-
-def _next_low(low: int) -> int:
-    return max(low + 1, low + low // 4)
-
-
-@cache
-def bands(size: int, percent: int, level: int = 0) -> tuple[Band, ...]:
-    """Bands in which a set of this size is signed."""
-    out, number = [], 0
-    while (band := _band(number, percent, level)).least <= size:
-        if size <= band.most and band.groups:
-            out.append(band)
-        number += 1
-    return tuple(out)
-
-
-@cache
-def _tags(band: Band, level: int) -> np.ndarray:
-    """A number for each signature that a set has in a band."""
-    n = band.groups * len(band.choices)
-    return _mixed(np.arange(n, dtype=np.uint64) + np.uint64((LEVELS * band.number + level + 1) << 40))
-
-
-def signatures(features: np.ndarray, percent: int = 80, level: int = 0) -> np.ndarray:
-    """All signatures of a set of sorted feature hashes."""
-    place = features >> np.uint64(32)
-    upto = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mixed(features))])
-    out = [np.zeros(0, dtype=np.uint64)]
-    for band in bands(len(features), percent, level):
-        n = band.groups * band.parts
-        part = ((place * np.uint64(n)) >> np.uint64(32)).astype(np.int64)  # rising, as the features are sorted
-        size = np.bincount(part, minlength=n)
-        ends = np.cumsum(size)
-        held = (upto[ends] - upto[ends - size]).reshape(band.groups, band.parts)
-        size = size.reshape(band.groups, band.parts)
-        if band.parts > 1:
-            held, size = held[:, band.choices].sum(axis=2, dtype=np.uint64), size[:, band.choices].sum(axis=2)
-        signed = _mixed(held.ravel() + _tags(band, level))
-        firm = int((size == 0).any(axis=1).sum()) < band.groups - band.spoiled
-        out.append(signed[size.ravel() > 0] if firm else signed)
-    return np.concatenate(out)
+#: features, sorted, and how many sets have them, about
+Late = tuple[np.ndarray, np.ndarray]
+NONE_LATE: Late = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+
+def signatures(features: np.ndarray, percent: int = 80, level: int = 0, late: Late = NONE_LATE) -> np.ndarray:
+    """The first of a set's features, one more than a similar set may lack, with those that are ``late`` behind all others.
+
+    The others come in an order of their own on each ``level``.
+    """
+    if level:
+        features = features[np.argsort(_mixed(features + np.uint64(level)))]
+    if len(late[0]):
+        at = np.minimum(np.searchsorted(late[0], features), len(late[0]) - 1)
+        features = features[np.argsort(np.where(late[0][at] == features, late[1][at], 0), kind="stable")]
+    return features[: (100 - percent) * len(features) // 100 + 1]
+
+
+def _later(late: Late, more: DataFrame) -> Late:
+    """``late`` and the most frequent ``KNOWN`` features of ``more`` (``feature``, ``sets``)."""
+    found = more.orderBy(F.desc("sets"), "feature").limit(KNOWN).toArrow()
+    features = np.concatenate([late[0], found.column("feature").to_numpy().view(np.uint64)])
+    sets = np.concatenate([late[1], found.column("sets").to_numpy()])
+    order = np.lexsort((-sets, features))
+    features, sets = features[order], sets[order]
+    first = np.ones(len(features), dtype=bool)
+    first[1:] = features[1:] != features[:-1]
+    return features[first], sets[first]
+
+
+def _frequent(docs: DataFrame, texts: int, words: int) -> Late:
+    """Features that several of about ``SAMPLE`` texts have, with an estimate for all ``texts`` different ones.
+
+    Texts are drawn by their hash. A task counts copies once.
+    """
+    one_in = max(1, texts // SAMPLE)
+
+    def work(batches):
+        seen = set()
+        for batch in slices(batches, 64):
+            sets = [np.zeros(0, dtype=np.uint64)]
+            for th, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if th not in seen:
+                    seen.add(th)
+                    sets.append(shingles(text, words))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["feature"])
+
+    drawn = docs.select(F.xxhash64("text").alias("th"), text_bytes()).where(F.pmod("th", F.lit(one_in)) == 0)
+    counted = drawn.mapInArrow(work, "feature long").groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    return _later(NONE_LATE, counted.select("feature", (F.col("n") * one_in).alias("sets")))
 
 
 def _node(features: np.ndarray) -> bytes:
@@ -209,7 +170,7 @@ def _of_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("th"), text_bytes()).join(few, "th", "left_semi")
 
 
-def _signed(texts: DataFrame, words: int, percent: int, level: int) -> DataFrame:
+def _signed(texts: DataFrame, words: int, percent: int, level: int, late: Late) -> DataFrame:
     """``sig`` and ``short`` of all texts; equal sets of a task are signed once."""
 
     def work(batches):
@@ -221,7 +182,7 @@ def _signed(texts: DataFrame, words: int, percent: int, level: int) -> DataFrame
                 short = _short(_node(features)) if len(features) else None
                 if short is not None and short not in seen:
                     seen.add(short)
-                    sigs.append(signatures(features, percent, level))
+                    sigs.append(signatures(features, percent, level, late))
                     shorts.append(np.full(len(sigs[-1]), short))
             columns = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(shorts))]
             yield pa.RecordBatch.from_arrays(columns, ["sig", "short"])
@@ -284,19 +245,27 @@ def _met(rows: DataFrame) -> DataFrame:
     return stored(dealt.mapInArrow(work, "sig long, a long, b long"), "met")
 
 
-def _near(columns: list, words: int, split: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _near(columns: list, split: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one group of rows (first half, size, root, sketch) that may be similar: of the first ``split`` rows with
-    all behind them, or of all rows if ``split`` is their number."""
+    all behind them, or of all rows if ``split`` is their number. Two sketches are compared at the shorter one's length."""
     short, size, root = (np.array(c, dtype=np.int64) for c in columns[:3])
-    sketch = np.array([_folded(np.array(s, dtype=np.int64), words) for s in columns[3]]).view(np.uint64)  # bits of signed numbers are counted without sign
-    a, b = [], []
-    for i in range(split):
-        others = slice(i + 1 if split == len(short) else split, None)
-        apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-        fits = (100 + percent) * apart <= (100 - percent) * (size[others] + size[i])
-        found = np.flatnonzero(fits & (root[others] != root[i])) + others.start
-        a.append(np.full(len(found), short[i]))
-        b.append(short[found])
+    length = np.array([len(s) for s in columns[3]])
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for words in np.unique(length):
+        at = np.flatnonzero((length >= words) & (length <= words << (100 // percent).bit_length()))  # longer ones are of sets too large
+        sketch = np.array([_folded(np.array(columns[3][k], dtype=np.int64), words) for k in at]).view(np.uint64)  # bits of signed numbers are counted without sign
+        behind = np.searchsorted(at, split)
+        for i, k in enumerate(at if split == len(short) else at[:behind]):
+            others = slice(i + 1 if split == len(short) else behind, None)
+            m = at[others]
+            fits = (100 * np.minimum(size[m], size[k]) >= percent * np.maximum(size[m], size[k])) & (root[m] != root[k])
+            if length[k] != words:
+                fits &= length[m] == words
+            apart = np.bitwise_count(sketch[others][fits] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            found = m[fits]
+            found = found[(100 + percent) * apart <= (100 - percent) * (size[found] + size[k])]
+            a.append(np.full(len(found), short[k]))
+            b.append(short[found])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -308,13 +277,12 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-def _compared(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``a``, ``b``) of different components that share a bucket of ``rows`` (``sig, short, root``) and may be similar.
+def _compared(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of different components that share a bucket and may be similar. ``placed`` has ``sig, short, root`` and ``rows`` of the bucket.
 
     A bucket is cut in blocks, and every two blocks meet in one group, so a task holds two blocks at a time.
     """
-    counted = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    placed = join_facts(rows, counted, ["sig"], ["short"], "inner")
+    placed = placed.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long"))
     own = F.pmod(F.xxhash64("short"), F.col("blocks"))
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     dealt = placed.withColumn("own", own).withColumn("_g", F.explode(every)).select("sig", "_g.i", "_g.j", "own", "short", "root")
@@ -324,8 +292,7 @@ def _compared(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def found(group, held):
         sig, i, j = group
         split = len(held) if i == j else sum(r[0] == i for r in held)
-        words = min(len(r[4]) for r in held)
-        a, b = _near([list(c) for c in zip(*(r[1:] for r in held))], words, split, percent)
+        a, b = _near([list(c) for c in zip(*(r[1:] for r in held))], split, percent)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def work(batches):
@@ -363,8 +330,8 @@ def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return stored(rows.dropDuplicates(["node"]), "sets")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, roots: DataFrame | None, words: int, percent: int) -> DataFrame:
-    """Edges (``u``, ``v``) between the nodes of ``pairs`` (``a``, ``b``: first halves) that are similar enough.
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, roots: DataFrame | None, words: int, percent: int) -> DataFrame | None:
+    """Edges (``u``, ``v``) between the nodes of ``pairs`` (``a``, ``b``: first halves) that are similar enough; None if there is no pair to look at.
 
     Sizes and sketches are looked at before features. Pairs inside one component of ``roots`` say nothing new and are left out.
     """
@@ -382,6 +349,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, roots: DataFr
     if roots is not None:
         sized = _rooted(_rooted(sized, roots, "node_a", "root_a"), roots, "node_b", "root_b").where("root_a <> root_b").drop("root_a", "root_b")
     sized = stored(sized, "candidates")
+    if sized.isEmpty():
+        return None
     wanted = sized.select(F.col("th_a").alias("th")).unionByName(sized.select(F.col("th_b").alias("th")))
     sets = _arrays(docs, wanted, words)
     both = sized.select("node_a", "node_b").join(sets.select(F.col("node").alias("node_a"), F.col("set").alias("set_a")), "node_a")
@@ -392,7 +361,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, roots: DataFr
     return stored(alike.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")), "links")
 
 
-def _unsettled(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def _unsettled(met: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     """``sig``, ``short``, ``root`` and ``rows`` of the bucket, of what is left in buckets that hold nodes of several components."""
     own = _rooted(nodes.select("short", "node"), roots).select("short", F.xxhash64("root").alias("root"))
     rest = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("short")).join(own, "short")
@@ -400,14 +369,18 @@ def _unsettled(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(join_facts(rest, several.select("sig", "rows"), ["sig"], ["short"], "inner"), "unsettled")
 
 
-def _rooted(df: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
+def _rooted(df: DataFrame, roots: DataFrame | None, node: str = "node", root: str = "root") -> DataFrame:
     """``df`` with the component of ``node``; a node that has met none is its own."""
+    if roots is None:
+        return df.withColumn(root, F.col(node))
     known = roots.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
     return df.join(known, df[node] == known["__n"], "left").withColumn(root, F.coalesce("__c", node)).drop("__n", "__c")
 
 
-def _connected(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """Components after more edges: only components that these connect are merged."""
+def _connected(roots: DataFrame | None, edges: DataFrame | None) -> DataFrame | None:
+    """Components after more edges: only components that these connect are merged. None stands for none."""
+    if edges is None or roots is None:
+        return roots if edges is None else stored(components(edges), "roots")
     ends = _rooted(_rooted(edges, roots, "u", "a"), roots, "v", "b")
     merged = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("old"), F.col("component").alias("new"))
     moved = roots.join(merged, roots.component == merged.old, "left").select("node", F.coalesce("new", "component").alias("component"))
@@ -415,28 +388,25 @@ def _connected(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(moved.unionByName(first), "roots")
 
 
-def connected_sets(docs: DataFrame, nodes: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``node`` and ``component``, its least node, for the sets that are linked to others by ``percent`` similarity or more.
+def connected_sets(docs: DataFrame, nodes: DataFrame, words: int = 5, percent: int = 80) -> DataFrame | None:
+    """``node`` and ``component``, its least node, for the sets that are linked to others by ``percent`` similarity or more; None if no sets may be.
 
     ``nodes`` has a row per different set: ``node``, ``short``, ``n``, its ``sketch``, and ``th``, the hash of a text that has it.
     """
     short_batches(docs.sparkSession)
-    roots, crowded = None, None
+    roots, texts = None, docs.select(text_bytes())
+    late = _frequent(docs, nodes.count(), words)
     for level in range(LEVELS):
-        if level == 0:
-            texts = docs.select(text_bytes())
-        elif crowded.limit(1).count():
-            texts = _of_texts(docs, crowded.select("short").distinct().join(nodes, "short").select("th"))
-        else:
-            break
-        met = _met(_signed(texts, words, percent, level))
-        edges = _verified(docs, met.where("sig IS NULL"), nodes, roots, words, percent)
-        roots = stored(components(edges), "roots") if roots is None else _connected(roots, edges)
+        met = _met(_signed(texts, words, percent, level, late))
+        roots = _connected(roots, _verified(docs, met.where("sig IS NULL"), nodes, roots, words, percent))
         left = _unsettled(met, nodes, roots)
-        crowded = left.where(F.col("rows") > CROWD)
-        here = left if level == LEVELS - 1 else left.where(F.col("rows") <= CROWD)
-        edges = _verified(docs, _compared(here.select("sig", "short", "root"), nodes, percent), nodes, None, words, percent)
-        roots = _connected(roots, edges)
+        crowded = left.where(F.col("rows") > CROWD) if level < LEVELS - 1 else left.where("false")
+        here = left.where(F.col("rows") <= CROWD) if level < LEVELS - 1 else left
+        roots = _connected(roots, _verified(docs, _compared(here, nodes, percent), nodes, None, words, percent))
+        if crowded.isEmpty():
+            break
+        late = _later(late, crowded.groupBy(F.col("sig").alias("feature")).agg(F.max("rows").alias("sets")))
+        texts = _of_texts(docs, crowded.select("short").distinct().join(nodes, "short").select("th"))
     return roots
 
 
@@ -455,7 +425,8 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     )
     nodes = stored(nodes, "nodes")
     roots = connected_sets(docs, nodes, words, percent)
-    linked = nodes.join(roots, "node", "left").where("component IS NOT NULL OR rows > 1")
+    known = nodes.withColumn("component", F.lit(None).cast("binary")) if roots is None else nodes.join(roots, "node", "left")
+    linked = known.where("component IS NOT NULL OR rows > 1")
     linked = stored(linked.select("node", "first", F.coalesce("component", "node").alias("root")), "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = linked.join(least, "root").select("node", "component_id", F.lit(True).alias("labelled"))

@@ -1,10 +1,12 @@
-"""Edits whose tokens are counted together, and patterns by range of characters."""
+"""Edits whose tokens are counted together, patterns by range of characters, and joins by rare features."""
 
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 
-from driftline.llm import bpe, edits
+from driftline.llm import bpe, edits, ngram_join
 
 TEXTS = ["it's 12 o'clock now, isn't it?", "Straße ½² aªb\u0085\u0085 c", "Жук ١٢ 　　x 你好'll", "\U0001f600 \U00010330\U00010331 \U0001d7d8'd ", "  \t\n a\n\n ", ""]
 
@@ -54,3 +56,70 @@ def test_full_cache_is_filled_together(tokenizer, monkeypatch):
     monkeypatch.setattr(pieces.table, "merge", lambda data: pytest.fail(f"{data} was merged alone"))
     pieces.ready(known | more)
     assert all(t in pieces for t in known | more)
+
+
+def sets_with_a_passage(rng, n):
+    """Sorted feature sets that share 300 of 400 features, and one near copy of each."""
+    passage = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 64, 100, dtype=np.uint64)])) for _ in range(n)]
+    return passage, sets, [np.unique(np.concatenate([s[20:], rng.integers(0, 1 << 64, 20, dtype=np.uint64)])) for s in sets]
+
+
+@pytest.mark.parametrize("level", [0, 1, 2])
+def test_common_passages_sign_nothing(level):
+    rng = np.random.default_rng(level)
+    passage, sets, near = sets_with_a_passage(rng, 30)
+    late = np.sort(passage), np.full(300, 30)
+    signed = [set(ngram_join.signatures(s, 80, level, late).tolist()) for s in sets]
+    assert all(len(x) == 81 and not x & set(passage.tolist()) for x in signed)
+    assert all(x & set(ngram_join.signatures(s, 80, level, late).tolist()) for x, s in zip(signed, near))
+    assert not any(a & b for a, b in combinations(signed, 2))
+
+
+def test_frequent_features_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "KNOWN", 50)
+    rows = [(i, "one common passage of several words that all of them have " + f"own{i} " * 6) for i in range(40)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    features, sets = ngram_join._frequent(docs, 40, 5)
+    common = ngram_join.shingles(b"one common passage of several words that all of them have")
+    assert set(common.tolist()) <= set(features.tolist()) and (np.diff(features.astype(float)) > 0).all() and sets.min() >= 3
+
+
+def test_a_passage_in_all_documents_makes_few_pairs(spark, monkeypatch):
+    """Pairs that are looked at do not grow with the square of the documents that share a passage, and no link is lost."""
+    seen = []
+    verified = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda docs, pairs, *rest: (seen.append(pairs.distinct().count()), verified(docs, pairs, *rest))[1])
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(150))
+    rows = [(i, f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))) for i in range(300)]
+    rows += [(1000 + i, text.rsplit(" ", 3)[0] + " a b c") for i, text in rows[:40]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(df).collect()}
+    assert got == {i: i % 1000 if i >= 1000 else i for i, _ in rows}
+    assert sum(seen) < 200
+
+
+def test_join_without_links(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "h i j k l m n"), (3, None), (4, "A B c d e f g"), (None, "o p")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df).collect()}
+    assert got == {1: (3, 1), 4: (3, 1), 2: (3, 2), 3: (0, 3), None: (1, None)}
+
+
+@pytest.mark.parametrize("split", [60, 25])
+def test_small_sets_of_a_bucket_do_not_blunt_the_sketches(split):
+    """All similar pairs are found, and large sets that are not similar are told apart beside small ones."""
+    rng = np.random.default_rng(7)
+    sets = []
+    for n in [3, 60, 70, 130, 140, 500, 520, 2000, 2100, 300]:
+        base = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[int(n * d) :], rng.integers(0, 1 << 64, int(n * d), dtype=np.uint64)])) for d in (0, 0.02, 0.05, 0.08, 0.3, 0.9)]
+    order = rng.permutation(len(sets))
+    columns = [list(range(60)), [len(sets[i]) for i in order], list(range(60)), [ngram_join.parity(sets[i]).tolist() for i in order]]
+    a, b = ngram_join._near(columns, split, 80)
+    got = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
+    assert len(got) == len(a)
+    pairs = [(i, j) for i, j in combinations(range(60), 2) if split == 60 or i < split <= j]
+    shared = {(i, j): len(np.intersect1d(sets[order[i]], sets[order[j]])) for i, j in pairs}
+    want = {(i, j) for (i, j), n in shared.items() if 100 * n >= 80 * (columns[1][i] + columns[1][j] - n)}
+    assert want and want <= got and len(got) < len(want) + 40
