@@ -10,7 +10,8 @@ Equal sets are one node throughout. Rows of signatures are sorted, and each buck
 What is left of larger buckets matters only where it belongs to different components so far. Crowded ones are broken up: their
 sets are signed again, twice at most, in an order that has the features of crowded buckets last. The others are compared in blocks by
 parity sketches: a bit for each feature's place, flipped by each feature, so that two sets differ in at least as many features as their
-sketches in bits. Only pairs that this bound lets pass leave the task, and every pair is verified on its features.
+sketches in bits. Of the pairs that this bound lets pass only so many leave the task as chain their nodes, less than a block's rows.
+Then the nodes of each chain meet with their features, each once, and are compared on these. Links that connect them leave the task.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ LEVELS = 3
 PIVOTS = 4
 #: nodes that are left in a bucket before its sets are signed again; and nodes of a bucket that are compared at a time
 CROWD, BLOCK = 2048, 2048
+#: nodes of a chain that are compared with all others of it; and features of a block, about, 8 bytes each
+CHAIN, HELD = 8192, 1_000_000
 #: rows of buckets looked at together
 ROWS = 1 << 16
 #: text hashes sent to all executors at most, 8 bytes each; beyond it a shuffle joins them
@@ -245,9 +248,13 @@ def _met(rows: DataFrame) -> DataFrame:
     return stored(dealt.mapInArrow(work, "sig long, a long, b long"), "met")
 
 
-def _near(columns: list, split: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _near(columns: list, split: int, percent: int, label: np.ndarray | None = None, links=None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one group of rows (first half, size, root, sketch) that may be similar: of the first ``split`` rows with
-    all behind them, or of all rows if ``split`` is their number. Two sketches are compared at the shorter one's length."""
+    all behind them, or of all rows if ``split`` is their number. Two sketches are compared at the shorter one's length.
+
+    With a ``label`` for each row, only pairs of rows whose labels differ are looked at, and a pair makes two labels one. So there are
+    fewer pairs than rows, and they connect what all pairs connect. ``links`` tells which of several rows are similar to a row.
+    """
     short, size, root = (np.array(c, dtype=np.int64) for c in columns[:3])
     length = np.array([len(s) for s in columns[3]])
     a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
@@ -261,9 +268,16 @@ def _near(columns: list, split: int, percent: int) -> tuple[np.ndarray, np.ndarr
             fits = (100 * np.minimum(size[m], size[k]) >= percent * np.maximum(size[m], size[k])) & (root[m] != root[k])
             if length[k] != words:
                 fits &= length[m] == words
+            if label is not None:
+                fits &= label[m] != label[k]
             apart = np.bitwise_count(sketch[others][fits] ^ sketch[i]).sum(axis=1, dtype=np.int64)
             found = m[fits]
             found = found[(100 + percent) * apart <= (100 - percent) * (size[found] + size[k])]
+            if links is not None:
+                found = found[links(k, found)]
+            if label is not None and len(found):
+                found = found[np.unique(label[found], return_index=True)[1]]
+                label[np.isin(label, label[found])] = label[k]
             a.append(np.full(len(found), short[k]))
             b.append(short[found])
     return np.concatenate(a), np.concatenate(b)
@@ -277,37 +291,105 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-def _compared(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``a``, ``b``) of different components that share a bucket and may be similar. ``placed`` has ``sig, short, root`` and ``rows`` of the bucket.
+def _links(sets: list[np.ndarray], percent: int):
+    """A function that tells which of the rows ``m`` of a group are similar to its row ``k``, by their features."""
+    size = np.array([len(s) for s in sets])
+    places = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)[:-1])
+    has = np.zeros(int(size.sum()), dtype=bool)
+
+    def similar(k: int, m: np.ndarray) -> np.ndarray:
+        has[places[k]] = True
+        shared = np.array([np.count_nonzero(has[places[x]]) for x in m], dtype=np.int64)
+        has[places[k]] = False
+        return 100 * shared >= percent * (size[k] + size[m] - shared)
+
+    return similar
+
+
+def _in_blocks(placed: DataFrame, also: list[str]) -> DataFrame:
+    """Rows of ``placed`` (``sig, short, root, blocks, n, sketch`` and ``also``) by ``sig, i, j``, for each two blocks of a bucket.
 
     A bucket is cut in blocks, and every two blocks meet in one group, so a task holds two blocks at a time.
     """
-    placed = placed.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long"))
     own = F.pmod(F.xxhash64("short"), F.col("blocks"))
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    dealt = placed.withColumn("own", own).withColumn("_g", F.explode(every)).select("sig", "_g.i", "_g.j", "own", "short", "root")
-    dealt = dealt.join(nodes.select("short", "n", "sketch"), "short")
-    dealt = dealt.select("sig", "i", "j", "own", "short", "n", "root", "sketch").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "own", "short")
+    dealt = placed.withColumn("own", own).withColumn("_g", F.explode(every)).select("sig", "_g.i", "_g.j", "own", "short", "n", "root", "sketch", *also)
+    return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "own", "short")
+
+
+def _groups(batches):
+    """Of each group of ``_in_blocks`` how many rows its first block has, or all have if it is of one block, and its columns behind ``own``."""
+
+    def plain(column):
+        if pa.types.is_nested(column.type):
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            return [values[x:y] for x, y in zip(ends[:-1], ends[1:])]
+        return column.to_numpy() if pa.types.is_integer(column.type) else column.to_pylist()
+
+    def whole(held, group):
+        columns = [sum(c, []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*held)]
+        return len(columns[0]) if group[1] == group[2] else int((columns[0] == group[1]).sum()), columns[1:]
 
-    def found(group, held):
-        sig, i, j = group
-        split = len(held) if i == j else sum(r[0] == i for r in held)
-        a, b = _near([list(c) for c in zip(*(r[1:] for r in held))], split, percent)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    group, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [plain(c) for c in batch.columns]
+        keys = np.stack(columns[:3], axis=1)
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+        for x, y in zip(starts, [*starts[1:], len(keys)]):
+            if group != tuple(keys[x].tolist()):
+                if held:
+                    yield whole(held, group)
+                group, held = tuple(keys[x].tolist()), []
+            held.append([c[x:y] for c in columns[3:]])
+    if held:
+        yield whole(held, group)
+
+
+def _chained(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``u``, ``v``) of first halves that connect all nodes of different components that share a bucket and may be similar.
+
+    ``placed`` has ``sig, short, root`` and ``rows`` of the bucket. A group makes fewer pairs than it has rows.
+    """
+
+    def work(batches):
+        for split, columns in _groups(batches):
+            if len(columns[0]) > 1:
+                u, v = _near(columns, split, percent, np.arange(len(columns[0])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
+    rows = placed.join(nodes.select("short", "n", "sketch"), "short").withColumn("blocks", blocks)
+    return stored(_in_blocks(rows, []).mapInArrow(work, "u long, v long").distinct(), "chains")
+
+
+def _compared(docs: DataFrame, placed: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Edges (``u``, ``v``) that connect the similar nodes of different components that share a bucket; None if no two may be similar.
+
+    Nodes that may be similar, by sketches, are chained, and those of a chain compared in one group by their features, so that neither
+    the pairs that pass nor those that prove not similar leave a task. Of chains beyond ``CHAIN`` nodes each bucket is a group.
+    """
+    chains = _chained(placed, nodes, percent)
+    if chains.isEmpty():
+        return None
+    known = stored(components(chains).select(F.col("node").alias("short"), F.col("component").alias("chain")), "chained")
+    known = join_facts(known, known.groupBy("chain").agg((F.count("*") > CHAIN).alias("large")), ["chain"], ["short"], "inner")
+    rows = placed.select("sig", "short", "root").join(known, "short")
+    rows = rows.select(F.when(F.col("large"), F.col("sig")).otherwise(F.col("chain")).alias("sig"), "large", "short", "root").distinct()
+    rows = stored(rows.join(nodes.select("short", "n", "sketch", "node", "th"), "short"), "compared")
+    held = rows.groupBy("sig", "large").agg(F.count("*").alias("rows"), F.sum("n").alias("features"))
+    held = held.select("sig", "large", F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("features") / HELD)).cast("long").alias("blocks"))
+    rows = join_facts(rows, held, ["sig", "large"], ["short"], "inner").join(_arrays(docs, rows, words), "node")
 
     def work(batches):
-        group, held = None, []
-        for batch in batches:
-            for sig, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (sig, i, j) != group:
-                    if len(held) > 1:
-                        yield found(group, held)
-                    group, held = (sig, i, j), []
-                held.append(row)
-        if len(held) > 1:
-            yield found(group, held)
+        for split, (short, n, root, sketch, node, sets) in _groups(batches):
+            if len(short) > 1:
+                at = np.arange(len(short))
+                u, v = _near([at, n, root, sketch], split, percent, root.copy(), _links(sets, percent))
+                yield pa.RecordBatch.from_arrays([pa.array([node[x] for x in u], pa.binary()), pa.array([node[x] for x in v], pa.binary())], ["u", "v"])
 
-    return dealt.mapInArrow(work, "a long, b long")
+    return stored(_in_blocks(rows, ["node", "set"]).mapInArrow(work, "u binary, v binary").distinct(), "links")
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -402,7 +484,7 @@ def connected_sets(docs: DataFrame, nodes: DataFrame, words: int = 5, percent: i
         left = _unsettled(met, nodes, roots)
         crowded = left.where(F.col("rows") > CROWD) if level < LEVELS - 1 else left.where("false")
         here = left.where(F.col("rows") <= CROWD) if level < LEVELS - 1 else left
-        roots = _connected(roots, _verified(docs, _compared(here, nodes, percent), nodes, None, words, percent))
+        roots = _connected(roots, _compared(docs, here, nodes, words, percent))
         if crowded.isEmpty():
             break
         late = _later(late, crowded.groupBy(F.col("sig").alias("feature")).agg(F.max("rows").alias("sets")))

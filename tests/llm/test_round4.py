@@ -123,3 +123,76 @@ def test_small_sets_of_a_bucket_do_not_blunt_the_sketches(split):
     shared = {(i, j): len(np.intersect1d(sets[order[i]], sets[order[j]])) for i, j in pairs}
     want = {(i, j) for (i, j), n in shared.items() if 100 * n >= 80 * (columns[1][i] + columns[1][j] - n)}
     assert want and want <= got and len(got) < len(want) + 40
+
+
+def near_misses(rng, families, each):
+    """Ids and texts of families whose members differ in three words each, so that two are just not similar, and a copy of every eighth with one word more."""
+    rows = []
+    for f in range(families):
+        base = [f"f{f}w{i}" for i in range(214)]
+        for _ in range(each):
+            text = list(base)
+            for at in rng.sample(range(5, 209, 5), 3):
+                text[at] = f"x{rng.randrange(10**9)}"
+            rows.append(" ".join(text))
+            if len(rows) % 8 == 0:
+                rows.append(" ".join([*text, "more"]))
+    return list(enumerate(rows))
+
+
+def components_of(sets):
+    """Smallest place that each of the sets reaches, by all pairs."""
+    root = list(range(len(sets)))
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i, j in combinations(range(len(sets)), 2):
+        n = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+            x, y = sorted((top(i), top(j)))
+            root[y] = x
+    return [top(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("limits", [{}, {"HELD": 2500}, {"CHAIN": 20, "CROWD": 30, "BLOCK": 9}])
+def test_near_misses_do_not_leave_their_group(spark, monkeypatch, limits):
+    """Pairs that are looked at outside a group grow with the rows, not with the square of a family, and no link is lost."""
+    seen = []
+    verified = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda docs, pairs, *rest: (seen.append(pairs.distinct().count()), verified(docs, pairs, *rest))[1])
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = near_misses(random.Random(9), 2, 80)
+    sets = [ngram_join.shingles(text.encode()) for _, text in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df).collect()}
+    want = components_of(sets)
+    assert got == {i: (len(sets[i]), want[i]) for i, _ in rows}
+    assert len(rows) > len(set(want)) > len(rows) // 3
+    assert max(seen) < 8 * len(rows), seen
+
+
+@pytest.mark.parametrize("split", [90, 30])
+def test_chains_connect_what_all_pairs_connect(split):
+    """Fewer pairs than rows leave a group; they connect the same rows, with and without a look at the features."""
+    sets = [ngram_join.shingles(text.encode()) for _, text in near_misses(random.Random(3), 1, 79)]
+    rows = len(sets)
+    columns = [list(range(rows)), [len(s) for s in sets], list(range(rows)), [ngram_join.parity(s) for s in sets]]
+    everything = list(zip(*(x.tolist() for x in ngram_join._near(columns, split, 80))))
+    alike = ngram_join._links(sets, 80)
+    similar = [(i, j) for i, j in everything if alike(i, np.array([j]))[0]]
+    assert all(alike(i, np.array([j]))[0] == (100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))) for i, j in everything)
+
+    def groups(pairs):
+        root = list(range(rows))
+        for _ in range(rows):
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    assert rows == 90 and len(everything) > 200
+    for links, want in ((None, everything), (alike, similar)):
+        a, b = ngram_join._near(columns, split, 80, np.arange(rows), links)
+        assert 0 < len(a) < rows and set(zip(a.tolist(), b.tolist())) <= set(want)
+        assert groups(list(zip(a.tolist(), b.tolist()))) == groups(want)
